@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, langid, simhash, warc
+from . import bpe, decontaminate, langid, linededup, simhash, warc
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -24,7 +32,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_round_trip, op2_simhash_near_dedup, op7_bpe_encode_decode, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_round_trip,
+        op2_simhash_near_dedup,
+        op3_benchmark_decontamination,
+        op7_bpe_encode_decode,
+        op8_line_dedup,
+        op10_language_id,
+    )
+}
 
 ORACLE_SQL = {
     "op1_warc_round_trip": """
@@ -35,4 +53,12 @@ ORACLE_SQL = {
                CASE WHEN first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
         FROM f""",
+    "op8_line_dedup": """
+        WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        t AS (SELECT doc_id, source, line, pos, trim(line, ' ') AS k FROM l),
+        s AS (SELECT k, min(doc_id) AS first_id FROM t WHERE k <> '' AND source IS NOT NULL GROUP BY k HAVING count(DISTINCT source) >= 5),
+        g AS (SELECT t.*, s.k IS NOT NULL AND s.first_id IS DISTINCT FROM t.doc_id AS gone FROM t LEFT JOIN s ON t.k = s.k)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+               count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed
+        FROM g GROUP BY doc_id""",
 }

@@ -16,6 +16,8 @@ from .shared import shared_dir, written
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this length are never written as revisits.
 MIN_REVISIT = 100
+#: Most tasks that one read is dealt over; beyond it, a task reads several byte ranges.
+MAX_TASKS = 50_000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_SCHEMA = "path string, offset long, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string, payload binary"
 
@@ -160,7 +162,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 64 << 20
     those its headers state. Files that hold no record give no rows.
     """
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    ranges = ranges.repartition(min(max(ranges.count(), 1), MAX_TASKS))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
