@@ -61,7 +61,7 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     placed = placed.where("_line <> ''").select("_rid", "_id", "_pos", F.xxhash64("_line", F.length("_line")).alias("line_hash"))
     gone = placed.join(spread, "line_hash").where(~F.col("_id").eqNullSafe(F.col("first_id"))).groupBy("_rid").agg(F.collect_list("_pos").alias("_gone"))
     gone = written(gone, "gone")
-    joined = rows.join(gone, "_rid", "left")
+    joined = rows.join(gone.hint("merge"), "_rid", "left")
     lines = _lines(F.col(text))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return joined.select(
