@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, decontaminate, langid, linededup, simhash, warc
+from . import bpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, warc
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_spread_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,8 +54,12 @@ QUERIES = {
         op1_warc_round_trip,
         op2_simhash_near_dedup,
         op3_benchmark_decontamination,
+        op4_exact_top_k,
+        op5_pii,
+        op6_secret_scan,
         op7_bpe_encode_decode,
         op8_line_dedup,
+        op9_lm_scoring,
         op10_language_id,
     )
 }
@@ -53,6 +73,23 @@ ORACLE_SQL = {
                CASE WHEN first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
         FROM f""",
+    "op4_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_lm_scoring": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w),
+        b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), '') AS v FROM t),
+        u AS (SELECT w, count(*) AS c FROM t GROUP BY w UNION ALL SELECT '', count(DISTINCT doc_id) FROM t),
+        c AS (SELECT v, w, count(*) AS c FROM b GROUP BY v, w HAVING count(*) >= 2),
+        s AS (SELECT b.doc_id, c.c IS NULL AS backed, CASE WHEN c.c IS NOT NULL THEN ln(c.c / uv.c::DOUBLE) ELSE ln(0.4 * uw.c / (SELECT count(*) FROM t)) END AS score
+              FROM b LEFT JOIN c ON b.v = c.v AND b.w = c.w JOIN u uv ON b.v = uv.w JOIN u uw ON b.w = uw.w)
+        SELECT d.doc_id, count(s.doc_id)::BIGINT AS n_tokens, (count(*) FILTER (s.backed))::BIGINT AS n_backoff, round(sum(s.score) / count(s.doc_id), 6) AS mean_logprob
+        FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
     "op8_line_dedup": """
         WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
         t AS (SELECT doc_id, source, line, pos, trim(line, ' ') AS k FROM l),
