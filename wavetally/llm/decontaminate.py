@@ -57,24 +57,18 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def window_prints(s: np.ndarray, size: int, stride: int, cap: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and SimHash fingerprints of the windows of ``size`` shingles, ``stride`` apart, the last one at the end."""
-    if len(s) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    starts = np.arange(0, len(s) - size + 1, stride)
-    if starts[-1] != len(s) - size:
-        starts = np.append(starts, len(s) - size)
-    out = np.empty(len(starts), np.uint64)
-    per = max(cap // stride, 1)
-    for i in range(0, len(starts), per):
-        own = starts[i : i + per]
-        lo, hi = own[0], own[-1] + size
-        bits = np.unpackbits(np.ascontiguousarray(s[lo:hi]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((len(bits) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-        ones = sums[own - lo + size] - sums[own - lo]
-        out[i : i + per] = np.packbits(ones * 2 > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return starts, out
+def bit_sums(s: np.ndarray) -> np.ndarray:
+    """Running sums of the hashes' 64 bits, a row of zeros first."""
+    bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.zeros((len(bits) + 1, 64), np.int16 if len(bits) < 1 << 15 else np.int32)
+    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
+    return sums
+
+
+def window_prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash fingerprints of the windows of ``size`` shingles at ``starts``: the bits set in over half of them."""
+    ones = sums[starts + size] - sums[starts]
+    return np.packbits(ones > size // 2, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 class Index:
@@ -104,7 +98,8 @@ class Index:
             size = least - stride + 1
             prints, item, at = [], [], []
             for k in members:
-                starts, fs = window_prints(self.items[k][1], size, 1)
+                starts = np.arange(len(self.items[k][1]) - size + 1)
+                fs = window_prints(bit_sums(self.items[k][1]), starts, size)
                 prints.append(fs)
                 item.append(np.full(len(fs), k))
                 at.append(starts)
@@ -113,8 +108,8 @@ class Index:
             self.classes.append((size, stride, prints, item, at, tables))
 
     @staticmethod
-    def _neighbours(prints: np.ndarray, offset: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each block value, the places of the fingerprints within ``most`` bits of it: starts and places."""
+    def _neighbours(prints: np.ndarray, offset: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each block value, whether fingerprints are within ``most`` bits of it, and their places: starts and places."""
         value = ((prints >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
         flips = np.array([sum(1 << b for b in f) for r in range(most + 1) for f in combinations(range(width), r)], np.int64)
         keys = (value[:, None] ^ flips[None, :]).ravel()
@@ -122,7 +117,7 @@ class Index:
         order = np.argsort(keys, kind="stable")
         starts = np.zeros((1 << width) + 1, np.int32)
         np.cumsum(np.bincount(keys, minlength=1 << width), out=starts[1:])
-        return starts, places[order]
+        return starts[1:] > starts[:-1], starts, places[order]
 
     def similarity(self, k: int, window: np.ndarray) -> float:
         """Sum of the smaller weights over the sum of the larger; a shingle weighs its count times its weight in the benchmark."""
@@ -132,31 +127,51 @@ class Index:
         high = sum(n * w(s) for s, n in bag.items()) + sum(n * w(s) for s, n in own.items()) - low
         return low / high if high else 0.0
 
-    def matches(self, h: np.ndarray) -> dict[int, tuple[float, int]]:
-        """For each contaminating item its best similarity and the word it starts at."""
-        s, best, tried = shingles(h), {}, set()
-        for size, stride, prints, item, at, tables in self.classes:
-            starts, fs = window_prints(s, size, stride)
-            for (first, places), offset, width in zip(tables, self.offsets, self.widths):
-                value = ((fs >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                lo, n = first[value], first[value + 1] - first[value]
-                hit = np.flatnonzero(n)
-                if not len(hit):
+    def candidates(self, hashes: list[np.ndarray]) -> tuple[list[np.ndarray], set[tuple[int, int, int]]]:
+        """The documents' shingles, and ``(document, item, shingle it would start at)`` wherever fingerprints are near.
+
+        Documents lie one behind the other; windows start on a common grid and
+        count if they end in their document.
+        """
+        all_s = [shingles(h) for h in hashes]
+        ends = np.cumsum([len(x) for x in all_s])
+        s = np.concatenate(all_s) if all_s else np.empty(0, np.uint64)
+        out: set[tuple[int, int, int]] = set()
+        widest = max((c[0] for c in self.classes), default=0)
+        for lo in range(0, len(s), CHUNK):
+            sums = bit_sums(s[lo : lo + CHUNK + widest])
+            for size, stride, prints, item, at, tables in self.classes:
+                starts = np.arange(-lo % stride, min(CHUNK, len(sums) - size), stride)
+                doc = np.searchsorted(ends, starts + lo, side="right")
+                inside = starts + (lo + size) <= ends[doc]
+                starts, doc = starts[inside], doc[inside]
+                if not len(starts):
                     continue
-                n = n[hit]
-                row = np.repeat(hit, n)
-                place = places[np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-                near = np.bitwise_count(fs[row] ^ prints[place]) <= self.radius
-                for k, begin in set(zip(item[place[near]].tolist(), (starts[row[near]] - at[place[near]]).tolist())):
-                    length = len(self.items[k][1])
-                    begin = max(0, min(begin, len(s) - length))
-                    if (k, begin) in tried:
+                fs = window_prints(sums, starts, size)
+                for (known, first, places), offset, width in zip(tables, self.offsets, self.widths):
+                    value = ((fs >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    hit = np.flatnonzero(known[value])
+                    if not len(hit):
                         continue
-                    tried.add((k, begin))
-                    sim = self.similarity(k, s[begin : begin + length])
-                    if k not in best or (sim, -begin) > (best[k][0], -best[k][1]):
-                        best[k] = (sim, begin)
-        return {self.items[k][0]: v for k, v in best.items()}
+                    begin, n = first[value[hit]], first[value[hit] + 1] - first[value[hit]]
+                    row = np.repeat(hit, n)
+                    place = places[np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                    near = np.bitwise_count(fs[row] ^ prints[place]) <= self.radius
+                    row, place = row[near], place[near]
+                    base = starts[row] + lo - np.concatenate(([0], ends[:-1]))[doc[row]] - at[place]
+                    out.update(zip(doc[row].tolist(), item[place].tolist(), base.tolist()))
+        return all_s, out
+
+    def matches(self, hashes: list[np.ndarray]) -> list[dict[int, tuple[float, int]]]:
+        """For each document, its contaminating items with their best similarity and the word they start at."""
+        all_s, found = self.candidates(hashes)
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in hashes]
+        for d, k, begin in sorted({(d, k, max(0, min(b, len(all_s[d]) - len(self.items[k][1])))) for d, k, b in found}):
+            sim = self.similarity(k, all_s[d][begin : begin + len(self.items[k][1])])
+            name = self.items[k][0]
+            if name not in best[d] or sim > best[d][name][0]:
+                best[d][name] = (sim, begin)
+        return best
 
 
 _BUILT: dict[str, Index] = {}
@@ -207,8 +222,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
             index = _index(sent.value, radius, blocks)
             for pdf in batches:
                 rows, found = [], []
-                for i, t in enumerate(pdf["_text"]):
-                    for item, (sim, word) in index.matches(word_hashes(t if isinstance(t, str) else None)).items():
+                for i, got in enumerate(index.matches([word_hashes(t if isinstance(t, str) else None) for t in pdf["_text"]])):
+                    for item, (sim, word) in got.items():
                         if sim >= similarity:
                             rows.append(i)
                             found.append((item, sim, word))
@@ -231,7 +246,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
         def scan(batches: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = _index(sent.value, RADIUS, BLOCKS)
             for pdf in batches:
-                clean = [not any(s >= SIMILARITY for s, _ in index.matches(word_hashes(t if isinstance(t, str) else None)).values()) for t in pdf[text]]
+                found = index.matches([word_hashes(t if isinstance(t, str) else None) for t in pdf[text]])
+                clean = [not any(s >= SIMILARITY for s, _ in got.values()) for got in found]
                 yield pdf[clean]
 
         rows = rows.mapInPandas(scan, docs.schema)
