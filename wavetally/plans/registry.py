@@ -2,5 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def add(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import event_queries, metric_queries, network_queries, series_queries, source_queries, stat_queries  # noqa: E402, F401  (they register themselves)
