@@ -1 +1,149 @@
-"""Placeholder."""
+"""Windows, filters, models and folds, over ``embeddings`` and ``events`` as recordings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..config import Config
+from ..operators import metrics as mt, models as md, series as sr, windowing as wd
+from ..tables import table
+from .inputs import FEATURES_SQL, SCORES_SQL, features, rnd, scores
+from .registry import query
+
+#: A small recording: 16 samples a second, windows of 32 samples every 8.
+SMALL = Config(fs=16, window_s=2.0, step_s=0.5)
+BANDS = (("slow", 0.5, 2.0), ("mid", 2.0, 4.0), ("fast", 4.0, 8.0))
+#: Vectors of a label in order are samples in time, their first components the channels.
+SERIES_SQL = f"{FEATURES_SQL}, sg AS (SELECT label AS record, feature AS channel, row_number() OVER (PARTITION BY label, feature ORDER BY vec_id) - 1 AS s, x FROM ft WHERE feature < 4)"
+
+
+def samples(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
+    """``(record, channel, s, x)``."""
+    order = Window.partitionBy("label", "feature").orderBy("vec_id")
+    return features(spark, sf_dir, channels).select(F.col("label").alias("record"), F.col("feature").alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("s"), "x")
+
+
+def channels_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples gathered into an array per channel; a channel's block of a window or recording is bounded by its length."""
+    return rows.groupBy(*keys, "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "x"))), lambda v: v["x"]).alias("samples"))
+
+
+def windowed(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
+    """``(record, w, channel, samples)``: each sample goes to its windows by arithmetic."""
+    rows = samples(spark, sf_dir, channels)
+    n = rows.groupBy("record").agg((F.max("s") + 1).alias("n")).withColumn("n_windows", F.floor((F.col("n") - SMALL.window) / SMALL.step) + 1)
+    rows = rows.join(F.broadcast(n), "record").withColumn("w", F.explode(wd.windows_of_sample(F.col("s"), F.col("n_windows"), SMALL.window, SMALL.step)))
+    return channels_of(rows, ["record", "w"])
+
+
+@query("SELECT user_id AS record, w, w * 8 AS start, w * 8 + 32 AS stop FROM (SELECT user_id, unnest(range(0, greatest(0, (count(*) - 32) // 8 + 1)::BIGINT)) AS w FROM events GROUP BY user_id HAVING count(*) >= 32)")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("record")).agg(F.count("*").alias("n_samples"))
+    return wd.sliding_windows(n, ["record"], SMALL)
+
+
+@query(
+    f"""WITH {SERIES_SQL}, n AS (SELECT record, (max(s) + 1 - 32) // 8 + 1 AS nw FROM sg GROUP BY record), m AS (SELECT sg.*, unnest(range(greatest(0, ceil((s - 31) / 8.0))::BIGINT, least(nw - 1, s // 8)::BIGINT + 1)) AS w FROM sg JOIN n USING (record))
+    SELECT record, w, channel::INTEGER AS channel, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM m GROUP BY ALL"""
+)
+def window_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, mean and spread of every window of every channel."""
+    w = windowed(spark, sf_dir).select("record", "w", "channel", F.explode("samples").alias("x"))
+    return w.groupBy("record", "w", "channel").agg(F.count("*").alias("n"), rnd(F.avg("x")).alias("mean"), rnd(F.stddev_samp("x")).alias("sd"))
+
+
+@query(f"WITH {SERIES_SQL} SELECT record, channel::INTEGER AS channel, s, round(x / stddev_samp(x) OVER (PARTITION BY record, channel), 6) AS x FROM sg")
+def scaled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = sr.scale_by_spread(channels_of(samples(spark, sf_dir), ["record"]))
+    return c.select("record", "channel", F.posexplode("samples").alias("s", "x")).select("record", "channel", F.col("s").cast("long").alias("s"), rnd(F.col("x")).alias("x"))
+
+
+@query(
+    f"""WITH {FEATURES_SQL}, pt AS (SELECT vec_id, feature * 0.75::DOUBLE AS freq, abs(x) AS v FROM ft), bd(band, lo, hi) AS (VALUES ('delta', 0.5::DOUBLE, 4.0::DOUBLE), ('theta', 4, 8), ('alpha', 8, 13), ('beta', 13, 30), ('gamma', 30, 45)),
+    a AS (SELECT vec_id, band, hi - lo AS width, (lead(freq) OVER o - freq) * (lead(v) OVER o + v) / 2 AS area FROM pt JOIN bd ON freq BETWEEN lo AND hi WINDOW o AS (PARTITION BY vec_id, band ORDER BY freq))
+    SELECT vec_id, band, round(sum(area) / any_value(width), 6) AS value FROM a GROUP BY vec_id, band"""
+)
+def band_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector's components as a spectrum, integrated over bands."""
+    points = features(spark, sf_dir).select("vec_id", (F.col("feature") * 0.75).alias("freq"), F.abs("x").alias("v"))
+    bands = spark.createDataFrame(list(Config().bands), "band string, lo double, hi double")
+    return wd.band_trapezoid(points, ["vec_id"], bands).select("vec_id", "band", rnd(F.col("value")).alias("value"))
+
+
+@query(f"WITH {SERIES_SQL}, p AS (SELECT record, channel, sum(x) AS total, count(*) AS n FROM sg GROUP BY ALL) SELECT record, channel::INTEGER AS channel, n, round(total, 6) AS total, round(total / n, 6) AS level FROM p")
+def record_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of recordings: samples and level of each channel."""
+    return samples(spark, sf_dir).groupBy("record", "channel").agg(F.count("*").alias("n"), rnd(F.sum("x")).alias("total"), rnd(F.sum("x") / F.count("*")).alias("level"))
+
+
+@query()
+def filtered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each channel without its slow drift and one hum frequency: the power before and after."""
+    c = sr.filtered(channels_of(samples(spark, sf_dir), ["record"]), SMALL.fs, 0.5, 6.0)
+    power = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v) / F.size(a)
+    return c.select("record", "channel", power(F.col("samples")).alias("before"), power(F.col("filtered")).alias("after"))
+
+
+@query()
+def power_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power spectral density of each channel, in long form."""
+    c = sr.power_spectra(channels_of(samples(spark, sf_dir), ["record"]), SMALL.fs, 32)
+    return c.select("record", "channel", F.posexplode("psd").alias("bin", "power"))
+
+
+@query()
+def var_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banded directed connectivity of every window, or why its model is not usable."""
+    m = sr.window_models(windowed(spark, sf_dir), ["record", "w"], SMALL.fs, 1, 32, BANDS)
+    return m.select("record", "w", "valid", "reason", "radius", "decay", F.posexplode_outer("features").alias("feature_index", "value"))
+
+
+@query()
+def var_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of least BIC over windows: median and quartiles per record."""
+    o = sr.model_orders(windowed(spark, sf_dir, 2), ["record", "w"], 4).where("order is not null")
+    return o.groupBy("record").agg(F.count("*").alias("n_windows"), F.median("order").alias("median_order"), F.percentile("order", F.array(F.lit(0.25), F.lit(0.75))).alias("quartiles"))
+
+
+@query()
+def covariance_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank, condition and extreme eigenvalues of the channels of every window."""
+    return sr.covariance_health(windowed(spark, sf_dir), ["record", "w"])
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(record, w, y, features)``: vectors as windows of ten records."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((F.col("vec_id") % 10).alias("record"), F.floor(F.col("vec_id") / 10).alias("w"), (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").alias("features"))
+
+
+TRAINING = Config(budget=1500, strata=10)
+
+
+@query()
+def loro_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave one record out: a row per record with the metrics of its out-of-fold scores."""
+    s = md.fold_scores(labelled(spark, sf_dir).withColumn("fold", F.col("record")), "fold", TRAINING).where("score is not null")
+    return mt.confusion(s, ["record"]).join(mt.roc_auc(s, ["record"]), "record").join(mt.average_precision(s, ["record"]), "record")
+
+
+@query()
+def random_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random windows by class, records ignored: a row per fold."""
+    s = md.fold_scores(md.random_folds(labelled(spark, sf_dir), TRAINING), "fold", TRAINING).where("score is not null")
+    return mt.confusion(s, ["fold"]).join(mt.roc_auc(s, ["fold"]), "fold").join(mt.average_precision(s, ["fold"]), "fold")
+
+
+@query()
+def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave one record out with hyper-parameters chosen inside each fold on a small grid."""
+    grid = {"k_feat": (10, 20), "c": (1.0,), "gamma": ("scale",)}
+    s = md.fold_scores(labelled(spark, sf_dir).withColumn("fold", F.col("record")), "fold", Config(budget=400, strata=10), grid)
+    return s.groupBy("fold", "k_feat", "c", "gamma", "error").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("n_alarm"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT record, patient, max(y) AS record_class, count(*) AS n, row_number() OVER (ORDER BY record) AS fold FROM sc GROUP BY record, patient HAVING max(y) <> min(y)")
+def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that can be left out: those with both classes; a row per record."""
+    g = scores(spark, sf_dir).groupBy("record", "patient").agg(F.max("y").alias("record_class"), F.min("y").alias("low"), F.count("*").alias("n")).where("record_class <> low")
+    return g.withColumn("fold", F.row_number().over(Window.orderBy("record")).cast("long")).drop("low")

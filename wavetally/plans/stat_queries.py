@@ -1 +1,169 @@
-"""Placeholder."""
+"""Statistics, sampling and selection, over ``embeddings`` as feature vectors and ``events`` as windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..config import Config
+from ..operators import sampling as sp, selection as sl, stats as st, windowing as wd
+from ..tables import table
+from .inputs import FEATURES_SQL, SCORES_SQL, features, rnd, scores
+from .registry import query
+
+BUDGET = Config(budget=3000, strata=10)
+
+
+@query(f"WITH {FEATURES_SQL} SELECT feature::INTEGER AS feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(z), 6) AS z_min, round(max(z), 6) AS z_max FROM (SELECT *, (x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature) AS z FROM ft) GROUP BY feature")
+def standard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = st.standardise(features(spark, sf_dir), ["feature"], "x")
+    return z.groupBy("feature").agg(rnd(F.first("mean")).alias("mean"), rnd(F.first("sd")).alias("sd"), rnd(F.min("z")).alias("z_min"), rnd(F.max("z")).alias("z_max"))
+
+
+@query(
+    f"""WITH {FEATURES_SQL}, g AS (SELECT feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM ft GROUP BY ALL),
+    t AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * m) AS s, sum(n * m * m) AS q, sum(n * v) AS w FROM g GROUP BY feature)
+    SELECT feature::INTEGER AS feature, round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 6) AS f FROM t"""
+)
+def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.anova_f(features(spark, sf_dir), ["feature"]).select("feature", rnd(F.col("f")).alias("f"))
+
+
+EFFECT_SQL = f"""WITH {FEATURES_SQL}, rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM ft),
+    g AS (SELECT feature, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, avg(x) FILTER (y = 1) AS m1, avg(x) FILTER (y = 0) AS m0, var_samp(x) FILTER (y = 1) AS v1, var_samp(x) FILTER (y = 0) AS v0, sum(r) FILTER (y = 1) AS s FROM rk GROUP BY feature),
+    e AS (SELECT *, (s - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0) AS auc, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM g)"""
+
+
+@query(f"{EFFECT_SQL} SELECT feature::INTEGER AS feature, n1, n0, round(m1, 6) AS m1, round(m0, 6) AS m0, round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS abs_auc, round(d, 6) AS cohen_d FROM e")
+def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class effects per feature: means, rank AUC and Cohen's d."""
+    e = st.class_effects(features(spark, sf_dir), ["feature"])
+    return e.select("feature", "n1", "n0", *(rnd(F.col(c)).alias(c) for c in ("m1", "m0", "auc", "abs_auc", "cohen_d")))
+
+
+@query(
+    f"""WITH {FEATURES_SQL}, d AS (SELECT 'within' AS definition, * FROM ft WHERE label < 5 UNION ALL SELECT 'all', * FROM ft),
+    rk AS (SELECT *, rank() OVER (PARTITION BY definition, feature ORDER BY x) + (count(*) OVER (PARTITION BY definition, feature, x) - 1) / 2.0::DOUBLE AS r FROM d),
+    g AS (SELECT definition, feature, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, sum(r) FILTER (y = 1) AS s FROM rk GROUP BY ALL)
+    SELECT definition, feature::INTEGER AS feature, n1, n0, round((s - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0), 6) AS auc FROM g"""
+)
+def effects_by_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two definitions of the negative class in one plan."""
+    long = features(spark, sf_dir)
+    both = long.where("label < 5").withColumn("definition", F.lit("within")).unionByName(long.withColumn("definition", F.lit("all")))
+    return st.class_effects(both, ["definition", "feature"]).select("definition", "feature", "n1", "n0", rnd(F.col("auc")).alias("auc"))
+
+
+PROFILE_SQL = f"""{SCORES_SQL}, pf AS (SELECT patient, record, avg(score) AS a, stddev_samp(score) AS b, avg(y) AS c, count(*) * 1.0::DOUBLE AS d FROM sc GROUP BY ALL)"""
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir).groupBy("patient", "record").agg(F.avg("score").alias("a"), F.stddev_samp("score").alias("b"), F.avg("y").alias("c"), F.count("*").cast("double").alias("d"))
+
+
+@query(
+    f"""WITH {PROFILE_SQL}, u AS (SELECT l.record, l.name AS descriptor, l.v AS x, r.name AS metric, r.v AS z FROM (UNPIVOT pf ON a, b INTO NAME name VALUE v) l JOIN (UNPIVOT pf ON c, d INTO NAME name VALUE v) r USING (record)),
+    k AS (SELECT *, rank() OVER (PARTITION BY descriptor, metric ORDER BY x) + (count(*) OVER (PARTITION BY descriptor, metric, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY descriptor, metric ORDER BY z) + (count(*) OVER (PARTITION BY descriptor, metric, z) - 1) / 2.0::DOUBLE AS rz FROM u)
+    SELECT descriptor, metric, count(*) AS n, round(corr(rx, rz), 6) AS rho, abs(corr(rx, rz)) * sqrt((count(*) - 2) / (1 - corr(rx, rz) * corr(rx, rz))) > 2.2 AS beyond FROM k GROUP BY ALL"""
+)
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of each descriptor with each metric over records, and whether Student's t is beyond 2.2."""
+    p = profiles(spark, sf_dir)
+    left, right = p.unpivot(["record"], ["a", "b"], "descriptor", "x"), p.unpivot(["record"], ["c", "d"], "metric", "z")
+    s = st.spearman(left.join(right, "record"), ["descriptor", "metric"], "x", "z")
+    t = F.abs("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    return s.select("descriptor", "metric", "n", rnd(F.col("rho")).alias("rho"), (t > 2.2).alias("beyond"))
+
+
+@query(f"WITH {PROFILE_SQL} SELECT round(corr(a, c), 6) AS pearson, round(regr_slope(c, a), 9) AS slope, round(regr_intercept(c, a), 6) AS intercept FROM pf")
+def straight_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profiles(spark, sf_dir)
+    return p.agg(rnd(F.corr("a", "c")).alias("pearson"), rnd(F.regr_slope("c", "a"), 9).alias("slope"), rnd(F.regr_intercept("c", "a")).alias("intercept"))
+
+
+@query(
+    f"""WITH {SCORES_SQL}, c AS (SELECT patient, y, count(*) AS n FROM sc GROUP BY ALL), r AS (SELECT *, sqrt(sum(n) OVER p / (count(*) OVER p * n)::DOUBLE) AS raw FROM c WINDOW p AS (PARTITION BY patient))
+    SELECT patient, y, n, round(raw / (sum(raw * n) OVER (PARTITION BY patient) / sum(n) OVER (PARTITION BY patient)), 6) AS weight FROM r"""
+)
+def damped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.damped_weights(scores(spark, sf_dir), ["patient"]).select("patient", "y", "n", rnd(F.col("weight")).alias("weight"))
+
+
+@query(
+    f"""WITH {SCORES_SQL}, r AS (SELECT record, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM sc GROUP BY record), t AS (SELECT *, sum(n_neg) OVER () AS neg, greatest(3000 - sum(n_pos) OVER (), 0) AS lft FROM r)
+    SELECT record, n_pos, n_neg, (CASE WHEN lft = 0 THEN 0 WHEN neg <= lft THEN n_neg ELSE least(n_neg, greatest(1, round_even(lft * n_neg / neg::DOUBLE, 0))) END)::BIGINT AS quota FROM t"""
+)
+def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.budget_quotas(scores(spark, sf_dir), BUDGET)
+
+
+@query()
+def budgeted_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a budgeted training set; rows are picked by a hash that SQL engines do not share."""
+    return sp.budgeted_training(scores(spark, sf_dir).select("record", "patient", "w", "score", "y"), BUDGET)
+
+
+@query()
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per class and fold of a stratified split; the split is by hash."""
+    rows = sp.stratified_folds(scores(spark, sf_dir).select("event_id", "y"), ["event_id"], 5)
+    return rows.groupBy("y", "fold").agg(F.count("*").alias("n"))
+
+
+@query()
+def mrmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty features of the vectors, by relevance over redundancy."""
+    v = table(spark, sf_dir, "embeddings").select("embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
+    return sl.select_features(v, 20, "embedding", "y")
+
+
+@query()
+def mrmr_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection repeated without each fold, and how often a feature comes up."""
+    v = table(spark, sf_dir, "embeddings").select("embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"), "vec_id").where("vec_id % 5 <> fold")
+    picked = sl.select_features(v, 10, "embedding", "y", group="fold")
+    return picked.groupBy("feature_index").agg(F.count("*").alias("times_selected"), (F.count("*") / 5).alias("fold_fraction"))
+
+
+@query(f"WITH {FEATURES_SQL}, s AS (SELECT * FROM ft WHERE feature < 12) SELECT a.feature::INTEGER AS a, b.feature::INTEGER AS b, round(corr(a.x, b.x), 6) AS r, abs(corr(a.x, b.x)) > 0.1 AS near FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL")
+def channel_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all pairs of the first twelve channels."""
+    p = st.pair_correlations(features(spark, sf_dir, 12).select("vec_id", "feature", "x"), [], "vec_id", "feature", "x")
+    return p.select("a", "b", rnd(F.col("r")).alias("r"), (F.abs("r") > 0.1).alias("near"))
+
+
+@query(f"WITH {FEATURES_SQL} SELECT feature::INTEGER AS feature, round(var_samp(x), 6) AS variance, var_samp(x) < 1e-12 AS dead, count(*) FILTER (isnan(x) OR isinf(x)) AS n_bad FROM ft GROUP BY feature")
+def dead_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.isnan("x") | (F.abs("x") == float("inf"))
+    return features(spark, sf_dir).groupBy("feature").agg(rnd(F.var_samp("x")).alias("variance"), (F.var_samp("x") < 1e-12).alias("dead"), F.count_if(bad).alias("n_bad"))
+
+
+@query(f"WITH {FEATURES_SQL}, v AS (SELECT * FROM ft WHERE feature < 16), g AS (SELECT vec_id, corr(x, x + (feature % 3) / 10.0::DOUBLE) AS r, avg(abs((feature % 3) / 10.0::DOUBLE)) AS mae FROM v GROUP BY vec_id) SELECT round(avg(r), 6) AS r_mean, round(stddev_samp(r), 6) AS r_sd, round(median(r), 6) AS r_median, round(min(r), 6) AS r_min, round(avg(mae), 6) AS mae_mean, round(max(mae), 6) AS mae_max FROM g")
+def resolution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two versions of a vector: correlation and mean absolute error per vector, summarised."""
+    v = features(spark, sf_dir, 16).withColumn("z", F.col("x") + (F.col("feature") % 3) / F.lit(10.0))
+    g = v.groupBy("vec_id").agg(F.corr("x", "z").alias("r"), F.avg(F.abs(F.col("x") - F.col("z"))).alias("mae"))
+    return g.agg(*(rnd(f("r")).alias(f"r_{n}") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("median", F.median), ("min", F.min))), rnd(F.avg("mae")).alias("mae_mean"), rnd(F.max("mae")).alias("mae_max"))
+
+
+@query(f"WITH {FEATURES_SQL} SELECT vec_id, round(min(x), 6) AS least, round(max(x), 6) AS most, count(*) FILTER (isnan(x)) AS n_nan, count(*) FILTER (x = 0) AS n_zero FROM ft GROUP BY vec_id")
+def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    c = wd.vector_statistics(F.col("v"))
+    return e.select("vec_id", rnd(c["least"]).alias("least"), rnd(c["most"]).alias("most"), c["n_nan"].alias("n_nan"), c["n_zero"].alias("n_zero"))
+
+
+@query(
+    f"""WITH {SCORES_SQL}, o AS (SELECT patient, value AS v, row_number() OVER (PARTITION BY patient ORDER BY value) AS i, count(*) OVER (PARTITION BY patient) AS n FROM (SELECT patient, score AS value FROM sc)),
+    q AS (SELECT patient, s, greatest(1, least(any_value(n), any_value(n) * s + 0.5)) AS pos FROM o, (VALUES (0.25::DOUBLE), (0.5), (0.75)) t(s) GROUP BY patient, s)
+    SELECT q.patient, q.s AS share, round(a.v + (b.v - a.v) * (pos - floor(pos)), 6) AS value FROM q JOIN o a ON a.patient = q.patient AND a.i = floor(pos) JOIN o b ON b.patient = q.patient AND b.i = least(floor(pos) + 1, b.n)"""
+)
+def midpoint_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles whose i-th value stands at (i - 1/2) / n."""
+    sc = scores(spark, sf_dir).select("patient", "score")
+    order = Window.partitionBy("patient").orderBy("score")
+    n = sc.groupBy("patient").agg(F.count("*").alias("n"))
+    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * F.col("share") + 0.5))
+    want = n.select(F.col("patient").alias("p"), "n", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("share")).withColumn("at", at)
+    ranked = sc.withColumns({"i": F.row_number().over(order), "next": F.lead("score").over(order)})
+    rows = ranked.join(F.broadcast(want), (F.col("patient") == F.col("p")) & (F.col("i") == F.floor("at")))
+    return rows.select("patient", "share", rnd(F.col("score") + (F.coalesce("next", "score") - F.col("score")) * (F.col("at") - F.floor("at"))).alias("value"))
