@@ -1 +1,180 @@
-"""Placeholder."""
+"""Sources, names, sets and reshaping, over the tables as listings, texts and recordings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import scalars as fn
+from ..sources import recordings as rc, summaries as sm
+from ..tables import table
+from .inputs import SCORES_SQL, rnd, scores
+from .registry import query
+
+
+@query("SELECT p_partkey, regexp_replace(replace(trim(upper(p_name || '-' || p_size)), ' ', ''), '-[0-9]+$', '') AS name, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits FROM part")
+def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", fn.normalise_name(F.concat_ws("-", "p_name", F.col("p_size").cast("string"))).alias("name"), F.regexp_replace("p_brand", "[^0-9]", "").alias("digits"))
+
+
+@query("SELECT name, p_partkey AS first_key, n FROM (SELECT p_partkey, p_brand AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE r = 1")
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each name; a minimum per group, so that no group has to be sorted."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT record, 'r' || lpad((record // 10)::VARCHAR, 2, '0') || '_' || lpad((record % 10)::VARCHAR, 2, '0') || '.edf' AS file, row_number() OVER (PARTITION BY record ORDER BY w)::INTEGER AS n, w * 3 AS start_sec, w * 3 + 40 AS end_sec FROM sc WHERE event_type = 'purchase'")
+def summary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary texts made from the events of each record, and read back by the parser."""
+    sc = scores(spark, sf_dir).where("event_type = 'purchase'")
+    g = sc.groupBy("record").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    line = F.transform("ws", lambda w, i: F.format_string("Event %d Start Time: %d seconds\nEvent %d End Time: %d seconds", i + 1, w * 3, i + 1, w * 3 + 40))
+    name = F.concat(F.lit("r"), F.lpad(F.floor(F.col("record") / 10).cast("string"), 2, "0"), F.lit("_"), F.lpad((F.col("record") % 10).cast("string"), 2, "0"), F.lit(".edf"))
+    texts = g.select(F.col("record").cast("string").alias("path"), F.concat(F.lit("File Name: "), name, F.lit("\nNumber of Events: "), F.size("ws").cast("string"), F.lit("\n"), F.array_join(line, "\n")).alias("value"))
+    return sm.parse_summaries(texts).select(F.col("path").cast("bigint").alias("record"), "file", "n", "start_sec", "end_sec")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_items, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields cut from texts by patterns."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("n_items"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
+
+
+@query("SELECT (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_expected, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS n_found, (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)) AS n_missing, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)) AS n_extra")
+def set_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    return rc.audit(e, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("SELECT o_custkey AS k, 'both' AS side FROM orders INTERSECT SELECT c_custkey, 'both' FROM customer UNION ALL (SELECT c_custkey, 'only' FROM customer EXCEPT SELECT o_custkey, 'only' FROM orders)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    return c.intersect(o).withColumn("side", F.lit("both")).unionByName(c.subtract(o).withColumn("side", F.lit("only")))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT p_partkey, p_brand, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 49) AS member FROM part")
+def membership_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("member", F.lit(True))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(hit, "p_partkey", "left").withColumn("member", F.coalesce("member", F.lit(False)))
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_acctbal > 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, coalesce(n_customers, 0) AS n_customers, coalesce(n_suppliers, 0) AS n_suppliers FROM a FULL OUTER JOIN b ON a.k = b.k""")
+def full_outer_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
+    return a.join(b, "k", "outer").na.fill(0, ["n_customers", "n_suppliers"])
+
+
+@query("""WITH a AS (SELECT s_nationkey, row_number() OVER (ORDER BY max(s_acctbal) DESC, s_nationkey) AS r, round(max(s_acctbal), 2) AS best FROM supplier GROUP BY 1), b AS (SELECT c_nationkey, row_number() OVER (ORDER BY max(c_acctbal) DESC, c_nationkey) AS r, round(max(c_acctbal), 2) AS top FROM customer GROUP BY 1)
+    SELECT r AS place, s_nationkey, best, c_nationkey, top FROM a JOIN b USING (r)""")
+def positional_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists sorted on their own and paired by place; each has a row per nation."""
+    a = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.round(F.max("s_acctbal"), 2).alias("best"))
+    b = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.max("c_acctbal"), 2).alias("top"))
+    a = a.withColumn("place", F.row_number().over(Window.orderBy(F.desc("best"), "s_nationkey")).cast("long"))
+    b = b.withColumn("place", F.row_number().over(Window.orderBy(F.desc("top"), "c_nationkey")).cast("long"))
+    return a.join(b, "place")
+
+
+@query("SELECT o_orderpriority, n, n_open, n_done FROM (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) FILTER (o_orderstatus = 'F') AS n_done FROM orders GROUP BY 1)")
+def pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"))
+
+
+@query("SELECT n_nationkey, n_name, r_name, coalesce(n, 0) AS n_suppliers, coalesce(n_name, 'f' || lpad(n_nationkey::VARCHAR, 4, '0')) AS label FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def reindex_to_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the whole dimension, zero where there is nothing, with names that fall back to a number."""
+    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    rows = n.join(s, "n_nationkey", "left").withColumn("feature_index", F.col("n_nationkey"))
+    named = rc.lookup_names(rows, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("feature_index"), F.col("n_name").alias("name")))
+    return named.select("n_nationkey", "n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.col("name").alias("label"))
+
+
+@query("SELECT p_partkey, p_size, ntile(5) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS bin FROM part")
+def contiguous_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly equal contiguous bins, the larger ones first."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.ntile(5).over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long").alias("bin"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT record, patient, w, round(w * 2.5::DOUBLE, 6) AS start_s, (w * 640)::BIGINT AS start_sample, round(w * 640 / 256.0::DOUBLE, 6) AS back_s, sign(score)::INTEGER AS sign, round(greatest(abs(score), 0.5), 6) AS clipped FROM sc")
+def unit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds to samples and back, signs and clipped values."""
+    s = scores(spark, sf_dir).withColumn("start_s", F.col("w") * 2.5)
+    s = s.withColumn("start_sample", fn.to_samples(F.col("start_s"), 256))
+    return s.select("record", "patient", "w", rnd(F.col("start_s")).alias("start_s"), "start_sample", rnd(fn.to_seconds(F.col("start_sample"), 256)).alias("back_s"), F.signum("score").cast("int").alias("sign"), rnd(fn.clip_floor(F.abs("score"), 0.5)).alias("clipped"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT record, patient, w, greatest(w * 2.5::DOUBLE, 20) AS start_s, least(w * 2.5::DOUBLE + 10, 60) AS end_s FROM sc WHERE w * 2.5 + 10 >= 20 AND w * 2.5 <= 60")
+def time_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that touch a range of time, clipped to it."""
+    s, e = F.col("w") * 2.5, F.col("w") * 2.5 + 10
+    return scores(spark, sf_dir).where((e >= 20) & (s <= 60)).select("record", "patient", "w", F.greatest(s, F.lit(20.0)).alias("start_s"), F.least(e, F.lit(60.0)).alias("end_s"))
+
+
+@query("SELECT mktsegment, round(median(bal), 6) AS median_balance, row_number() OVER (ORDER BY median(bal), mktsegment) AS place FROM (SELECT c_mktsegment AS mktsegment, c_acctbal AS bal FROM customer) GROUP BY mktsegment")
+def ordered_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordering dimension: groups by their median; a row per group."""
+    g = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.median("c_acctbal").alias("m"))
+    return g.select("mktsegment", rnd(F.col("m")).alias("median_balance"), F.row_number().over(Window.orderBy("m", "mktsegment")).cast("long").alias("place"))
+
+
+@query("SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
+def top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("r", r).where("r <= 3").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS n FROM s GROUP BY user_id, i""")
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user joined into sessions by a gap; the streaming form is in :mod:`wavetally.streaming.alarms`."""
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("user_id", F.session_window("ts", "90 minutes").alias("s")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+    return g.select("user_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "n")
+
+
+@query()
+def recording_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels cut into stored blocks and put together again: their lengths and sums, before and after."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("record"), "vec_id", F.posexplode("embedding").alias("channel_idx", "x"))
+    c = e.groupBy("record", "channel_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"]).alias("samples"))
+    back = rc.from_blocks(rc.to_blocks(c, 16), ["record", "channel_idx"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return c.select("record", "channel_idx", F.size("samples").alias("n"), total("samples").alias("before")).join(back.select("record", "channel_idx", F.size("samples").alias("n_back"), total("samples").alias("after")), ["record", "channel_idx"])
+
+
+@query("""WITH k AS (SELECT vec_id, label, i, i % 16 AS pos FROM embeddings, unnest(range(0, CASE WHEN vec_id % 7 = 0 THEN 15 ELSE 16 END)) r(i))
+    SELECT vec_id, count(*) AS n_channels, sum(i)::BIGINT AS checksum FROM k GROUP BY vec_id HAVING count(DISTINCT pos) = 16""")
+def montage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that have every channel of a montage; every seventh lacks the last one."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 14).otherwise(15))).alias("channel_idx"))
+    channels = e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx"))
+    wanted = spark.createDataFrame([(i, f"CH{i:02d}") for i in range(16)], "pos int, name string")
+    got, _ = rc.montage(channels, wanted, ["vec_id"])
+    return got.groupBy("vec_id").agg(F.count("*").alias("n_channels"), F.sum("channel_idx").cast("long").alias("checksum"))
+
+
+@query("SELECT vec_id, ['CH15'] AS missing FROM embeddings WHERE vec_id % 7 = 0")
+def montage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other records miss."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 14).otherwise(15))).alias("channel_idx"))
+    wanted = spark.createDataFrame([(i, f"CH{i:02d}") for i in range(16)], "pos int, name string")
+    return rc.montage(e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx")), wanted, ["vec_id"])[1]
+
+
+@query("SELECT label % 3 AS patient, label AS record, vec_id AS w, (label = 0 AND vec_id % 2 = 0)::INTEGER AS label, (max((label = 0 AND vec_id % 2 = 0)::INTEGER) OVER (PARTITION BY label))::INTEGER AS record_class FROM embeddings WHERE vec_id % 11 <> 0")
+def usable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complex features made real; windows with an imaginary part beyond the tolerance go."""
+    e = table(spark, sf_dir, "embeddings")
+    imag = F.when(F.col("vec_id") % 11 == 0, 1e-3).otherwise(0.0)
+    rows = e.select((F.col("label") % 3).alias("patient"), F.col("label").alias("record"), F.col("vec_id").alias("w"), ((F.col("label") == 0) & (F.col("vec_id") % 2 == 0)).cast("int").alias("y"), F.transform("embedding", lambda x: F.struct(x.cast("double").alias("real"), imag.alias("imag"))).alias("features")).withColumnRenamed("y", "label")
+    return rc.usable_windows(rows).select("patient", "record", "w", "label", "record_class")
