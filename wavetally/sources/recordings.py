@@ -14,12 +14,12 @@ from ..functions.scalars import nan_to_null, normalise_name
 #: Samples of a stored block.
 BLOCK = 1024
 
-ANNOTATION = T.StructType.fromDDL("file string, event_id int, start_sample bigint, end_sample bigint, start_sec double, end_sec double, duration_sec double")
-SEGMENT = T.StructType.fromDDL(
+ANNOTATION = "file string, event_id int, start_sample bigint, end_sample bigint, start_sec double, end_sec double, duration_sec double"
+SEGMENT = (
     "C double, gamma double, k_feat int, patient string, record string, n_windows int, n_event_windows int, record_length double, threshold double, k int, roc_auc double, ap double, seg_accuracy double, seg_specificity double, seg_sensitivity double, seg_precision double, seg_f1 double, tp bigint, fp bigint, fn bigint"
 )
-EVENT = T.StructType.fromDDL("patient string, record string, event_start double, event_end double, detected int, latency_s double, threshold double, k int, k_feat int")
-FALSE_POSITIVE = T.StructType.fromDDL("patient string, record string, fp_start double, fp_duration_s double")
+EVENT = "patient string, record string, event_start double, event_end double, detected int, latency_s double, threshold double, k int, k_feat int"
+FALSE_POSITIVE = "patient string, record string, fp_start double, fp_duration_s double"
 RECORDING = "record string, channel_idx int, channel string, sampling_rate double, samples array<float>, error string"
 
 
@@ -108,8 +108,9 @@ def usable_windows(windows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("record_class", F.max("label").over(Window.partitionBy("patient", "record")))
 
 
-def read_table_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header and a fixed schema; missing numbers come as null, never NaN."""
+    schema = T.StructType.fromDDL(schema)
     df = spark.read.csv(path, header=True, schema=schema, nullValue="", nanValue="nan")
     return df.select(*(nan_to_null(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in schema))
 

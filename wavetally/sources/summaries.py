@@ -10,7 +10,7 @@ LOOSE_FILE = r"(\S+\.edf)"
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """``(path, value)``: whole texts in Latin-1."""
-    return spark.read.option("wholetext", True).option("encoding", "ISO-8859-1").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("encoding", "ISO-8859-1").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def _times(block, edge: str, numbered: bool):
