@@ -167,10 +167,11 @@ def encoder(path: str) -> Encoder:
 def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and ``decoded`` (both joined by spaces); a null text counts as empty.
 
-    Whole texts of any length; special tokens' strings in a text become those
+    Columns of these names are replaced. Whole texts of any length; special tokens' strings in a text become those
     tokens. The vocabulary file must be at the same path on every executor.
     """
     path = vocabulary or default_vocabulary()
+    docs = docs.drop("n_tokens", "ids", "decoded")
     schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids"), F.lit("").alias("decoded")).schema
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

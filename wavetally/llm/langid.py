@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import plain_names
+
 #: Hash buckets of the character n-grams of a language model.
 BUCKETS = 1 << 14
 #: Characters that are read at a time, which bounds the memory of very long texts.
@@ -101,7 +103,11 @@ def infer(counts: np.ndarray, logp: np.ndarray, penalty: float = 1.0) -> tuple[i
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; ``und`` and 0.0 for a text that is null or has no letter, or without any learned language."""
+    """``docs`` with ``lang_pred`` and ``score``, in place of any columns of these names.
+
+    ``und`` and 0.0 for a text that is null or has no letter, or without any learned language.
+    """
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     small = logp.astype(np.float32)
 
@@ -138,7 +144,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or has a share under ``least`` of the text."""
-    columns = docs.columns
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     langs, logp = train(rows, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return predict(docs, langs, logp, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns)
+    plain, names = plain_names(docs)
+    kept = predict(plain, langs, logp, names[text]).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*(F.col(new).alias(old) for old, new in names.items()))

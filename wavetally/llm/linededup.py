@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import plain_names, written
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 5
@@ -52,9 +52,10 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     A boilerplate line stays in the document with the smallest doc_id that has
     it (all rows of that doc_id) and goes from every other. Null texts
     stay null with zero lines; a null doc_id never keeps a boilerplate line;
-    repeated rows are treated alike; further columns pass through.
+    repeated rows are treated alike; further columns pass through, but any of the two new names are replaced.
     """
-    columns = docs.columns
+    docs, names = plain_names(docs)
+    doc_id, text, site = names[doc_id], names[text], names[site]
     spread = written(spread_lines(docs, doc_id, text, site, min_sites), "spread")
     rows = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     placed = rows.select("_rid", F.col(doc_id).alias("_id"), F.posexplode(_lines(F.col(text))).alias("_pos", "_line")).select("_rid", "_id", "_pos", F.trim("_line").alias("_line"))
@@ -65,7 +66,7 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     lines = _lines(F.col(text))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in columns),
+        *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(old) if c == text else F.col(c).alias(old) for old, c in names.items() if old not in ("n_lines", "n_removed")),
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
@@ -77,10 +78,10 @@ def drop_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     A document that keeps under ``own_share`` of its characters has next to nothing of
     its own left and goes; one that loses no line always stays.
     """
-    columns = docs.columns
-    rows = without_spread_lines(docs.withColumn("_before", F.length(text)), doc_id, text, site, min_sites)
-    rows = rows.where((F.col("n_removed") == 0) | ((F.length(F.trim(text)) > 0) & (F.length(text) >= own_share * F.col("_before"))))
-    out = rows.select(*columns, "n_removed")
-    if n_chars in columns:
-        out = out.withColumn(n_chars, F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*columns)
+    plain, names = plain_names(docs)
+    own = names[text]
+    rows = without_spread_lines(plain.withColumn("before", F.length(own)), names[doc_id], own, names[site], min_sites)
+    rows = rows.where((F.col("n_removed") == 0) | ((F.length(F.trim(own)) > 0) & (F.length(own) >= own_share * F.col("before"))))
+    chars = names.get(n_chars)
+    counted = lambda c: F.when(F.col("n_removed") > 0, F.length(own).cast(docs.schema[n_chars].dataType)).otherwise(F.col(c)) if c == chars else F.col(c)
+    return rows.select(*(counted(new).alias(old) for old, new in names.items()))

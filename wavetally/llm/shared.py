@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position, so that they clash with nothing, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """``df`` written as Parquet in a shared folder and read again: its plan starts at that table."""
     path = f"{shared_dir(df.sparkSession)}-{name}"

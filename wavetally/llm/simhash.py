@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import plain_names, written
 
 #: Shingles whose bits are counted at a time, which bounds the memory of very long texts.
 CHUNK = 1 << 15
@@ -253,11 +253,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     agree to about 0.8. Ties and null doc_ids are decided by a row number, so
     exactly one row stays. Columns are those of ``docs``.
     """
-    columns = docs.columns
+    docs, names = plain_names(docs)
+    doc_id, text = names[doc_id], names[text]
     rows = written(add_fingerprints(docs, text, shingle, wide=2).withColumn("_rid", F.monotonically_increasing_id()).withColumn("node", F.xxhash64("_f0", "_f1", "_f2")), "rows")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_rid").alias("rid"))
     nodes = written(rows.groupBy("node", "_f0", "_f1", "_f2").agg(F.min(order).alias("first")), "nodes")
     groups = written(simhash_groups(nodes.drop("first"), radius, wide_radius), "groups")
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.rid").alias("_rid")), "kept")
-    return rows.join(kept, "_rid", "left_semi").select(*columns)
+    return rows.join(kept, "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))
