@@ -205,3 +205,52 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").where("quality is not null")
     long = F.col("n_chars") >= 1500
     return rows.groupBy(F.col("quality").alias("truth")).agg(F.count("*").alias("n"), F.count_if(long).alias("predicted"), rnd(F.avg(F.when(long == (F.col("quality") == 1), 1.0).otherwise(0.0))).alias("accuracy"))
+
+
+@query(
+    f"""{SEGMENT_SQL}, d AS (SELECT patient, count(*) AS n_events, avg(detected) AS sensitivity, median(CASE WHEN detected = 1 THEN latency END) AS latency FROM (
+        SELECT patient, y AS detected, w * 2.5::DOUBLE AS latency FROM sc WHERE event_type = 'purchase' OR y = 1) GROUP BY patient),
+    p AS (SELECT patient, sum(fp) / (sum(duration) / 3600) AS fa_per_hour, avg(auc) AS auc, avg(f1) AS f1 FROM sg GROUP BY patient)
+    SELECT patient, n_events, round(sensitivity, 6) AS sensitivity, round(latency, 6) AS latency, round(fa_per_hour, 6) AS fa_per_hour, round(auc, 6) AS auc, round(f1, 6) AS f1 FROM d JOIN p USING (patient)"""
+)
+def performance_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event and window performance side by side: latency of detected events only; false alarms are those of windows."""
+    sc = scores(spark, sf_dir).where("event_type = 'purchase' or y = 1")
+    d = sc.groupBy("patient").agg(F.count("*").alias("n_events"), F.avg("y").alias("sensitivity"), F.median(F.when(F.col("y") == 1, F.col("w") * 2.5)).alias("latency"))
+    p = segments(spark, sf_dir).groupBy("patient").agg((F.sum("fp") / (F.sum("duration") / 3600)).alias("fa_per_hour"), F.avg("auc").alias("auc"), F.avg("f1").alias("f1"))
+    return d.join(p, "patient").select("patient", "n_events", *R(["sensitivity", "latency", "fa_per_hour", "auc", "f1"]))
+
+
+@query(
+    f"""WITH {SCORES_SQL}, r AS (SELECT patient, record, max(y) AS has, sum(y) AS pos, count(*) AS n FROM sc GROUP BY ALL)
+    SELECT patient, sum(pos)::BIGINT AS n_positive, (sum(n - pos) FILTER (has = 1))::BIGINT AS n_within, sum(n - pos)::BIGINT AS n_all, count(*) AS n_records FROM r GROUP BY patient"""
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive windows, and negative ones within event records and in all records, per patient."""
+    r = scores(spark, sf_dir).groupBy("patient", "record").agg(F.max("y").alias("has"), F.sum("y").alias("pos"), F.count("*").alias("n"))
+    return r.groupBy("patient").agg(F.sum("pos").alias("n_positive"), F.sum(F.when(F.col("has") == 1, F.col("n") - F.col("pos"))).alias("n_within"), F.sum(F.col("n") - F.col("pos")).alias("n_all"), F.count("*").alias("n_records"))
+
+
+@query(
+    f"""WITH {CONFUSION_SQL}, s AS (SELECT 'segment' AS level, {POOLED_SQL} FROM cf), e AS (SELECT 'patient' AS level, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(sensitivity), 6) AS sensitivity, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1
+    FROM (SELECT patient, {POOLED_SQL} FROM cf GROUP BY patient)) SELECT * FROM s UNION ALL SELECT * FROM e"""
+)
+def level_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts pooled over all windows, and as means over patients."""
+    c = confusion(spark, sf_dir)
+    names = ["sensitivity", "precision", "f1"]
+    s = mt.pooled(c).select(F.lit("segment").alias("level"), "tp", "fp", "fn", *R(names))
+    p = c.groupBy("patient").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    p = p.withColumns({"sensitivity": rnd(guarded_ratio(tp, tp + fn)), "precision": rnd(guarded_ratio(tp, tp + fp)), "f1": rnd(ratio_or_zero(2 * tp, 2 * tp + fp + fn))})
+    return s.unionByName(p.agg(F.lit("patient").alias("level"), *(F.sum(x).alias(x) for x in ("tp", "fp", "fn")), *(rnd(F.avg(x)).alias(x) for x in names)))
+
+
+@query(
+    f"""WITH {SCORES_SQL}, r AS (SELECT record, patient, count(*) AS n_windows, sum((event_type = 'purchase')::INTEGER) AS n_events FROM sc GROUP BY ALL)
+    SELECT n_events, count(*) AS n_records, sum(n_windows)::BIGINT AS n_windows, printf('%.6f', avg(n_windows)) AS mean_windows FROM r GROUP BY n_events"""
+)
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings by their number of events, with a mean as fixed-decimal text."""
+    r = scores(spark, sf_dir).groupBy("record", "patient").agg(F.count("*").alias("n_windows"), F.sum((F.col("event_type") == "purchase").cast("int")).alias("n_events"))
+    return r.groupBy("n_events").agg(F.count("*").alias("n_records"), F.sum("n_windows").alias("n_windows"), F.format_string("%.6f", F.avg("n_windows")).alias("mean_windows"))

@@ -167,3 +167,23 @@ def midpoint_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = sc.withColumns({"i": F.row_number().over(order), "next": F.lead("score").over(order)})
     rows = ranked.join(F.broadcast(want), (F.col("patient") == F.col("p")) & (F.col("i") == F.floor("at")))
     return rows.select("patient", "share", rnd(F.col("score") + (F.coalesce("next", "score") - F.col("score")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
+@query(
+    """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i) % 17 = 0 THEN 'NaN'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings), b AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i) % 23 = 0 THEN 'NaN'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings),
+    bad AS (SELECT vec_id, len(list_filter(v, lambda x: isnan(x)))::BIGINT AS n FROM a UNION ALL SELECT vec_id, len(list_filter(v, lambda x: isnan(x))) FROM b) SELECT vec_id, sum(n)::BIGINT AS n_invalid, max(n) <= 3 AS kept FROM bad GROUP BY vec_id"""
+)
+def validity_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of each vector with missing values: how many, and whether both are good enough to compare."""
+    e = table(spark, sf_dir, "embeddings")
+    version = lambda m: e.select("vec_id", F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i + 1) % m == 0, float("nan")).otherwise(x.cast("double"))).alias("v"))
+    count = lambda df, name: df.select("vec_id", F.size(F.filter("v", lambda x: F.isnan(x))).cast("long").alias(name))
+    both = count(version(17), "a").join(count(version(23), "b"), "vec_id")
+    return both.select("vec_id", (F.col("a") + F.col("b")).alias("n_invalid"), (F.greatest("a", "b") <= 3).alias("kept"))
+
+
+@query()
+def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection as a fitted transformer: vectors cut down to the chosen features, in their order of rank."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
+    return sl.FeatureSelector(8, "embedding", "y").fit(v).transform(v).select("vec_id", "selected")
