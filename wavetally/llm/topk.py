@@ -196,42 +196,39 @@ def _search(spark, data: DataFrame, queries: DataFrame, width: int, k: int) -> D
     return _pairs(spark, placed, asked, groups, blocks, meets, width, k)
 
 
+def _dealt(cells: list, size: int) -> dict[int, tuple[int, int]]:
+    """For each cell, its group and the number of blocks: neighbouring small cells share a group of one, a crowded cell has its own of several."""
+    group, filled, out = 0, 0, {}
+    for r in sorted(cells, key=lambda r: r["cell"]):
+        if filled and filled + r["n"] > size:
+            group, filled = group + 1, 0
+        out[r["cell"]] = (group, -(-r["n"] // size))
+        filled += r["n"]
+    return out
+
+
 def _pairs(spark, placed: DataFrame, asked: DataFrame, groups, blocks, meets: dict[int, list[int]], width: int, k: int) -> DataFrame:
-    """Deal queries and data to pairs of blocks that may meet, and search each pair."""
-    # neighbouring small cells share a block; a crowded cell takes several
-    def deal(counts: list, size: int) -> tuple[dict[int, tuple[int, int]], int]:
-        at, filled, out = 0, 0, {}
-        for r in sorted(counts, key=lambda r: r["cell"]):
-            if r["n"] > size:
-                at += 1 if filled else 0
-                out[r["cell"]] = (at, -(-r["n"] // size))
-                at, filled = at + out[r["cell"]][1], 0
-            else:
-                if filled + r["n"] > size:
-                    at, filled = at + 1, 0
-                out[r["cell"]] = (at, 1)
-                filled += r["n"]
-        return out, at + 1
-
-    x_deal, _ = deal(blocks, BLOCK)
-    q_deal, _ = deal(groups, BLOCK)
-    wanted: dict[int, set[int]] = {}  # data cell -> query blocks
-    for cell, gs in meets.items():
-        wanted[cell] = {q_deal[g][0] + j for g in gs for j in range(q_deal[g][1])}
-    askers: dict[int, set[int]] = {}  # query block -> data blocks
-    for cell, qs in wanted.items():
-        for qb in qs:
-            askers.setdefault(qb, set()).update(x_deal[cell][0] + j for j in range(x_deal[cell][1]))
-    x_rows = [(c, a, n, sorted(wanted[c])) for c, (a, n) in x_deal.items() if c in wanted]
-    q_rows = [(qb, sorted(bs)) for qb, bs in askers.items()]
-    if not x_rows:
+    """Deal queries and data to pairs of blocks that may meet, and search each pair.
+
+    What the driver knows is about cells, at most PIVOTS squared pairs of them; the blocks of
+    crowded cells are numbered where the rows are.
+    """
+    x_deal, q_deal = _dealt(blocks, BLOCK), _dealt(groups, BLOCK)
+    pairs = {(x_deal[c], q_deal[g]) for c, gs in meets.items() for g in gs}
+    if not pairs:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
-    x_map = F.broadcast(spark.createDataFrame(x_rows, "cell int, at int, n int, qbs array<int>"))  # a row per pivot
-    q_of = F.broadcast(spark.createDataFrame([(c, a, n) for c, (a, n) in q_deal.items()], "cell int, at int, n int"))
-    q_map = spark.createDataFrame(q_rows, "qb int, xbs array<int>")
-    dealt = (F.col("at") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
-    x = placed.join(x_map, "cell").select(dealt.alias("xb"), F.explode("qbs").alias("qb"), "id", "v", F.lit(None).cast("double").alias("sure"))
-    q = asked.join(q_of, "cell").withColumn("qb", dealt).join(F.broadcast(q_map), "qb").select(F.explode("xbs").alias("xb"), "qb", "id", "v", "sure")
+
+    def against(deal: dict[int, tuple[int, int]], mine: int) -> DataFrame:
+        rows = [(cell, *own, [p[1 - mine] for p in sorted(pairs) if p[mine] == own]) for cell, own in deal.items()]
+        return F.broadcast(spark.createDataFrame(rows, "cell int, own int, n int, met array<struct<other:int,m:int>>"))  # a row per pivot
+
+    def copies(rows: DataFrame, deal: dict[int, tuple[int, int]], mine: int, names: list[str]) -> DataFrame:
+        rows = rows.join(against(deal, mine), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("met", F.explode("met"))
+        rows = rows.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("met")["m"] - 1)))
+        return rows.select(*(F.col(c).alias(n) for c, n in zip(("own", "block", "met.other", "block2"), names)), "id", "v", "sure")
+
+    x = copies(placed.withColumn("sure", F.lit(None).cast("double")), x_deal, 0, ["xg", "xb", "qg", "qb"])
+    q = copies(asked, q_deal, 1, ["qg", "qb", "xg", "xb"])
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -240,4 +237,5 @@ def _pairs(spark, placed: DataFrame, asked: DataFrame, groups, blocks, meets: di
         at, ids, scores = dual_search(_matrix(left["v"], width), q_ids, _matrix(right["v"], width), right["id"].to_numpy(np.int64), k, left["sure"].fillna(-np.inf).to_numpy())
         return pd.DataFrame({"query_id": q_ids[at], "vec_id": ids, "score": scores})
 
-    return q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(search, "query_id long, vec_id long, score long")
+    on = ["qg", "qb", "xg", "xb"]
+    return q.groupBy(*on).cogroup(x.groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score long")
