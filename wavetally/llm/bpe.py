@@ -94,9 +94,12 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
 
 
 class Encoder:
-    """Encodes and decodes texts as the vocabulary file says; keeps the pieces it has met, up to a bound."""
+    """Encodes and decodes texts as the vocabulary file says.
 
-    def __init__(self, path: str, cached: int = 300_000):
+    Keeps ``cached`` pieces that it met last, and as many older ones; a piece met again counts as new.
+    """
+
+    def __init__(self, path: str, cached: int = 100_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.ids: dict[str, int] = told["model"]["vocab"]
@@ -108,6 +111,7 @@ class Encoder:
         self._all_pieces = None
         self.letters = byte_letters()
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.cached = cached
 
     def pieces(self, text: str) -> list[str]:
@@ -131,11 +135,12 @@ class Encoder:
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
         if (got := self.known.get(piece)) is None:
-            ids = self.encode_piece(piece)
-            got = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if (got := self.older.get(piece)) is None:
+                ids = self.encode_piece(piece)
+                got = len(ids), " ".join(map(str, ids)), self.decode(ids)
             if len(piece) <= 64:
                 if len(self.known) >= self.cached:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[piece] = got
         return got
 

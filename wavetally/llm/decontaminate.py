@@ -23,13 +23,15 @@ BLOCKS = 3
 SIMILARITY = 0.8
 #: Bytes of item texts that one index holds; a larger benchmark is scanned in several passes.
 INDEX_BYTES = 8 << 20
+#: Word hashes that a task keeps, and documents that it fingerprints at a time.
+MOST_WORDS, SLICE = 150_000, 512
 #: Shingle positions of a document that are held as bit sums at a time.
 CHUNK = 1 << 14
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -118,15 +120,15 @@ class Index:
 
     @staticmethod
     def _neighbours(prints: np.ndarray, offset: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each block value, whether fingerprints are within ``most`` bits of it, and their places: starts and places."""
+        """Whether any fingerprint is within ``most`` bits of a block value, for all values; and the values in order with the fingerprints' places."""
         value = ((prints >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
         flips = np.array([sum(1 << b for b in f) for r in range(most + 1) for f in combinations(range(width), r)], np.int64)
         keys = (value[:, None] ^ flips[None, :]).ravel()
         places = np.repeat(np.arange(len(prints), dtype=np.int32), len(flips))
         order = np.argsort(keys, kind="stable")
-        starts = np.zeros((1 << width) + 1, np.int32)
-        np.cumsum(np.bincount(keys, minlength=1 << width), out=starts[1:])
-        return starts[1:] > starts[:-1], starts, places[order]
+        known = np.zeros(1 << width, bool)
+        known[keys] = True
+        return known, keys[order].astype(np.int32), places[order]
 
     def similarity(self, k: int, window: np.ndarray) -> float:
         """Sum of the smaller weights over the sum of the larger; a shingle weighs its count times its weight in the benchmark."""
@@ -157,12 +159,13 @@ class Index:
                 if not len(starts):
                     continue
                 fs = window_prints(sums, starts, size)
-                for (known, first, places), offset, width in zip(tables, self.offsets, self.widths):
+                for (known, keys, places), offset, width in zip(tables, self.offsets, self.widths):
                     value = ((fs >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
                     hit = np.flatnonzero(known[value])
                     if not len(hit):
                         continue
-                    begin, n = first[value[hit]], first[value[hit] + 1] - first[value[hit]]
+                    begin = np.searchsorted(keys, value[hit])
+                    n = np.searchsorted(keys, value[hit], side="right") - begin
                     row = np.repeat(hit, n)
                     place = places[np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
                     near = np.bitwise_count(fs[row] ^ prints[place]) <= self.radius
@@ -171,8 +174,12 @@ class Index:
                     out.update(zip(doc[row].tolist(), item[place].tolist(), base.tolist()))
         return all_s, out
 
-    def matches(self, hashes: list[np.ndarray]) -> list[dict[int, tuple[float, int]]]:
-        """For each document, its contaminating items with their best similarity and the word they start at."""
+    def matches(self, texts: Iterable) -> list[dict[int, tuple[float, int]]]:
+        """For each text, its contaminating items with their best similarity and the word they start at."""
+        texts = [t if isinstance(t, str) else None for t in texts]
+        return [found for i in range(0, len(texts), SLICE) for found in self._matches([word_hashes(t) for t in texts[i : i + SLICE]])]
+
+    def _matches(self, hashes: list[np.ndarray]) -> list[dict[int, tuple[float, int]]]:
         all_s, found = self.candidates(hashes)
         best: list[dict[int, tuple[float, int]]] = [{} for _ in hashes]
         for d, k, begin in sorted({(d, k, max(0, min(b, len(all_s[d]) - len(self.items[k][1])))) for d, k, b in found}):
@@ -231,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
             index = _index(sent.value, radius, blocks)
             for pdf in batches:
                 rows, found = [], []
-                for i, got in enumerate(index.matches([word_hashes(t if isinstance(t, str) else None) for t in pdf["_text"]])):
+                for i, got in enumerate(index.matches(pdf["_text"])):
                     for item, (sim, word) in got.items():
                         if sim >= similarity:
                             rows.append(i)
@@ -255,7 +262,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
         def scan(batches: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = _index(sent.value, RADIUS, BLOCKS)
             for pdf in batches:
-                found = index.matches([word_hashes(t if isinstance(t, str) else None) for t in pdf[text]])
+                found = index.matches(pdf[text])
                 clean = [not any(s >= SIMILARITY for s, _ in got.values()) for got in found]
                 yield pdf[clean]
 

@@ -142,7 +142,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or has a share under ``least`` of the text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     langs, logp = train(rows, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

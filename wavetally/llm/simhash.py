@@ -245,7 +245,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return prints.join(named, "_f0", "left").select("doc_id", F.lower(F.lpad(F.hex("_f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 10, wide_radius: int = 22) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 12, wide_radius: int = 24) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest doc_id.
 
     Fingerprints are 64 bits for the index (``radius``) and 128 more to verify a
