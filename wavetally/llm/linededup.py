@@ -8,7 +8,7 @@ from .shared import plain_names, written
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 5
-#: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K), doubled to be safe.
+#: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K), of which four count as unsure.
 LG_K = 10
 
 
@@ -35,7 +35,7 @@ def spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     lines = written(lines, "lines")
     # a line with one site, as most have, is no candidate for any threshold of two or more
     sketched = lines.groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_id"), F.min("site").alias("a"), F.max("site").alias("b"))
-    error = 2 * 1.04 / 2 ** (lg_k / 2)
+    error = 4 * 1.04 / 2 ** (lg_k / 2)
     sketched = sketched.where(F.lit(min_sites <= 1) | (F.col("a") != F.col("b"))).select("line_hash", "first_id", F.hll_sketch_estimate("sketch").alias("estimate"))
     sketched = written(sketched.where(F.col("estimate") >= min_sites * (1 - error) - 1), "sketched")
     unsure = F.col("estimate") <= min_sites * (1 + error) + 1
