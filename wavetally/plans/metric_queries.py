@@ -247,7 +247,7 @@ def level_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES_SQL}, r AS (SELECT record, patient, count(*) AS n_windows, sum((event_type = 'purchase')::INTEGER) AS n_events FROM sc GROUP BY ALL)
+    f"""WITH {SCORES_SQL}, r AS (SELECT record, patient, count(*) AS n_windows, sum((event_type = 'purchase')::INTEGER)::BIGINT AS n_events FROM sc GROUP BY ALL)
     SELECT n_events, count(*) AS n_records, sum(n_windows)::BIGINT AS n_windows, printf('%.6f', avg(n_windows)) AS mean_windows FROM r GROUP BY n_events"""
 )
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

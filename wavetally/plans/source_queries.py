@@ -163,12 +163,12 @@ def montage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("vec_id").agg(F.count("*").alias("n_channels"), F.sum("channel_idx").cast("long").alias("checksum"))
 
 
-@query("SELECT vec_id, ['CH15'] AS missing FROM embeddings WHERE vec_id % 7 = 0")
+@query("SELECT vec_id, 'CH15' AS missing FROM embeddings WHERE vec_id % 7 = 0")
 def montage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the other records miss."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 14).otherwise(15))).alias("channel_idx"))
     wanted = spark.createDataFrame([(i, f"CH{i:02d}") for i in range(16)], "pos int, name string")
-    return rc.montage(e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx")), wanted, ["vec_id"])[1]
+    return rc.montage(e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx")), wanted, ["vec_id"])[1].withColumn("missing", F.array_join("missing", ";"))
 
 
 @query("SELECT label % 3 AS patient, label AS record, vec_id AS w, (label = 0 AND vec_id % 2 = 0)::INTEGER AS label, (max((label = 0 AND vec_id % 2 = 0)::INTEGER) OVER (PARTITION BY label))::INTEGER AS record_class FROM embeddings WHERE vec_id % 11 <> 0")
