@@ -11,6 +11,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import frugal
+
 #: Fixed values of the vocabulary file's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -159,16 +161,6 @@ class Encoder:
         return sum(x[0] for x in out), " ".join(x[1] for x in out), " ".join(x[2] for x in out)
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, loaded once a process."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
-
-
 def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and ``decoded`` (both joined by spaces); a null text counts as empty.
 
@@ -180,12 +172,12 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
     schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids"), F.lit("").alias("decoded")).schema
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = Encoder(path)
         for pdf in batches:
             rows = [e.encode(t if isinstance(t, str) else None) for t in pdf[text]]
             yield pdf.assign(n_tokens=pd.Series([r[0] for r in rows], index=pdf.index, dtype="int64"), ids=[r[1] for r in rows], decoded=[r[2] for r in rows])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(frugal(run), schema)
 
 
 def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -195,9 +187,9 @@ def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, sha = encoder(path), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        e, sha = Encoder(path), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for pdf in batches:
             rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in (e.encode(t if isinstance(t, str) else None) for t in pdf["text"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series([r[0] for r in rows], index=pdf.index, dtype="int64"), "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(frugal(run), schema)

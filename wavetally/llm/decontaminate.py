@@ -13,6 +13,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import frugal
+
 #: Words of a shingle.
 SHINGLE = 5
 #: Fingerprint windows within this many bits of an item's window are verified.
@@ -190,18 +192,11 @@ class Index:
         return best
 
 
-_BUILT: dict[str, Index] = {}
-
-
 def _index(told: bytes, radius: int, blocks: int) -> Index:
-    """The index of a pickled group of items, built once a process."""
-    key = f"{xxhash.xxh64_hexdigest(told)}-{radius}-{blocks}"
-    if key not in _BUILT:
-        if len(_BUILT) >= 2:
-            _BUILT.clear()
-        items, weights, unseen = pickle.loads(told)
-        _BUILT[key] = Index([(i, word_hashes(t)) for i, t in items], weights, unseen, radius, blocks)
-    return _BUILT[key]
+    """The index of a pickled group of items; a task builds its own."""
+    _WORDS.clear()
+    items, weights, unseen = pickle.loads(told)
+    return Index([(i, word_hashes(t)) for i, t in items], weights, unseen, radius, blocks)
 
 
 def item_groups(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[bytes]:
@@ -246,8 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
                 if rows:
                     part = pdf[list(keep)].iloc[rows].reset_index(drop=True)
                     yield pd.concat([part, pd.DataFrame(found, columns=["item_id", "similarity", "word"])], axis=1)
+            _WORDS.clear()
 
-        got = docs.mapInPandas(scan, schema)
+        got = docs.mapInPandas(frugal(scan), schema)
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -265,6 +261,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
                 found = index.matches(pdf[text])
                 clean = [not any(s >= SIMILARITY for s, _ in got.values()) for got in found]
                 yield pdf[clean]
+            _WORDS.clear()
 
-        rows = rows.mapInPandas(scan, docs.schema)
+        rows = rows.mapInPandas(frugal(scan), docs.schema)
     return rows.select(*columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import plain_names
+from .shared import frugal, plain_names
 
 #: Hash buckets of the character n-grams of a language model.
 BUCKETS = 1 << 14
@@ -58,7 +58,7 @@ def train(docs: DataFrame, learn: "F.Column", text: str = "text", lang: str = "l
             yield pd.DataFrame({"lang": l, "bucket": at.astype(np.int32), "n": c[at]})
 
     rows = docs.where(learn).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    got = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    got = rows.mapInPandas(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in got})
     table = np.full((len(langs), buckets), 0.5)
     for r in got:
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "te
                 scores.append(min(max(s, 0.0), 1.0))
             yield pdf.assign(lang_pred=names, score=np.array(scores, float))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(frugal(run), schema)
 
 
 def held_out(doc_id: "F.Column") -> "F.Column":

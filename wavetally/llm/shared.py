@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def frugal(run: Callable) -> Callable:
+    """A function over batches that gives a task's memory back when it ends: workers are used again for other operators."""
+
+    @wraps(run)
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as far as the allocators do."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns named by position, so that they clash with nothing, and the new name of each."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import plain_names, written
+from .shared import frugal, plain_names, written
 
 #: Shingles whose bits are counted at a time, which bounds the memory of very long texts.
 CHUNK = 1 << 15
@@ -69,7 +69,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, wide
                 rows.append([majority(h), *(majority(_spread(h, s)) for s in SPREAD[:wide])])
             yield pdf.assign(**{f"_f{k}": np.array([r[k] for r in rows], np.int64) for k in range(wide + 1)})
 
-    return docs.mapInPandas(add, schema)
+    return docs.mapInPandas(frugal(add), schema)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ def simhash_links(prints: DataFrame, radius: int, wide_radius: int | None = None
                 found += _linked(node, [np.asarray(f, np.int64).view(np.uint64)[at] for f in fs], limits)
             yield pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype(np.int64)
 
-    return met.select("node", *cols).mapInPandas(verify, "a long, b long")
+    return met.select("node", *cols).mapInPandas(frugal(verify), "a long, b long")
 
 
 def simhash_groups(prints: DataFrame, radius: int = 4, wide_radius: int | None = None) -> DataFrame:
