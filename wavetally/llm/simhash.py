@@ -261,4 +261,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     groups = written(simhash_groups(nodes.drop("first"), radius, wide_radius), "groups")
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.rid").alias("_rid")), "kept")
-    return rows.join(kept, "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))
+    return rows.join(kept.hint("merge"), "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))
