@@ -14,13 +14,17 @@ from .shared import written
 
 #: Factor of a backed-off score, and the count from which a bigram is in the table.
 ALPHA, MIN_COUNT = 0.4, 2
-#: A word or bigram is frequent from this share of all tokens; so there are at most 1 / SHARE of each.
-SHARE = 1 / 65536
+#: A word or bigram is frequent from this share of all tokens; so there are at most 1 / share of each.
+WORD_SHARE, PAIR_SHARE = 1 / 262144, 1 / 65536
 #: Word id of a document's start; ids have 47 bits.
 START = 1
 ID_BITS = 47
-#: Tokens that a task counts at a time.
-CHUNK = 1 << 20
+#: Tokens and documents that a task counts at a time.
+CHUNK, MOST_DOCS = 1 << 20, 1 << 13
+#: Bits of a row's times seen, beside its kind (3 bits) and its document's number.
+TF_BITS = 7
+#: Units of a sum that is sent as an integer.
+UNITS = 1e11
 
 
 def word_ids(text: str | None) -> np.ndarray:
@@ -39,7 +43,7 @@ def _batches(pdfs: Iterable[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndar
                 ids.append(w)
                 rids.append(np.full(len(w), rid, np.int64))
                 n += len(w)
-            if n >= CHUNK:
+            if n >= CHUNK or len(ids) >= MOST_DOCS:
                 yield np.concatenate(ids), np.concatenate(rids)
                 ids, rids, n = [], [], 0
     if n:
@@ -73,9 +77,9 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     is a word of its own, and N is the number of words without starts. The table
     keeps bigrams seen ``min_count`` times or more.
 
-    Words and bigrams above SHARE of all tokens are few by their definition and are
+    Words and bigrams above their share of all tokens are few by their definition and are
     known to every task; any other key is rare, and so no partition gets a hot one. A bigram is
-    dealt by its rare word (by either, if both are rare), beside that word's count.
+    dealt by its rare word (by either, if both are rare), where that word's occurrences are counted as well.
 
     Null and wordless texts have no tokens and a null mean; repeated rows repeat
     and count; other columns are ignored; an empty table gives no rows.
@@ -86,9 +90,10 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     starts, total = words.agg(F.sum(F.when(F.col("word") == START, F.col("c"))), F.sum("c")).first()
     total, starts = int(total or 0), int(starts or 0)
     n = max(total - starts, 1)
-    # at most 1 / SHARE + 1 rows
-    hot = sorted((r["word"], r["c"]) for r in words.where((F.col("c") >= max(1.0, total * SHARE)) | (F.col("word") == START)).collect())
+    # at most 1 / WORD_SHARE + 1 rows
+    hot = sorted((r["word"], r["c"]) for r in words.where((F.col("c") >= max(1.0, total * WORD_SHARE)) | (F.col("word") == START)).collect())
     hot_words, hot_counts = np.array([w for w, _ in hot], np.int64), np.array([c for _, c in hot], np.int64)
+    least = total * PAIR_SHARE
     sent = spark.sparkContext.broadcast((hot_words, hot_counts))
 
     def pairs_of(ids: np.ndarray, rids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,30 +106,47 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for ids, rids in _batches(pdfs):
             _, _, _, a, b = pairs_of(ids, rids)
             both = (a >= 0) & (b >= 0)
+            both[both] = (sent.value[1][a[both]] >= least) & (sent.value[1][b[both]] >= least)
             k, c = np.unique((a[both] << 20) | b[both], return_counts=True)
             yield pd.DataFrame({"pair": k, "c": c})
 
-    frequent = rows.select("rid", "text").mapInPandas(count_frequent, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= max(min_count, total * SHARE))
-    known = sorted((r["pair"], r["c"]) for r in frequent.collect())  # at most 1 / SHARE rows
+    frequent = rows.select("rid", "text").mapInPandas(count_frequent, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= max(min_count, least))
+    known = sorted((r["pair"], r["c"]) for r in frequent.collect())  # at most 1 / PAIR_SHARE rows
     sent_pairs = spark.sparkContext.broadcast((np.array([p for p, _ in known], np.int64), np.array([c for _, c in known], np.int64)))
 
     def explode(pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per document and bigram: pk is what it is dealt by; kind 3 and 4 are the two rows of a rare pair; kind 9 is a sum that needs no table."""
+        """A row per document and bigram, dealt by pk; code holds the document's number, the kind of row and the times seen.
+
+        Kinds: 0, both words frequent; 1 and 2, the right or the left one rare; 3 and 4, the two rows of two rare
+        ones; 6, a document's own row, with its id; 7, a document's sum that needs no table, in units of 1 / UNITS.
+        """
+        for pdf in pdfs:
+            if len(pdf) and int(pdf["rid"].max()) >> (60 - TF_BITS):
+                raise ValueError("documents lie in too many partitions to be numbered beside a row's kind")
+            yield pd.DataFrame({"pk": pdf["rid"], "other": 0, "code": coded(pdf["rid"].to_numpy(), 6, 0), "doc_id": pdf["doc_id"]})
+            yield from explode_words([pdf])
+
+    def coded(rid: np.ndarray, kind: int, tf) -> np.ndarray:
+        return (rid << (TF_BITS + 3)) | (kind << TF_BITS) | tf
+
+    def explode_words(pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair_keys, pair_counts = sent_pairs.value
         counts = sent.value[1]
         for ids, rids in _batches(pdfs):
             v, w, r, a, b = pairs_of(ids, rids)
-            key = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (r.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+            doc = np.cumsum(np.concatenate(([False], r[1:] != r[:-1]))) if len(r) else r
+            mix = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            key = (doc.astype(np.uint64) << np.uint64(50)) | ((mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(14))
             _, first, tf = np.unique(key, return_index=True, return_counts=True)
-            order = np.argsort(first)
-            first, tf = first[order], tf[order]
             v, w, r, a, b = v[first], w[first], r[first], a[first], b[first]
             at = np.where((a >= 0) & (b >= 0), _place(pair_keys, (a << 20) | b), -1)
             done = at >= 0
             if done.any():
                 score = tf[done] * (np.log(pair_counts[at[done]]) - np.log(counts[a[done]]))
                 docs_of, where = np.unique(r[done], return_inverse=True)
-                yield _rows(9, np.zeros(len(docs_of), np.int64), 0, docs_of, np.bincount(where, tf[done]).astype(np.int64), np.bincount(where, score))
+                n_done = np.bincount(where, tf[done]).astype(np.int64)
+                units = np.round(np.bincount(where, score) * UNITS).astype(np.int64)
+                yield pd.DataFrame({"pk": units, "other": n_done, "code": coded(docs_of, 7, 0), "doc_id": None})
             left = ~done
             for kind, mine, pk, other in (
                 (0, left & (a >= 0) & (b >= 0), -((a << 20) | b) - 1, np.zeros(len(a), np.int64)),
@@ -133,33 +155,41 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 (3, left & (a < 0) & (b < 0), v, w),
                 (4, left & (a < 0) & (b < 0), w, v),
             ):
-                if mine.any():
-                    yield _rows(kind, pk[mine], other[mine], r[mine], tf[mine], 0.0)
-
-    grams = rows.select("rid", "text").mapInPandas(explode, "kind byte, pk long, other long, rid long, tf int, score double")
-    sums = grams.where("kind = 9").select("rid", "tf", "score", F.lit(0).alias("backoff"))
-    own = grams.where("kind <> 9").select("kind", "pk", "other", "rid", "tf")
-    rare = words.where(F.col("c") < max(1.0, total * SHARE)).select(F.col("word").alias("pk"), F.col("c").alias("pk_c"))
-    own = own.join(rare.hint("shuffle_hash"), "pk", "left")
-
+                times = tf[mine]
+                more = np.maximum(1, -(-times // ((1 << TF_BITS) - 1)))  # a row for each so many times
+                at_once = np.minimum(times, (1 << TF_BITS) - 1)
+                if (more > 1).any():
+                    part = np.concatenate([np.arange(m) for m in more])
+                    times, at_once = np.repeat(times, more), np.repeat(at_once, more)
+                    at_once = np.clip(times - part * ((1 << TF_BITS) - 1), 0, (1 << TF_BITS) - 1)
+                if len(times):
+                    keys, code = np.repeat(pk[mine], more), coded(np.repeat(r[mine], more), kind, at_once)
+                    near = np.argsort(keys, kind="stable")  # equal keys beside each other make the shuffle smaller
+                    yield pd.DataFrame({"pk": keys[near], "other": np.repeat(other[mine], more)[near], "code": code[near], "doc_id": None})
+
+    number = lambda name: F.lit(0).cast("long").alias(name)
+    grams = rows.mapInPandas(explode, rows.select(number("pk"), number("other"), number("code"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id")).schema)
+    own = grams.repartition("pk").withColumn("kind", F.shiftright("code", TF_BITS).bitwiseAND(F.lit(7))).sortWithinPartitions("pk", "other", "kind")
+    own = own.withColumns({"rid": F.shiftright("code", TF_BITS + 3), "tf": F.col("code").bitwiseAND(F.lit((1 << TF_BITS) - 1))})
+    # all occurrences of a rare word are the right ones of its kinds 1 and 4; both windows use the one shuffle and its order
+    own = own.withColumn("pk_c", F.sum(F.when(F.col("kind").isin(1, 4), F.col("tf"))).over(Window.partitionBy("pk")))
     own = own.withColumn("c", F.sum("tf").over(Window.partitionBy("pk", "other", "kind")))
+    other = F.col("other")
     held = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(hot_counts)], "i long, hot_c long"))
-    left_place = F.when(F.col("kind") == 0, F.shiftright(-F.col("pk") - 1, 20)).when(F.col("kind") == 1, F.col("other"))
-    right_place = F.when(F.col("kind") == 0, (-F.col("pk") - 1).bitwiseAND(F.lit((1 << 20) - 1))).when(F.col("kind") == 2, F.col("other"))
-    place = F.when(F.col("c") >= min_count, left_place).otherwise(right_place)  # the count needed: of v if the table has vw, else of w
+    numbered = F.col("kind") < 6
+    left_place = F.when(F.col("kind") == 0, F.shiftright(-F.col("pk") - 1, 20)).when(F.col("kind") == 1, other)
+    right_place = F.when(F.col("kind") == 0, (-F.col("pk") - 1).bitwiseAND(F.lit((1 << 20) - 1))).when(F.col("kind") == 2, other)
+    place = F.when(~numbered, None).when(F.col("c") >= min_count, left_place).otherwise(right_place)  # the count needed: of v if the table has vw, else of w
     own = own.withColumn("i", place).join(held, "i", "left").withColumn("u", F.coalesce("hot_c", "pk_c"))
     seen = F.col("c") >= min_count
     seen_score = F.log("c") - F.log("u")
     back_score = F.log(F.col("u") / n) + log(alpha)
-    score = F.when(seen, F.when(F.col("kind") != 4, seen_score).otherwise(0.0)).otherwise(F.when(F.col("kind") != 3, back_score).otherwise(0.0))
-    backed = F.when(~seen & (F.col("kind") != 3), F.col("tf")).otherwise(0)
-    tokens = F.when(F.col("kind") != 4, F.col("tf")).otherwise(0)
-    own = own.select("rid", tokens.alias("tf"), (score * F.col("tf")).alias("score"), backed.alias("backoff"))
-    per_doc = sums.unionByName(own).groupBy("rid").agg(F.sum("tf").alias("n"), F.sum("score").alias("score"), F.sum("backoff").alias("backoff"))
-    found = rows.select("rid", "doc_id").join(per_doc, "rid", "left")
-    return found.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("backoff", F.lit(0)).alias("n_backoff"), F.round(F.col("score") / F.col("n"), 6).alias("mean_logprob"))
-
-
-def _rows(kind: int, pk, other, rid, tf, score) -> pd.DataFrame:
-    n = len(pk)
-    return pd.DataFrame({"kind": np.full(n, kind, np.int8), "pk": pk, "other": np.broadcast_to(other, n), "rid": rid, "tf": np.asarray(tf).astype(np.int32), "score": np.broadcast_to(score, n)})
+    score = F.when(~numbered, 0.0).when(seen, F.when(F.col("kind") != 4, seen_score).otherwise(0.0)).otherwise(F.when(F.col("kind") != 3, back_score).otherwise(0.0))
+    zero = F.lit(0).cast("long")
+    backed = F.when(numbered & ~seen & (F.col("kind") != 3), F.col("tf")).otherwise(zero)
+    tokens = F.when(F.col("kind") == 7, other).when(F.col("kind").isin(4, 6), zero).otherwise(F.col("tf"))
+    total_score = F.when(F.col("kind") == 7, F.col("pk") / UNITS).otherwise(score * F.col("tf"))
+    own = own.select("rid", "doc_id", tokens.alias("tf"), total_score.alias("score"), backed.alias("backoff"))
+    found = own.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("tf").alias("n"), F.sum("score").alias("score"), F.sum("backoff").alias("backoff"))
+    mean = F.when(F.col("n") > 0, F.round(F.col("score") / F.col("n"), 6))
+    return found.select("doc_id", F.col("n").alias("n_tokens"), F.col("backoff").alias("n_backoff"), mean.alias("mean_logprob"))
