@@ -4,7 +4,8 @@ import struct
 
 import pytest
 
-from wavetally.operators.sampling import budgeted_training
+from wavetally.operators.models import fold_scores
+from wavetally.operators.sampling import budgeted_training, fold_training
 from wavetally.config import Config
 from wavetally.sources import recordings as rc, summaries as sm
 
@@ -93,3 +94,18 @@ def test_budget(spark):
     assert sum(r.y for r in got) == 18 and len(got) == 108
     assert budgeted_training(df, Config(budget=5000)).count() == 900
     assert budgeted_training(df, Config(budget=10)).count() == 18
+
+
+def test_each_fold_has_both_classes_within_its_budget(spark):
+    rows = [(i % 4, i // 4, int(i % 10 > 0), i % 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "record long, w long, y int, own long")
+    got = fold_training(df, Config(budget=100, strata=7)).collect()
+    for task in range(4):
+        own = [r for r in got if r.task == task]
+        assert all(r.own != task for r in own) and len({(r.record, r.w) for r in own}) == len(own)
+        assert abs(sum(r.y == 1 for r in own) - 90) <= 2 and abs(sum(r.y == 0 for r in own) - 10) <= 2  # shares are rounded
+    assert fold_training(df, Config(budget=5000)).count() == 3 * 2000
+    few = df.where("y = 0 or w < 3")
+    assert {r["count"] for r in fold_training(few, Config(budget=50)).groupBy("task", "y").count().where("y = 1").collect()} <= {6, 7, 8, 9}
+    scored = fold_scores(df.selectExpr("record", "w", "y", "array(y + w % 3, w % 5) as features", "own as fold"), "fold", Config(budget=100, strata=7))
+    assert scored.count() == 2000 and scored.where("score is null").count() == 0

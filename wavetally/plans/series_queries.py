@@ -117,7 +117,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") % 10).alias("record"), F.floor(F.col("vec_id") / 10).alias("w"), (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").alias("features"))
 
 
-TRAINING = Config(budget=1500, strata=10)
+#: Training rows of a fold: the budget and strata of the reference.
+TRAINING = Config()
 
 
 @query()
@@ -138,7 +139,7 @@ def random_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave one record out with hyper-parameters chosen inside each fold on a small grid."""
     grid = {"k_feat": (10, 20), "c": (1.0,), "gamma": ("scale",)}
-    s = md.fold_scores(labelled(spark, sf_dir).withColumn("fold", F.col("record")), "fold", Config(budget=400, strata=10), grid)
+    s = md.fold_scores(labelled(spark, sf_dir).withColumn("fold", F.col("record")), "fold", TRAINING, grid)
     return s.groupBy("fold", "k_feat", "c", "gamma", "error").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("n_alarm"))
 
 
