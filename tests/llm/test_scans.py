@@ -113,3 +113,16 @@ def test_battery():
 @pytest.mark.parametrize("f", [pii.personal_data, sec.secrets])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secrets_behind_a_name(spark):
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(r.choices(letters, k=60))
+    words = ["".join(r.choices(["ation", "th", "er", "ing", "Re", "con", "s", "e", "ment"], k=12))[:40] + str(i % 3) for i in range(300)]
+    rows = [f"sessionid={key()}; x" for _ in range(3)] + [f"a_long_name_of_words+{key()} x" for _ in range(3)] + [f"see {w} here" for w in words]
+    got = {x.doc_id: x.spans for x in sec.secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum("random:10:70" in got[i] for i in range(3)) >= 2 and sum(":81" in got[i] for i in range(3, 6)) >= 2
+    assert sec.tokens_of("sig=" + "aZ3" * 8 + "== k=" + "b" * 20 + "=c") == [(4, 30, "aZ3" * 8 + "=="), (33, 53, "b" * 20)]
+    mixed = "_" + "a+/Z" * 6 + "-x"
+    assert (1, 25, "a+/Z" * 6) in sec.tokens_of(mixed)

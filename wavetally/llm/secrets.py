@@ -21,7 +21,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Tokens that the battery tests, and the shortest of them.
 MIN_TOKEN = 20
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?" % MIN_TOKEN)
+#: What a run without an encoding is split at: the characters foreign to one of the two widest alphabets.
+FOREIGN = (re.compile(r"[^_-]+"), re.compile(r"[^+/]+"))
 #: Alphabets in the order in which an encoding is inferred.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {
@@ -58,6 +60,22 @@ def encoding_of(token: str) -> str | None:
     return next((k for k, a in ALPHABETS.items() if chars <= set(a)), None)
 
 
+def tokens_of(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, token)`` of the runs that have an encoding, and of the long enough parts of mixed ones.
+
+    A run with characters of both base64 and base64url is split at those of either, as
+    the secret may be of the other; parts may overlap.
+    """
+    out = []
+    for m in TOKEN.finditer(text):
+        if encoding_of(m[0]):
+            out.append((m.start(), m.end(), m[0]))
+        else:
+            parts = {(m.start() + x.start(), m.start() + x.end(), x[0]) for f in FOREIGN for x in f.finditer(m[0])}
+            out += sorted(x for x in parts if len(x[2].rstrip("=")) >= MIN_TOKEN)
+    return out
+
+
 def _tail(z: float) -> float:
     """Upper tail of the standard normal."""
     return 0.5 * erfc(z / sqrt(2))
@@ -116,8 +134,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 far = -1
                 ends = [far := max(far, e) for _, e, _ in own]
                 starts = [s for s, _, _ in own]
-                clear = lambda m: not (i := bisect_right(starts, m.end() - 1)) or ends[i - 1] <= m.start()
-                tokens.append([{"s": m.start(), "e": m.end(), "token": m[0]} for m in TOKEN.finditer(t) if clear(m) and encoding_of(m[0])])
+                clear = lambda a, b: not (i := bisect_right(starts, b - 1)) or ends[i - 1] <= a
+                tokens.append([{"s": a, "e": b, "token": x} for a, b, x in tokens_of(t) if clear(a, b)])
             yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "base": base, "tokens": tokens})
 
     return written(rows.mapInPandas(find, schema), "scanned")
@@ -189,7 +207,9 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = scan(docs, doc_id, text)
     passed = written(random_tokens(found), "passed")
     hits = found.select("rid", F.explode("tokens").alias("t")).select("rid", "t.s", "t.e", "t.token").join(passed, "token", "left_semi")
-    more = written(hits.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("more")), "more")
+    inside = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+    more = hits.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
+    more = written(more.select("rid", F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y))).alias("more")), "more")
     rows = found.select("rid", "doc_id", "base").join(more, "rid", "left")
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
