@@ -127,6 +127,13 @@ def test_lines_equal_brute_force(spark, least):
     assert linededup.drop_boilerplate(df.withColumn("n_chars", df.doc_id)).columns == [*df.columns, "n_chars"]
 
 
+def test_only_documents_with_nothing_left_go(spark):
+    menu = "\n".join(f"menu entry number {i}" for i in range(40))
+    docs = [(i, menu, f"site{i}") for i in range(5)] + [(5, menu + "\nits own line", "site5"), (6, menu + "\n \t", "site6"), (7, " ", "site7")]
+    kept = {r.doc_id: r.text for r in linededup.drop_boilerplate(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert kept == {0: menu, 5: "its own line", 7: " "}
+
+
 def plain_scores(docs):
     ws = [(d, t.encode().lower().split() if t else []) for d, t in docs]
     uni, bi = Counter(), Counter()

@@ -72,16 +72,15 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
 
-def drop_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", min_sites: int = 10, own_share: float = 0.2) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without boilerplate lines, with the same columns; ``n_chars``, if there, follows the text.
 
-    A document that keeps under ``own_share`` of its characters has next to nothing of
-    its own left and goes; one that loses no line always stays.
+    A document goes only if it loses lines and nothing but blanks is left.
     """
     plain, names = plain_names(docs)
     own = names[text]
-    rows = without_spread_lines(plain.withColumn("before", F.length(own)), names[doc_id], own, names[site], min_sites)
-    rows = rows.where((F.col("n_removed") == 0) | ((F.length(F.trim(own)) > 0) & (F.length(own) >= own_share * F.col("before"))))
+    rows = without_spread_lines(plain, names[doc_id], own, names[site], min_sites)
+    rows = rows.where((F.col("n_removed") == 0) | F.col(own).rlike(r"\S"))
     chars = names.get(n_chars)
     counted = lambda c: F.when(F.col("n_removed") > 0, F.length(own).cast(docs.schema[n_chars].dataType)).otherwise(F.col(c)) if c == chars else F.col(c)
     return rows.select(*(counted(new).alias(old) for old, new in names.items()))
