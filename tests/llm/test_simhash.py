@@ -113,3 +113,25 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in (100, 101, 102)}, **{i: 500 for i in range(500, 541)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_near_copies_equal_brute_force_similarity(spark):
+    r = random.Random(5)
+    ts = []
+    for _ in range(8):
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        ts.append(" ".join(base))
+        for _ in range(12):
+            c = list(base)
+            for at in r.sample(range(200), r.randint(1, 8)):
+                c[at] = f"x{r.randrange(10**6)}"
+            ts.append(" ".join(c))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in ts]
+    root = list(range(len(ts)))
+    for i in range(len(ts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in sh.drop_near_duplicates(df, block=4).collect()) == sorted(set(root))

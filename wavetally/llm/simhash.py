@@ -19,6 +19,9 @@ CHUNK = 1 << 15
 #: Seeds that spread a shingle's hash to further, independent fingerprint words.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
+#: MinHash bands of the near-copy stage and values in each: a pair at 0.8 meets with probability 1 - (1 - 0.8 ** 6) ** 24.
+BANDS, BAND_ROWS = 24, 6
+
 
 def words(text: str | None) -> list[bytes]:
     """Words of a text: A-Z in lower case, split at space and the characters 9 to 13."""
@@ -245,20 +248,93 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return prints.join(named, "_f0", "left").select("doc_id", F.lower(F.lpad(F.hex("_f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 12, wide_radius: int = 24) -> DataFrame:
+def add_bands(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with ``node``, a hash of the text's set of shingles, and ``keys``, a MinHash key for each of ``BANDS``."""
+    schema = docs.select("*", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("keys")).schema
+
+    def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        draw = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+        times, plus = draw[0] | np.uint64(1), draw[1]
+        for pdf in batches:
+            nodes, keys = [], []
+            for t in pdf[text]:
+                h = shingle_set(t, shingle)
+                nodes.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 5)).view(np.int64))
+                least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+                for i in range(0, len(h), 1024):
+                    least = np.minimum(least, (_spread(h[i : i + 1024], 0)[:, None] * times + plus >> np.uint64(16)).min(axis=0))
+                keys.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))] if len(h) else [])
+            yield pdf.assign(node=np.array(nodes, np.int64), keys=keys)
+
+    return docs.mapInPandas(frugal(add), schema)
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order."""
+    return np.unique(shingle_hashes(words(text if isinstance(text, str) else None), n))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``sets(node, set)`` have a Jaccard similarity of at least ``similarity``."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where((both > 0) & (both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 64) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest doc_id.
 
-    Fingerprints are 64 bits for the index (``radius``) and 128 more to verify a
-    candidate (``wide_radius``): together they hold pairs whose shingle sets
-    agree to about 0.8. Ties and null doc_ids are decided by a row number, so
-    exactly one row stays. Columns are those of ``docs``.
+    Documents are linked if their sets of shingles have a Jaccard similarity of ``similarity``
+    or more; groups are the components. Documents meet by MinHash bands, which find a pair
+    at 0.8 with a probability of 0.9993, and each pair that links is verified on the sets themselves.
+    Two rounds compare a bucket's documents with a representative; what is then still in
+    different components is compared pair by pair, in blocks.
+    Ties and null doc_ids are decided by a row number, so exactly one row stays. Columns are those of ``docs``.
     """
     docs, names = plain_names(docs)
     doc_id, text = names[doc_id], names[text]
-    rows = written(add_fingerprints(docs, text, shingle, wide=2).withColumn("_rid", F.monotonically_increasing_id()).withColumn("node", F.xxhash64("_f0", "_f1", "_f2")), "rows")
+    rows = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_rid").alias("rid"))
-    nodes = written(rows.groupBy("node", "_f0", "_f1", "_f2").agg(F.min(order).alias("first")), "nodes")
-    groups = written(simhash_groups(nodes.drop("first"), radius, wide_radius), "groups")
+    banded = written(add_bands(rows.select("_rid", F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", shingle).select("_rid", F.col("_id").alias(doc_id), "node", "keys"), "banded")
+    nodes = written(banded.groupBy("node").agg(F.min(order).alias("first")), "nodes")
+    heads = banded.join(nodes.select(F.col("first.rid").alias("_rid")).hint("merge"), "_rid", "left_semi")
+    keys = written(heads.select("node", F.posexplode("keys").alias("band", "key")), "keys")
+    shared = written(keys.groupBy("band", "key").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in (0, 1))).where("n > 1"), "shared")
+    met = written(keys.join(shared.hint("merge"), ["band", "key"]), "met")
+    own = met.select("node").distinct().join(nodes.select("node", F.col("first.rid").alias("_rid")), "node")
+    told = rows.select("_rid", F.col(text).alias("_t")).join(own.hint("merge"), "_rid")
+
+    def sets_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "set": [shingle_set(t, shingle).view(np.int64) for t in pdf["_t"]]})
+
+    sets = written(told.select("node", "_t").mapInPandas(frugal(sets_of), "node long, set array<long>"), "sets")
+    links, groups = None, None
+
+    def placed() -> DataFrame:
+        """The buckets' nodes with their components so far."""
+        return met.withColumn("c", F.col("node")) if groups is None else met.join(groups.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n"), "left").withColumn("c", F.coalesce("root", "node")).drop("_n", "root")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, groups
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        new = written(similar_pairs(pairs, sets, similarity), "links")
+        links = new if links is None else links.unionByName(new)
+        groups = written(connected_components(links), "groups")
+
+    for k in (0, 1):
+        heard = placed()
+        if groups is not None:
+            heard = heard.join(groups.select(F.col("node").alias(f"r{k}"), F.col("root").alias("_c")).hint("merge"), f"r{k}", "left").where(F.col("c") != F.coalesce("_c", f"r{k}"))
+        link(heard.where(F.col("node") != F.col(f"r{k}")).select(F.col("node").alias("a"), F.col(f"r{k}").alias("b")))
+    heard = written(placed().select("band", "key", "n", "node", "c"), "placed")
+    mixed = written(heard.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key"), "mixed")
+    rest = heard.join(mixed.hint("merge"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.groupBy("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("node", "c")).alias("m"))
+    pairs = dealt.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (y["c"] != F.col("x.c")))).alias("y"))
+    link(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.rid").alias("_rid")), "kept")
     return rows.join(kept.hint("merge"), "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))
