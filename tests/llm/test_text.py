@@ -46,22 +46,29 @@ def test_query_equals_the_library(spark, sf, library):
 
 def test_merges_equal_a_rescan():
     r = random.Random(5)
-    for _ in range(200):
-        pairs = {}
-        symbols = list("abc")
+    for _ in range(300):
+        pairs, base, symbols = {}, 100, 3  # symbols are numbers; a rank's pair gives a new one
         for rank in range(12):
-            a, b = r.choice(symbols), r.choice(symbols)
-            pairs.setdefault((a, b), rank)
-            symbols.append(a + b)
-        word = r.choices("abc", k=r.randint(1, 40))
+            pairs.setdefault((r.randrange(symbols), r.randrange(symbols)), (len(pairs), symbols))
+            symbols += 1
+        merged = [new for _, new in pairs.values()]
+        word = [r.randrange(3) for _ in range(r.randint(1, 40))]
         want = list(word)
         while True:
-            ranked = [(pairs[p], i) for i, p in enumerate(zip(want, want[1:])) if p in pairs]
+            ranked = [(*pairs[p], i) for i, p in enumerate(zip(want, want[1:])) if p in pairs]
             if not ranked:
                 break
-            _, i = min(ranked)
-            want[i : i + 2] = [want[i] + want[i + 1]]
-        assert bpe.merge_word(word, pairs) == want
+            _, new, i = min(ranked, key=lambda x: (x[0], x[2]))
+            want[i : i + 2] = [new]
+        assert bpe.merge_word(word, {a * base + b: rank for (a, b), (rank, _) in pairs.items()}, merged, base) == want
+
+
+def test_every_letter_equals_the_library(library):
+    e = bpe.Encoder(bpe.default_vocabulary())
+    assigned = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x323B0 or c > 0xE0000)]
+    for c in assigned[::7] + [c for c in assigned if chr(c) in "".join(map(chr, bpe.NEW_LOWER))]:
+        ids = library.encode(f"a{chr(c)}b", add_special_tokens=False).ids
+        assert e.encode(f"a{chr(c)}b")[1] == " ".join(map(str, ids)), hex(c)
 
 
 def test_held_out_languages(spark, sf):

@@ -6,12 +6,13 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
+from operator import itemgetter
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import frugal
+from .shared import added
 
 #: Fixed values of the vocabulary file's pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -33,9 +34,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
 
 
-def _class_of(kind: str) -> str:
-    """Ranges, for a character class, of the characters whose general category begins with ``kind``."""
-    out, start = [], None
+#: Letters, numbers and lower-case forms of newer characters than the interpreter's own tables may have.
+NEW_LETTERS = (
+    "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5"
+    "\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+)
+NEW_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+NEW_UPPER = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]").search
+
+
+@cache
+def _class_of(kind: str, more: str) -> str:
+    """Ranges, for a character class, of the characters whose general category begins with ``kind``, and ``more``."""
+    out, start = [more], None
     for c in range(0x110001):
         inside = c < 0x110000 and unicodedata.category(chr(c)).startswith(kind)
         if inside and start is None:
@@ -46,119 +59,152 @@ def _class_of(kind: str) -> str:
     return "".join(out)
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+@cache
+def _all_pieces() -> "regex.Pattern":
+    """The pieces' pattern for characters beyond Latin-1, with classes that do not depend on an engine's own tables."""
+    return regex.compile(PIECES.replace(r"\p{L}", _class_of("L", NEW_LETTERS)).replace(r"\p{N}", _class_of("N", NEW_NUMBERS)))
+
+
+def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int], base: int) -> list[int]:
     """Merge the leftmost pair of the lowest rank until no pair has one.
 
-    A segment tree over the pairs' ranks has at its root the smallest rank and,
-    of equal ones, the leftmost; a merge updates the two pairs beside it in
-    logarithmic time. A neighbour list skips the symbols merged away.
+    ``ranks`` has the rank of the pair (a, b) at ``a * base + b``, ``merged`` the symbol that a rank gives. A segment
+    tree over the pairs holds rank and place in one number, so that its root tells the leftmost
+    pair of the lowest rank; a merge updates the pairs beside it in logarithmic
+    time. A neighbour list skips the symbols merged away.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1
-    while size < n:
-        size *= 2
-    tree = [NO_RANK] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = ranks.get((symbols[i], symbols[i + 1]), NO_RANK)
-    for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, rank: int) -> None:
-        k = size + i
-        tree[k] = rank
-        while k := k // 2:
-            low = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == low:
-                break
-            tree[k] = low
-
-    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    size = 1 << (n - 2).bit_length()
+    get = ranks.get
+    leaves = [NO_RANK if (r := get(a * base + b)) is None else r * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+    leaves += [NO_RANK] * (size - n + 1)
+    rows = [leaves]
+    while len(leaves) > 1:
+        leaves = list(map(min, leaves[0::2], leaves[1::2]))
+        rows.append(leaves)
+    tree = [NO_RANK]
+    for row in reversed(rows):
+        tree += row
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (best := tree[1]) != NO_RANK:
-        k = 1
-        while k < size:
-            k = 2 * k if tree[2 * k] == best else 2 * k + 1
-        i = k - size
+        rank, i = divmod(best, n)
         j = after[i]
-        symbols[i] += symbols[j]
-        symbols[j] = ""
-        after[i] = after[j]
-        put(j, NO_RANK)
-        if after[i] < n:
-            before[after[i]] = i
-            put(i, ranks.get((symbols[i], symbols[after[i]]), NO_RANK))
+        own = symbols[i] = merged[rank]
+        symbols[j] = -1
+        k = after[i] = after[j]
+        touched = [size + i]
+        if k < n:
+            before[k] = i
+            tree[size + j] = NO_RANK
+            touched.append(size + j)
+            tree[size + i] = NO_RANK if (r := get(own * base + symbols[k])) is None else r * n + i
         else:
-            put(i, NO_RANK)
-        if before[i] >= 0:
-            put(before[i], ranks.get((symbols[before[i]], symbols[i]), NO_RANK))
-    return [s for s in symbols if s]
+            tree[size + i] = NO_RANK
+        if (h := before[i]) >= 0:
+            tree[size + h] = NO_RANK if (r := get(symbols[h] * base + own)) is None else r * n + h
+            touched.append(size + h)
+        for t in touched:
+            while t := t >> 1:
+                x, y = tree[2 * t], tree[2 * t + 1]
+                low = x if x < y else y
+                if tree[t] == low:
+                    break
+                tree[t] = low
+    return [s for s in symbols if s >= 0]
 
 
-class Encoder:
-    """Encodes and decodes texts as the vocabulary file says.
+def _joined(parts: Iterable[tuple[int, str, str]]) -> tuple[int, str, str]:
+    parts = list(parts)
+    return sum(map(itemgetter(0), parts)), " ".join(map(itemgetter(1), parts)), " ".join(map(itemgetter(2), parts))
 
-    Keeps ``cached`` pieces that it met last, and as many older ones; a piece met again counts as new.
+
+class Cache(dict):
+    """Tokens of pieces: ``(n_tokens, ids, decoded)``.
+
+    Keeps ``most`` pieces that were met last, and as many older ones; a piece met again counts as new.
     """
 
-    def __init__(self, path: str, cached: int = 100_000):
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        got = self.older.get(word) or self.encode(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
+class Encoder:
+    """Encodes and decodes texts as the vocabulary file says."""
+
+    def __init__(self, path: str, cached: int = 200_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.ids: dict[str, int] = told["model"]["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ", 1)): i for i, m in enumerate(told["model"]["merges"])}
-        self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
-        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in told["model"]["merges"]]
+        self.base = len(self.ids)
+        self.ranks = {self.ids[a] * self.base + self.ids[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self.ids[a + b] for a, b in pairs]
+        self.added_ids = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added_ids.items()}
+        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added_ids, key=len, reverse=True))) + ")") if self.added_ids else None
         self.latin_pieces = regex.compile(PIECES).findall
-        self._all_pieces = None
-        self.letters = byte_letters()
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.cached = cached
+        self.letters = [self.ids[c] for c in byte_letters()]
+        self.last_letters = [self.ids[c + WORD_END] for c in byte_letters()]
+        self.known = Cache(self._tokens, cached)
 
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokenizer's pieces; letters and numbers as in the interpreter's own character table, not a newer one."""
+        """The pre-tokenizer's pieces of a normalized text."""
         try:
             text.encode("latin-1")
             return self.latin_pieces(text)
         except UnicodeEncodeError:
-            if self._all_pieces is None:
-                self._all_pieces = regex.compile(PIECES.replace(r"\p{L}", _class_of("L")).replace(r"\p{N}", _class_of("N"))).findall
-            return self._all_pieces(text)
+            return _all_pieces().findall(text)
 
     def encode_piece(self, piece: str) -> list[int]:
-        letters = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-        letters[-1] += WORD_END
-        return [self.ids[s] for s in merge_word(letters, self.ranks)]
+        raw = piece.encode("utf-8", "surrogatepass")
+        letters = list(map(self.letters.__getitem__, raw))
+        letters[-1] = self.last_letters[raw[-1]]
+        return merge_word(letters, self.ranks, self.merged, self.base)
+
+    def _tokens(self, piece: str) -> tuple[int, str, str]:
+        ids = self.encode_piece(piece)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by a space: the file names no decoder."""
         return " ".join(self.tokens[i] for i in ids)
 
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        if (got := self.known.get(piece)) is None:
-            if (got := self.older.get(piece)) is None:
-                ids = self.encode_piece(piece)
-                got = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(piece) <= 64:
-                if len(self.known) >= self.cached:
-                    self.known, self.older = {}, self.known
-                self.known[piece] = got
-        return got
-
     def normalize(self, text: str) -> str:
         """NFC, then lower case by single characters; white space only separates pieces."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(NEW_LOWER) if not text.isascii() and NEW_UPPER(text) else text
+
+    def _plain(self, text: str) -> list[tuple[int, str, str]]:
+        return list(map(self.known.__getitem__, self.pieces(self.normalize(text))))
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, ids and decoded tokens joined by a space."""
-        out: list[tuple[int, str, str]] = []
-        for part in self.split_added.split(text or "") if self.split_added else [text or ""]:
-            if part in self.added:
-                out.append((1, str(self.added[part]), part))
-            elif part:
-                out += map(self._piece, self.pieces(self.normalize(part)))
-        return sum(x[0] for x in out), " ".join(x[1] for x in out), " ".join(x[2] for x in out)
+        text = text or ""
+        if any(t in text for t in self.added_ids):
+            out = []
+            for part in self.split_added.split(text):
+                out += [(1, str(self.added_ids[part]), part)] if part in self.added_ids else self._plain(part)
+        else:
+            out = self._plain(text)
+        return _joined(out)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: tasks that follow one another in a worker share its pieces."""
+    return Encoder(path)
 
 
 def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -168,28 +214,28 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
     tokens. The vocabulary file must be at the same path on every executor.
     """
     path = vocabulary or default_vocabulary()
-    docs = docs.drop("n_tokens", "ids", "decoded")
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids"), F.lit("").alias("decoded")).schema
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Encoder(path)
-        for pdf in batches:
-            rows = [e.encode(t if isinstance(t, str) else None) for t in pdf[text]]
-            yield pdf.assign(n_tokens=pd.Series([r[0] for r in rows], index=pdf.index, dtype="int64"), ids=[r[1] for r in rows], decoded=[r[2] for r in rows])
+    def make(batches: Iterable[list]) -> Iterator[tuple]:
+        e = encoder(path)
+        for texts in batches:
+            yield tuple(zip(*map(e.encode, texts))) or ((), (), ())
 
-    return docs.mapInPandas(frugal(run), schema)
+    return added(docs.drop("n_tokens", "ids", "decoded"), text, make, "n_tokens long, ids string, decoded string")
 
 
 def token_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row of ``docs``; the digests are made where the tokens are."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` per row of ``docs``; the digests are made where the tokens are.
+
+    Null and empty texts have no tokens; texts of any length are encoded whole; repeated rows repeat, a null doc_id
+    stays null; other columns are ignored; an empty table gives no rows.
+    """
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e, sha = Encoder(path), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in batches:
-            rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in (e.encode(t if isinstance(t, str) else None) for t in pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series([r[0] for r in rows], index=pdf.index, dtype="int64"), "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
+    def make(batches: Iterable[list]) -> Iterator[tuple]:
+        e, sha = encoder(path), lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        for texts in batches:
+            rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in map(e.encode, texts)]
+            yield tuple(zip(*rows)) or ((), (), ())
 
-    return rows.mapInPandas(frugal(run), schema)
+    return added(rows, "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
