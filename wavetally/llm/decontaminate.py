@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash windows, a multi-index over Hamming blocks, exact weighted-shingle similarity."""
+"""Benchmark decontamination: SimHash windows of the items' sizes, a multi-index over Hamming blocks, exact weighted-shingle similarity."""
 
 from __future__ import annotations
 
@@ -6,262 +6,286 @@ import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import log
+from math import log, sqrt
 
 import numpy as np
-import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import frugal
+from .hashing import shingles, word_hashes
+from .shared import discard, frugal, kept, written
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Fingerprint windows within this many bits of an item's window are verified.
-RADIUS = 8
+#: Fingerprints within this many bits are verified. A window at a similarity of 0.8 differs in a bit with a probability of
+#: acos(8 / 9) / pi = 0.151 at most, as the weights' roots are what is summed: 64 bits then differ in up to 17 with a probability of 0.995.
+RADIUS = 17
 #: Blocks of the fingerprint; one of them has at most RADIUS // BLOCKS differing bits.
-BLOCKS = 3
+BLOCKS = 6
 #: Weighted similarity from which a document counts as contaminated.
 SIMILARITY = 0.8
 #: Bytes of item texts that one index holds; a larger benchmark is scanned in several passes.
-INDEX_BYTES = 8 << 20
-#: Word hashes that a task keeps, and documents that it fingerprints at a time.
-MOST_WORDS, SLICE = 150_000, 512
-#: Shingle positions of a document that are held as bit sums at a time.
-CHUNK = 1 << 14
+INDEX_BYTES = 32 << 20
+#: Documents that a task works on at a time, and shingles of a run of windows whose bits are summed at a time.
+SLICE, CHUNK = 1024, 1 << 13
+#: Low bits of a shingle by which most that are in no item are told at once.
+FILTER_BITS = 22
+#: Units of a shingle's weight in a bit sum.
+UNITS = 256
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
-_WORDS = _Hashes()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash for each word; words in lower case, their punctuation kept."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_WORDS.__getitem__, ws), np.uint64, len(ws))
-
-
-def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """A well-mixed hash of each run of ``n`` words."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    m = len(h) - n + 1
-    x = np.zeros(m, np.uint64)
-    for k in range(n):
-        x = (x ^ h[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def bit_sums(s: np.ndarray) -> np.ndarray:
-    """Running sums of the hashes' 64 bits, a row of zeros first."""
-    bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(bits) + 1, 64), np.int16 if len(bits) < 1 << 15 else np.int32)
-    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
-    return sums
-
-
-def window_prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash fingerprints of the windows of ``size`` shingles at ``starts``: the bits set in over half of them."""
-    ones = sums[starts + size] - sums[starts]
-    return np.packbits(ones > size // 2, axis=1, bitorder="little").view(np.uint64)[:, 0]
-
-
-def reach(n: int) -> int:
-    """Shingles in a row that a near copy of an item of ``n`` shingles is sure to share with it.
-
-    At a similarity of 0.8, up to a ninth of the shingles are lost. A changed word inside costs
-    five, so items under 45 lose theirs at the ends only; longer ones fall into runs between changes.
-    """
-    changes = n // 45
-    return (n - SHINGLE * changes) // (changes + 1) if changes else n - n // 9
+def similarity(item: Counter, window: Counter, weight: dict[int, float], foreign: float) -> float:
+    """Sum of the smaller weights over the sum of the larger; a shingle weighs its count times its weight, ``foreign`` if it is not in the item."""
+    low = sum(min(n, window[s]) * weight[s] for s, n in item.items() if s in window)
+    high = sum(n * weight[s] for s, n in item.items()) + sum(n * weight.get(s, foreign) for s, n in window.items()) - low
+    return low / high if high else 0.0
 
 
 class Index:
-    """Items' windows by size class, with the neighbours of each fingerprint block.
+    """Items by their number of shingles, with the neighbours of each fingerprint block.
 
-    A class holds items of about the same :func:`reach`; its windows are somewhat
-    shorter than the least of them, and documents are read at a stride such that a window in any such
-    run falls on one of the item's own.
+    ``items`` are ``(item_id, shingles, weights)``. A class holds the items of one size: documents are read by windows
+    of that size, at every shingle. A window without any shingle of a class's items has similarity 0 with all
+    of them, so only the others are fingerprinted.
     """
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], weights: dict[int, float], unseen: float, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.items = [(i, shingles(h)) for i, h in items]
-        self.bags = [Counter(s.tolist()) for _, s in self.items]
-        self.weights, self.unseen, self.radius = weights, unseen, radius
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], foreign: float, radius: int = RADIUS, blocks: int = BLOCKS):
+        self.items, self.foreign, self.radius = [x for x in items if len(x[1])], foreign, radius
         self.widths = [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
         self.offsets = np.cumsum([0, *self.widths[:-1]]).tolist()
-        by_class: dict[int, list[int]] = {}
-        least = 0
-        for k in sorted((k for k, (_, s) in enumerate(self.items) if len(s)), key=lambda k: reach(len(self.items[k][1]))):
-            if reach(len(self.items[k][1])) > 1.5 * least:
-                least = reach(len(self.items[k][1]))
-            by_class.setdefault(least, []).append(k)
+        self.flips = [np.array([sum(1 << b for b in f) for r in range(radius // blocks + 1) for f in combinations(range(w), r)], np.int64) for w in self.widths]
+        sizes = np.array([len(s) for _, s, _ in self.items], np.int64)
+        self.sizes, of_class = np.unique(sizes, return_inverse=True)
+        every = np.concatenate([s for _, s, _ in self.items]) if self.items else np.empty(0, np.uint64)
+        weights = np.concatenate([w for _, _, w in self.items]) if self.items else np.empty(0)
+        self.known, first = np.unique(every, return_index=True)
+        self.roots = np.maximum(np.round(np.sqrt(weights[first]) * UNITS), 1).astype(np.int64)
+        self.foreign_root = max(round(sqrt(foreign) * UNITS), 1)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._low(self.known)] = True
+        # the classes that have a shingle: a run of ``class_of`` from ``begin[k]`` to ``begin[k + 1]``
+        pairs = np.unique(np.searchsorted(self.known, every) * max(len(self.sizes), 1) + np.repeat(of_class, sizes))
+        self.class_of = pairs % max(len(self.sizes), 1)
+        self.begin = np.searchsorted(pairs // max(len(self.sizes), 1), np.arange(len(self.known) + 1))
         self.classes = []
-        for least, members in sorted(by_class.items()):
-            stride = max(1, least // 4)
-            size = least - stride + 1
-            prints, item, at = [], [], []
-            for k in members:
-                starts = np.arange(len(self.items[k][1]) - size + 1)
-                fs = window_prints(bit_sums(self.items[k][1]), starts, size)
-                prints.append(fs)
-                item.append(np.full(len(fs), k))
-                at.append(starts)
-            prints, item, at = np.concatenate(prints), np.concatenate(item), np.concatenate(at)
-            tables = [self._neighbours(prints, o, w, radius // blocks) for o, w in zip(self.offsets, self.widths)]
-            self.classes.append((size, stride, prints, item, at, tables))
+        for k in range(len(self.sizes)):
+            mine = np.flatnonzero(of_class == k)
+            prints = np.array([self._prints(self.items[i][1], np.zeros(1, np.int64), int(self.sizes[k]))[0] for i in mine], np.uint64)
+            self.classes.append((mine, prints, [self._block(prints, o, w) for o, w in zip(self.offsets, self.widths)]))
 
     @staticmethod
-    def _neighbours(prints: np.ndarray, offset: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether any fingerprint is within ``most`` bits of a block value, for all values; and the values in order with the fingerprints' places."""
+    def _low(s: np.ndarray) -> np.ndarray:
+        return (s & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+    @staticmethod
+    def _block(prints: np.ndarray, offset: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's values in order, and the items that have them."""
         value = ((prints >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        flips = np.array([sum(1 << b for b in f) for r in range(most + 1) for f in combinations(range(width), r)], np.int64)
-        keys = (value[:, None] ^ flips[None, :]).ravel()
-        places = np.repeat(np.arange(len(prints), dtype=np.int32), len(flips))
-        order = np.argsort(keys, kind="stable")
-        known = np.zeros(1 << width, bool)
-        known[keys] = True
-        return known, keys[order].astype(np.int32), places[order]
-
-    def similarity(self, k: int, window: np.ndarray) -> float:
-        """Sum of the smaller weights over the sum of the larger; a shingle weighs its count times its weight in the benchmark."""
-        bag, own = Counter(window.tolist()), self.bags[k]
-        w = lambda s: self.weights.get(s, self.unseen)
-        low = sum(min(n, own[s]) * w(s) for s, n in bag.items() if s in own)
-        high = sum(n * w(s) for s, n in bag.items()) + sum(n * w(s) for s, n in own.items()) - low
-        return low / high if high else 0.0
-
-    def candidates(self, hashes: list[np.ndarray]) -> tuple[list[np.ndarray], set[tuple[int, int, int]]]:
-        """The documents' shingles, and ``(document, item, shingle it would start at)`` wherever fingerprints are near.
-
-        Documents lie one behind the other; windows start on a common grid and
-        count if they end in their document.
+        order = np.argsort(value, kind="stable")
+        return value[order], order
+
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Place of each shingle among the items' own, or -1."""
+        out = np.full(len(s), -1, np.int64)
+        maybe = np.flatnonzero(self.filter[self._low(s)])
+        if len(maybe) and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
+            out[maybe] = np.where(self.known[at] == s[maybe], at, -1)
+        return out
+
+    def _prints(self, s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the windows of ``size`` shingles at ``starts``: the bits set in over half of their weight."""
+        at = self.places(s)
+        w = np.where(at >= 0, self.roots[at], self.foreign_root) if len(self.roots) else np.full(len(s), self.foreign_root)
+        out = []
+        for lo in range(0, len(starts), CHUNK):
+            part = starts[lo : lo + CHUNK]
+            a, b = int(part[0]), int(part[-1]) + size
+            bits = np.unpackbits(np.ascontiguousarray(s[a:b]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.zeros((b - a + 1, 65), np.int64)
+            np.cumsum(bits * w[a:b, None], axis=0, out=sums[1:, :64])
+            np.cumsum(w[a:b], out=sums[1:, 64])
+            ones = sums[part - a + size] - sums[part - a]
+            out.append(np.packbits(2 * ones[:, :64] > ones[:, 64:], axis=1, bitorder="little").view(np.uint64)[:, 0])
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def _near(self, k: int, fs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a fingerprint of ``fs`` and an item of class ``k`` that differ in at most ``radius`` bits.
+
+        Such a pair agrees in one of the blocks but for ``radius // blocks`` bits; these are flipped, looked up and verified.
         """
-        all_s = [shingles(h) for h in hashes]
-        ends = np.cumsum([len(x) for x in all_s])
-        s = np.concatenate(all_s) if all_s else np.empty(0, np.uint64)
-        out: set[tuple[int, int, int]] = set()
-        widest = max((c[0] for c in self.classes), default=0)
-        for lo in range(0, len(s), CHUNK):
-            sums = bit_sums(s[lo : lo + CHUNK + widest])
-            for size, stride, prints, item, at, tables in self.classes:
-                starts = np.arange(-lo % stride, min(CHUNK, len(sums) - size), stride)
-                doc = np.searchsorted(ends, starts + lo, side="right")
-                inside = starts + (lo + size) <= ends[doc]
-                starts, doc = starts[inside], doc[inside]
-                if not len(starts):
-                    continue
-                fs = window_prints(sums, starts, size)
-                for (known, keys, places), offset, width in zip(tables, self.offsets, self.widths):
-                    value = ((fs >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)
-                    hit = np.flatnonzero(known[value])
-                    if not len(hit):
-                        continue
-                    begin = np.searchsorted(keys, value[hit])
-                    n = np.searchsorted(keys, value[hit], side="right") - begin
-                    row = np.repeat(hit, n)
-                    place = places[np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-                    near = np.bitwise_count(fs[row] ^ prints[place]) <= self.radius
-                    row, place = row[near], place[near]
-                    base = starts[row] + lo - np.concatenate(([0], ends[:-1]))[doc[row]] - at[place]
-                    out.update(zip(doc[row].tolist(), item[place].tolist(), base.tolist()))
-        return all_s, out
-
-    def matches(self, texts: Iterable) -> list[dict[int, tuple[float, int]]]:
-        """For each text, its contaminating items with their best similarity and the word they start at."""
-        texts = [t if isinstance(t, str) else None for t in texts]
-        return [found for i in range(0, len(texts), SLICE) for found in self._matches([word_hashes(t) for t in texts[i : i + SLICE]])]
-
-    def _matches(self, hashes: list[np.ndarray]) -> list[dict[int, tuple[float, int]]]:
-        all_s, found = self.candidates(hashes)
-        best: list[dict[int, tuple[float, int]]] = [{} for _ in hashes]
-        for d, k, begin in sorted({(d, k, max(0, min(b, len(all_s[d]) - len(self.items[k][1])))) for d, k, b in found}):
-            sim = self.similarity(k, all_s[d][begin : begin + len(self.items[k][1])])
-            name = self.items[k][0]
-            if name not in best[d] or sim > best[d][name][0]:
-                best[d][name] = (sim, begin)
+        mine, prints, tables = self.classes[k]
+        found = np.zeros((len(fs), len(mine)), bool) if len(mine) <= 64 else None
+        rows, cols = [], []
+        for (values, order), flips, offset, width in zip(tables, self.flips, self.offsets, self.widths):
+            wanted = (((fs >> np.uint64(offset)) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None] ^ flips).ravel()
+            begin = np.searchsorted(values, wanted)
+            n = np.searchsorted(values, wanted, side="right") - begin
+            hit = np.flatnonzero(n)
+            n, begin = n[hit], begin[hit]
+            row = np.repeat(hit // len(flips), n)
+            col = order[np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(hit) else np.empty(0, np.int64)
+            near = np.bitwise_count(fs[row] ^ prints[col]) <= self.radius
+            if found is not None:
+                found[row[near], col[near]] = True
+            else:
+                rows.append(row[near])
+                cols.append(col[near])
+        if found is not None:
+            row, col = np.nonzero(found)
+        else:
+            row, col = np.divmod(np.unique(np.concatenate(rows) * len(mine) + np.concatenate(cols)), len(mine))
+        return row, mine[col]
+
+    def candidates(self, s: np.ndarray, at: np.ndarray, doc: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(document, item, start, stop)`` of the windows whose fingerprint is near an item's.
+
+        ``at`` are the places of all shingles ``s``, ``doc`` their documents and ``begins`` and ``ends`` the documents' shingles.
+        """
+        hits = np.flatnonzero(at >= 0)
+        n = self.begin[at[hits] + 1] - self.begin[at[hits]]
+        where = np.repeat(hits, n)
+        klass = self.class_of[np.repeat(self.begin[at[hits]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(hits) else np.empty(0, np.int64)
+        order = np.lexsort((where, klass))
+        where, klass = where[order], klass[order]
+        for k in np.unique(klass).tolist():
+            size, own = int(self.sizes[k]), where[klass == k]
+            d = doc[own]
+            short = ends[d] - begins[d] <= size  # the whole document is the only window
+            for x in np.unique(d[short]).tolist():
+                a, b = int(begins[x]), int(ends[x])
+                _, items = self._near(k, self._prints(s[a:b], np.zeros(1, np.int64), b - a))
+                yield from ((x, i, a, b) for i in items.tolist())
+            own, d = own[~short], d[~short]
+            if not len(own):
+                continue
+            lo, hi = np.maximum(own - size + 1, begins[d]), np.minimum(own, ends[d] - size)
+            # windows of one document that have hits not far from each other are read as one run
+            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1] + 1))))
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(own)]):
+                first, last = int(lo[a]), int(hi[a:b].max())
+                row, items = self._near(k, self._prints(s[first : last + size], np.arange(last - first + 1), size))
+                yield from ((int(d[a]), i, first + r, first + r + size) for r, i in zip(row.tolist(), items.tolist()))
+
+    def matches(self, texts: list) -> list[dict[int, tuple[float, int]]]:
+        """For each text, its items with the similarity of the best of their windows that were found, and the word it starts at."""
+        out: list[dict[int, tuple[float, int]]] = []
+        for i in range(0, len(texts), SLICE):
+            out += self._matches(texts[i : i + SLICE])
+        return out
+
+    def _matches(self, texts: list) -> list[dict[int, tuple[float, int]]]:
+        h, n = word_hashes(texts)
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
+        s = shingles(h, SHINGLE)
+        if not len(s) or not len(self.known):
+            return best
+        word_ends = np.cumsum(n)
+        begins, ends = word_ends - n, np.maximum(word_ends - SHINGLE + 1, word_ends - n)
+        doc = np.repeat(np.arange(len(n)), n)[: len(s)]
+        inside = np.arange(len(s)) < ends[doc]  # shingles that reach over a document's end are none
+        at = np.where(inside, self.places(s), -1)
+        bags: dict[int, tuple[Counter, dict[int, float]]] = {}
+        for d, i, a, b in self.candidates(s, at, doc, begins, ends):
+            if i not in bags:
+                name, own, w = self.items[i]
+                bags[i] = Counter(own.tolist()), dict(zip(own.tolist(), w.tolist()))
+            sim, name = similarity(bags[i][0], Counter(s[a:b].tolist()), bags[i][1], self.foreign), self.items[i][0]
+            if name not in best[d] or (sim, begins[d] - a) > (best[d][name][0], -best[d][name][1]):
+                best[d][name] = (sim, int(a - begins[d]))
         return best
 
 
-def _index(told: bytes, radius: int, blocks: int) -> Index:
-    """The index of a pickled group of items; a task builds its own."""
-    _WORDS.clear()
-    items, weights, unseen = pickle.loads(told)
-    return Index([(i, word_hashes(t)) for i, t in items], weights, unseen, radius, blocks)
+def item_shingles(benchmark: DataFrame) -> DataFrame:
+    """A written table ``(key, item_id, bytes, shingles, shared, counts)``, a row for each item row with an id and a text.
+
+    ``shared`` are those of its shingles that other item rows have as well, and ``counts`` how many rows
+    have them, counted over the whole benchmark.
+    """
+    rows = benchmark.where("text is not null and item_id is not null").select(F.monotonically_increasing_id().alias("key"), F.col("item_id").cast("long").alias("item_id"), "text")
+
+    def make(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            own = [shingles(word_hashes([t])[0], SHINGLE).view(np.int64) for t in texts]
+            columns = [batch.column("key"), batch.column("item_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "item_id", "bytes", "shingles"])
+
+    items = written(rows.mapInArrow(frugal(make), "key long, item_id long, bytes long, shingles array<long>"), "items")
+    each = items.select("key", F.explode(F.array_distinct("shingles")).alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    of_item = each.join(shared, "s").groupBy("key").agg(F.collect_list("s").alias("shared"), F.collect_list("n").alias("counts"))
+    weighted = written(items.join(of_item, "key", "left"), "weighted")
+    discard(items)
+    return weighted
 
 
 def item_groups(benchmark: DataFrame, most: int = INDEX_BYTES) -> Iterator[bytes]:
-    """Pickled groups of items, each of at most ``most`` bytes of text (or one item), with the shingles' weights.
+    """Pickled groups of items, each of about ``most`` bytes of text (or one item), with the shingles' weights, and the weight of any other.
 
-    The groups are dealt by the items' running size, so that the driver holds
-    one at a time and a benchmark of any size is worked through in groups.
+    A shingle of c of n items weighs ``log(1 + n / c)``, with c and n of the whole benchmark, and one that is
+    not in the item at hand ``log(1 + n)``; so an item's similarities do not depend on its group. The
+    driver holds one group at a time, and a benchmark of any size is worked through in groups.
     """
-    rows = benchmark.where("text is not null and item_id is not null").select("item_id", "text", F.octet_length("text").alias("_size"))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    rows = item_shingles(benchmark)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     groups = max(1, -(-int(total) // most))
     for g in range(groups):
-        items = [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
-        df = Counter(s for _, t in items for s in set(shingles(word_hashes(t)).tolist()))
-        yield pickle.dumps((items, {s: log(1 + n / c) for s, c in df.items()}, log(1 + n)))
+        items = []
+        for r in rows.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).orderBy("item_id", "key").toLocalIterator():
+            own = np.array(r["shingles"], np.int64)
+            count = dict(zip(r["shared"] or [], r["counts"] or []))
+            items.append((r["item_id"], own.view(np.uint64), np.log(1 + n / np.array([count.get(s, 1) for s in own.tolist()], float)) if len(own) else np.empty(0)))
+        yield pickle.dumps((items, log(1 + n)))
+    discard(rows)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), radius: int = RADIUS, similarity: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), radius: int = RADIUS, least: float = SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
     """``(*keep, item_id, similarity, word)`` for each document row and item that it holds a near copy of.
 
-    ``docs`` are scanned whole, once for each group of items; ``similarity`` is that of the
-    best window of the item's length, ``word`` where it starts. Null texts and
-    documents or items of under five words match nothing; repeated documents give
-    repeated rows, repeated items one row each; an empty table gives no rows.
+    ``docs`` are scanned whole, once for each group of items; ``similarity`` is that of the best window of the item's
+    number of shingles (a shorter document is one window), ``word`` where it starts. Every window that shares a shingle with items
+    of its size is fingerprinted; all items within ``radius`` bits are found and verified exactly. Null texts and
+    documents or items of under five words match nothing; texts of any length are read whole; repeated documents give
+    repeated rows, items with one id one row; columns that are kept pass as they are; an empty table gives no rows.
     """
-    docs = docs.select(*keep, F.col(text).alias("_text"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("word")).schema
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sc, out = docs.sparkSession.sparkContext, None
-    for told in item_groups(items):
+    docs = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    schema = docs.drop("text").select("*", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("word")).schema
+    sc, out, names = docs.sparkSession.sparkContext, None, schema.names
+    for told in item_groups(benchmark):
         sent = sc.broadcast(told)
 
-        def scan(batches: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = _index(sent.value, radius, blocks)
-            for pdf in batches:
-                rows, found = [], []
-                for i, got in enumerate(index.matches(pdf["_text"])):
-                    for item, (sim, word) in got.items():
-                        if sim >= similarity:
-                            rows.append(i)
-                            found.append((item, sim, word))
-                if rows:
-                    part = pdf[list(keep)].iloc[rows].reset_index(drop=True)
-                    yield pd.concat([part, pd.DataFrame(found, columns=["item_id", "similarity", "word"])], axis=1)
-            _WORDS.clear()
-
-        got = docs.mapInPandas(frugal(scan), schema)
+        def scan(batches: Iterable, sent=sent) -> Iterator:
+            import pyarrow as pa
+
+            items, foreign = pickle.loads(sent.value)
+            index = Index(items, foreign, radius, blocks)
+            for batch in batches:
+                found = [(i, item, sim, word) for i, got in enumerate(index.matches(batch.column("text").to_pylist())) for item, (sim, word) in got.items() if sim >= least]
+                if found:
+                    rows, item, sim, word = zip(*found)
+                    own = batch.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(len(names) - 3)), pa.array(item, pa.int64()), pa.array(sim, pa.float64()), pa.array(word, pa.int64())], names=names)
+
+        got = docs.mapInArrow(frugal(scan), schema)
         out = got if out is None else out.unionByName(got)
-    return out
+    return out.toDF(*keep, *names[-3:])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a near copy of a benchmark item; see :func:`contaminated`."""
-    columns = docs.columns
-    sc, rows = docs.sparkSession.sparkContext, docs
-    for told in item_groups(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        sent = sc.broadcast(told)
+    """``docs`` without the rows that hold a near copy of a benchmark item; see :func:`contaminated`.
+
+    Null, short and clean texts stay, repeated rows are treated alike, and all columns pass as they are.
+    """
+    for told in item_groups(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(told)
 
-        def scan(batches: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = _index(sent.value, RADIUS, BLOCKS)
-            for pdf in batches:
-                found = index.matches(pdf[text])
-                clean = [not any(s >= SIMILARITY for s, _ in got.values()) for got in found]
-                yield pdf[clean]
-            _WORDS.clear()
+        def clean(batches: Iterable[list], sent=sent) -> Iterator[list]:
+            items, foreign = pickle.loads(sent.value)
+            index = Index(items, foreign)
+            for texts in batches:
+                yield [not any(sim >= SIMILARITY for sim, _ in got.values()) for got in index.matches(texts)]
 
-        rows = rows.mapInPandas(frugal(scan), docs.schema)
-    return rows.select(*columns)
+        docs = kept(docs, text, clean)
+    return docs
