@@ -5,9 +5,9 @@ DataFrame functions only. Positions are code points; ends are exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -21,25 +21,28 @@ PATTERNS = {
 }
 #: Tokens that may be identifiers: they hold a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Code points of context that are searched for a neighbouring word.
-REACH = 48
+#: What stands for the neighbour of a mention that has no word before or behind it.
+START, END = "^", "$"
 #: Rounds of scoring; distinct seed instances and score that make a pattern trusted; digits of a discovered number.
 ROUNDS, MIN_SEEDS, TRUST, MIN_DIGITS = 3, 4, 0.8, 6
-SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """``(s, e, v)`` of the leftmost non-overlapping matches: the pieces between them give the positions."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _mentions(pieces: Column, values: Column, k: int) -> Column:
+    """``(k, i, gap, v, left, right)`` of the matches ``values`` of a text, of which ``pieces`` is the rest.
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-    return F.aggregate(pairs, start, step)["out"]
+    ``gap`` is the length of the text since the last match. Neighbours are the last word before a match and the
+    first behind it, in lower case; they are looked for up to the next match of the pattern on either side, itself
+    included. Each piece is looked at once or twice, so the work grows with the text's length.
+    """
+    n = F.size(values)
+    before = F.zip_with(F.slice(F.concat(F.array(F.lit("")), values), F.lit(1), n), F.slice(pieces, F.lit(1), n), lambda v, p: F.struct(v.alias("v"), p.alias("p")))
+    behind = F.zip_with(F.slice(pieces, F.lit(2), n), F.slice(F.concat(values, F.array(F.lit(""))), F.lit(2), n), lambda p, v: F.concat(p, v))
+    left = lambda x: F.reverse(F.regexp_extract(F.reverse(F.concat(x["v"], x["p"])), r"^\s*+(\S++)", 1))
+    right = lambda x: F.regexp_extract(x, r"^\S*+\s++(\S++)", 1)
+    known = lambda x, none: F.when(x == "", F.lit(none)).otherwise(F.lower(x))
+    found = F.zip_with(values, before, lambda v, x: F.struct(F.length(x["p"]).alias("gap"), v.alias("v"), known(left(x), START).alias("left")))
+    both = F.zip_with(found, behind, lambda x, y: F.struct(x["gap"].alias("gap"), x["v"].alias("v"), x["left"].alias("left"), known(right(y), END).alias("right")))
+    return F.transform(both, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x["gap"].alias("gap"), x["v"].alias("v"), x["left"].alias("left"), x["right"].alias("right")))
 
 
 def _digits(v: Column) -> Column:
@@ -66,56 +69,52 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind the valid matches in a text; empty for null. A cheap test spares most texts the search."""
-    hint = {"email": text.contains("@"), "ip": text.rlike(PATTERNS["ip"]), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), "phone": text.contains("+")}
-    none = F.array().cast(SPAN)
-
-    def found(k: str) -> Column:
-        return F.coalesce(F.when(hint[k], F.filter(_matches(text, PATTERNS[k]), lambda x: _valid(k, x["v"]))), none)
-
-    return {k: found(k) for k in KINDS}
-
-
-def _left(text: Column, s: Column) -> Column:
-    start = F.greatest(s - REACH, F.lit(0))
-    return F.lower(F.regexp_extract(F.substring(text, start + 1, s - start), r"(\S+)\s*$", 1))
-
-
-def _right(text: Column, e: Column) -> Column:
-    return F.lower(F.regexp_extract(F.substring(text, e + 1, F.lit(REACH)), r"^\S*\s+(\S+)", 1))
-
-
-def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table with ``rid``, ``doc_id``, ``base`` (kind, s, e) and ``seen`` (base and candidate mentions with their neighbours)."""
+def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A written table ``(rid, doc_id, found)``: a text's matches of each pattern, with ``k`` its place in ``KINDS``, and 4 for candidates."""
     t = F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("*", *(c.alias(k) for k, c in base_spans(t).items()))
+    # a cheap test spares most texts the search
+    hint = [t.contains("@"), t.rlike(PATTERNS["ip"]), t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), t.contains("+"), t.rlike("[0-9@]")]
+    patterns = [*(PATTERNS[k] for k in KINDS), CANDIDATE]
+    parts = rows.select("rid", "doc_id", *(c for k, (h, p) in enumerate(zip(hint, patterns)) for c in (F.when(h, F.split(t, p, -1)).alias(f"p{k}"), F.when(h, F.regexp_extract_all(t, F.lit(p), F.lit(0))).alias(f"v{k}"))))
+    none = F.array().cast("array<struct<k:int,i:int,gap:int,v:string,left:string,right:string>>")
+    found = F.concat(*(F.when(F.size(f"v{k}") > 0, _mentions(F.col(f"p{k}"), F.col(f"v{k}"), k)).otherwise(none) for k in range(len(patterns))))
+    return written(parts.select("rid", "doc_id", found.alias("found")), "matches")
 
-    def labelled(i: int, k: str) -> Column:
-        return F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), x["e"].alias("e"), F.lit(k).alias("kind"), x["v"].alias("v")))
 
-    every = F.concat(*(labelled(i, k) for i, k in enumerate(KINDS)))
-    rows = rows.withColumn("base", F.array_sort(every))
-    other = F.coalesce(F.when(t.rlike("[0-9@]"), _matches(t, CANDIDATE)), F.array().cast(SPAN))
-    other = F.filter(other, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    rows = rows.withColumn("other", F.transform(other, lambda x: F.struct(x["s"].alias("s"), F.lit(-1).alias("i"), x["e"].alias("e"), F.lit(None).cast("string").alias("kind"), x["v"].alias("v"))))
-    seen = F.transform(F.concat("base", "other"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), F.lower(x["v"]).alias("v"), _left(t, x["s"]).alias("left"), _right(t, x["e"]).alias("right")))
-    return written(rows.select("rid", "doc_id", "base", seen.alias("seen")), "mentions")
+def mentions(found: DataFrame) -> DataFrame:
+    """``(rid, k, s, e, kind, v, left, right)`` of the valid base spans of :func:`matches`, and of the candidates that none of them touches.
 
-
-def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, trust: float = TRUST) -> DataFrame:
-    """``(rid, s, e, kind)`` of mentions outside the base spans that trusted patterns point to.
-
-    A pattern is the word before a mention, the word behind it, or both. A seed
+    Positions are running sums of the lengths of gaps and matches; whether a candidate touches a base span
+    follows from the furthest end before it and the nearest start behind it.
+    """
+    m = found.select("rid", F.explode("found").alias("m")).select("rid", "m.*").repartition("rid")
+    e = F.sum(F.col("gap") + F.length("v")).over(Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    m = m.withColumn("e", e).withColumn("s", F.col("e") - F.length("v"))
+    base = F.col("k") < len(KINDS)
+    valid = F.lit(True)
+    for k, kind in enumerate(KINDS):
+        valid = F.when(F.col("k") == k, _valid(kind, F.col("v"))).otherwise(valid)
+    m = m.where(valid)
+    reach = F.max(F.when(base, F.col("e"))).over(Window.partitionBy("rid").orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(base, F.col("s"))).over(Window.partitionBy("rid").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("reach", reach).withColumn("ahead", ahead)
+    m = m.where(base | ((F.coalesce("reach", F.lit(0)) <= F.col("s")) & (F.coalesce("ahead", F.col("e")) >= F.col("e"))))
+    names = F.array(*map(F.lit, KINDS))
+    return m.select("rid", "k", "s", "e", F.when(base, F.get(names, F.col("k"))).alias("kind"), F.lower("v").alias("v"), "left", "right")
+
+
+def discover(m: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, trust: float = TRUST) -> DataFrame:
+    """``(rid, s, e, kind)`` of those of ``m``, the :func:`mentions`, outside the base spans that trusted patterns point to.
+
+    A pattern is the word before a mention, the word behind it, or both; a text's start and end count as words. A seed
     instance scores 1 for its kind; a pattern's score for a kind is the share of its
     instances' scores among its distinct instances, damped by two; another instance's score is the
     mean of its patterns'. After ``rounds`` rounds, patterns with enough distinct seeds
     and score are trusted, and mentions in them with a fitting shape are found.
     """
-    m = found.select("rid", F.explode("seen").alias("m")).select("rid", "m.*")
     lexical = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"), F.concat(F.lit("b "), "left", F.lit(" _ "), "right"))
-    m = m.where("left <> '' and right <> ''").withColumn("pattern", F.explode(lexical))
+    m = m.withColumn("pattern", F.explode(lexical))
     edges = written(m.groupBy("pattern", "v").agg(F.max("kind").alias("kind")), "edges")
     total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     score = edges.where("kind is not null").select("v", "kind", F.lit(1.0).alias("r")).distinct()
@@ -139,14 +138,17 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` per row of ``docs``.
 
     Counts and digest are of the base spans; ``spans`` lists discovered ones as
-    well. Null and empty texts have none; repeated rows repeat; other columns are
-    ignored; an empty table gives no rows.
+    well. Null and empty texts have none; texts of any length are searched whole, in time linear in their length; repeated
+    rows repeat; a null doc_id stays null; other columns are ignored; an empty table gives no rows.
     """
-    found = mentions(docs, doc_id, text)
+    found = matches(docs, doc_id, text)
+    seen = written(mentions(found), "mentions")
+    more = written(discover(seen), "more")
     order = F.element_at(F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i)))), F.col("kind"))
-    more = discover(found).groupBy("rid").agg(F.collect_list(F.struct("s", order.alias("i"), "e", "kind")).alias("more"))
-    brief = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"), x["e"].alias("e"), x["kind"].alias("kind")))
-    rows = found.select("rid", "doc_id", brief.alias("base")).join(written(more, "more"), "rid", "left")
-    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    every = seen.where("kind is not null").select("rid", "s", "k", "e", "kind", F.lit(True).alias("base")).union(more.select("rid", "s", order, "e", "kind", F.lit(False)))
+    spans = written(every.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "k", "e", "kind", "base"))).alias("every")), "spans")
+    discard(seen, more)
+    rows = found.select("rid", "doc_id").join(spans, "rid", "left").withColumn("every", F.coalesce("every", F.array().cast(spans.schema["every"].dataType)))
+    rows = rows.withColumn("base", F.filter("every", lambda x: x["base"]))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
+    return rows.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"))
