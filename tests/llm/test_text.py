@@ -99,9 +99,63 @@ def test_language_edges(spark):
 
 def test_mixture_selects_the_set():
     logp = np.log(np.array([[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1]]))
-    assert langid.infer(np.array([70, 10, 10, 10]), logp) == (0, 1.0)
-    k, share = langid.infer(np.array([400, 210, 90, 90]), logp)
-    assert k == 0 and 0.5 < share < 0.9
+    assert langid.infer(np.array([70, 10, 10, 10]), logp) == [(0, 1.0)]
+    (k, share), *more = langid.infer(np.array([400, 210, 90, 90]), logp)
+    assert k == 0 and 0.5 < share < 0.9 and [x for x, _ in more] == [1]
+    assert langid.infer(np.array([0, 0, 0, 0]), logp) == []
+
+
+def plain_language(counts, model, penalty=1.0):
+    """The best set in loops over grams and languages: expectation-maximisation for every size, the best penalised likelihood."""
+
+    def em(langs):
+        pi = {k: 1 / len(langs) for k in langs}
+        for _ in range(12 if len(langs) > 1 else 0):
+            new = dict.fromkeys(langs, 0.0)
+            for g, n in counts.items():
+                mix = sum(pi[k] * model[k][g] for k in langs)
+                for k in langs:
+                    new[k] += n * pi[k] * model[k][g] / mix
+            pi = {k: v / sum(counts.values()) for k, v in new.items()}
+        return pi, sum(n * log(sum(pi[k] * model[k][g] for k in langs)) for g, n in counts.items())
+
+    every = range(len(model))
+    totals = [em([k])[1] for k in every]
+    best, chosen = max(totals), {totals.index(max(totals)): 1.0}
+    order = sorted(every, key=lambda k, pi=em(list(every))[0]: (-pi[k], k))
+    for size in range(2, len(model) + 1):
+        pi, ll = em(order[:size])
+        if ll - penalty * (size - 1) * log(max(sum(counts.values()), 2)) > best:
+            best, chosen = ll - penalty * (size - 1) * log(max(sum(counts.values()), 2)), pi
+    return chosen
+
+
+def test_languages_equal_plain_loops(spark):
+    """The operator against counts, mixtures and the choice of a set in loops; five languages, texts of one to five of them."""
+    r = random.Random(6)
+    alphabets = ["abcde", "efghi", "ijklm", "mnopq", "qrstu"]
+    word = lambda k: "".join(r.choices(alphabets[k], k=r.randint(2, 6)))
+    text = lambda langs, n: " ".join(word(r.choice(langs)) for _ in range(n))
+    rows = [(i, text([i % 5], 30), f"l{i % 5}") for i in range(60)]
+    rows += [(100 + i, text(r.sample(range(5), 1 + i % 5), 60 + 40 * (i % 5)), None) for i in range(25)]
+    import zlib
+
+    sums = {}
+    for i, t, l in rows:
+        if l is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[l] = sums.get(l, 0) + langid.gram_buckets(t)
+    names = sorted(sums)
+    model = [(sums[l] + 0.5) / (sums[l] + 0.5).sum() for l in names]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sizes = set()
+    for row in langid.identify(df).collect():
+        c = langid.gram_buckets(dict((i, t) for i, t, _ in rows)[row.doc_id])
+        want = plain_language({int(g): int(c[g]) for g in np.flatnonzero(c)}, model)
+        got = {x.lang: x.share for x in row.languages}
+        assert got.keys() == {names[k] for k in want} and all(abs(got[names[k]] - p) < 1e-3 for k, p in want.items())
+        assert (row.lang_pred, row.score) == max(got.items(), key=lambda x: x[1])
+        sizes.add(len(got))
+    assert max(sizes) >= 4
 
 
 def plain_lines(docs, least):

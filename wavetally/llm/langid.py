@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import frugal, plain_names
+from .shared import added, discard, frugal, plain_names, written
 
 #: Hash buckets of the character n-grams of a language model.
 BUCKETS = 1 << 14
+#: Most languages that a model may have: it is held whole by every task, at 64 KB a language.
+MOST_LANGUAGES = 1024
 #: Characters that are read at a time, which bounds the memory of very long texts.
 CHUNK = 1 << 18
 
@@ -41,7 +43,7 @@ def train(docs: DataFrame, learn: "F.Column", text: str = "text", lang: str = "l
     """Languages and their log-probabilities per bucket, from all rows of ``docs`` for which ``learn`` holds.
 
     Counts are summed over the whole table; what reaches the driver is one row
-    per language and bucket at most.
+    per language and bucket at most. Labels of over ``MOST_LANGUAGES`` kinds are refused: they are no languages.
     """
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,70 +60,81 @@ def train(docs: DataFrame, learn: "F.Column", text: str = "text", lang: str = "l
             yield pd.DataFrame({"lang": l, "bucket": at.astype(np.int32), "n": c[at]})
 
     rows = docs.where(learn).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    got = rows.mapInPandas(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in got})
+    counted = written(rows.mapInPandas(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"labels name over {MOST_LANGUAGES} languages")
+    got, place = counted.toPandas(), {k: i for i, k in enumerate(langs)}  # at most MOST_LANGUAGES x buckets rows
+    discard(counted)
     table = np.full((len(langs), buckets), 0.5)
-    for r in got:
-        table[langs.index(r["lang"]), r["bucket"]] += r["n"]
+    table[got["lang"].map(place).to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] += got["n"].to_numpy(float)
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def mixture(n: np.ndarray, logp: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Proportions by expectation-maximisation and the log-likelihood of ``n`` grams with ``logp`` (grams x languages)."""
+def mixture(n: np.ndarray, logp: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float, float]:
+    """Proportions by expectation-maximisation of ``n`` grams with ``logp`` (grams x languages), their log-likelihood, and a bound of any proportions'.
+
+    The likelihood is concave in the proportions, so that no others, and none of fewer languages, can beat the bound.
+    """
     top = logp.max(axis=1, keepdims=True)
     like = np.exp(logp - top)
     pi = np.full(logp.shape[1], 1 / logp.shape[1])
+    total = n.sum()
     for _ in range(rounds if len(pi) > 1 else 0):
-        mix = like @ pi
-        pi = pi * (like.T @ (n / mix)) / n.sum()
-    return pi, float(n @ (np.log(np.maximum(like @ pi, 1e-300)) + top[:, 0]))
+        pi = pi * (like.T @ (n / (like @ pi))) / total
+    mix = np.maximum(like @ pi, 1e-300)
+    found = float(n @ (np.log(mix) + top[:, 0]))
+    return pi, found, found + float(total * np.log(max(float((like.T @ (n / mix)).max() / total), 1.0)))
 
 
-def infer(counts: np.ndarray, logp: np.ndarray, penalty: float = 1.0) -> tuple[int, float]:
-    """The language with the largest share in the best set of languages, and that share.
+def infer(counts: np.ndarray, logp: np.ndarray, penalty: float = 1.0) -> list[tuple[int, float]]:
+    """The languages of the best set and their shares, the largest share first; empty without grams.
 
     Sets grow one language at a time, in the order of the shares in the mixture
-    of all; the set with the best likelihood less ``penalty * log(n)`` for each
-    further language wins. Ties go to the smaller set and the first language.
+    of all; of all sizes, the set with the best likelihood less ``penalty * log(n)`` for each
+    further language wins. Sizes are left out only if the bound of all languages' likelihood
+    says that none of them can win. Ties go to the smaller set and the first language.
     """
     at = np.flatnonzero(counts)
     if not len(at):
-        return -1, 0.0
+        return []
     n, lp = counts[at].astype(float), logp[:, at].T
-    pi, _ = mixture(n, lp)
-    order = np.argsort(-pi, kind="stable")
     totals = n @ lp
-    best, share, score = int(np.argmax(totals)), 1.0, float(totals.max())
+    first = int(np.argmax(totals))
+    chosen, score = [(first, 1.0)], float(totals[first])
+    if len(totals) == 1:
+        return chosen
+    pi, _, bound = mixture(n, lp)
+    order = np.argsort(-pi, kind="stable")
     cost = penalty * np.log(max(n.sum(), 2.0))
-    for size in range(2, min(3, len(order)) + 1):
-        own = order[:size]
-        p, ll = mixture(n, lp[:, own])
-        if ll - cost * (size - 1) <= score:
+    for size in range(2, len(order) + 1):
+        if bound - cost * (size - 1) <= score:
             break
-        score, best, share = ll - cost * (size - 1), int(own[np.argmax(p)]), float(p.max())
-    return best, share
+        own = order[:size]
+        p, ll, _ = mixture(n, lp[:, own])
+        if ll - cost * (size - 1) > score:
+            score = ll - cost * (size - 1)
+            chosen = [(int(own[k]), float(p[k])) for k in np.argsort(-p, kind="stable")]
+    return chosen
 
 
-def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, in place of any columns of these names.
+def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``, or all) with ``lang_pred``, ``score`` and ``languages``, in place of any columns of these names.
 
-    ``und`` and 0.0 for a text that is null or has no letter, or without any learned language.
+    ``languages`` is the selected set with each one's share of the text, the largest first; ``lang_pred`` and
+    ``score`` are the first of them. ``und``, 0.0 and an empty set for a text that is null or has no letter, or without any learned language.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    docs = docs.drop("lang_pred", "score", "languages")
     small = logp.astype(np.float32)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterable[list]) -> Iterator[tuple]:
         table = small.astype(np.float64)
-        for pdf in batches:
-            names, scores = [], []
-            for t in pdf[text]:
-                k, s = infer(gram_buckets(t, table.shape[1]), table) if isinstance(t, str) and langs and has_letters(t) else (-1, 0.0)
-                names.append(langs[k] if k >= 0 else "und")
-                scores.append(min(max(s, 0.0), 1.0))
-            yield pdf.assign(lang_pred=names, score=np.array(scores, float))
+        for texts in batches:
+            sets = [infer(gram_buckets(t, table.shape[1]), table) if t and langs and has_letters(t) else [] for t in texts]
+            told = [[{"lang": langs[k], "share": min(max(p, 0.0), 1.0)} for k, p in found] for found in sets]
+            yield [x[0]["lang"] if x else "und" for x in told], [x[0]["share"] if x else 0.0 for x in told], told
 
-    return docs.mapInPandas(frugal(run), schema)
+    return added(docs, text, make, "lang_pred string, score double, languages array<struct<lang:string,share:double>>", carry)
 
 
 def held_out(doc_id: "F.Column") -> "F.Column":
@@ -130,20 +143,24 @@ def held_out(doc_id: "F.Column") -> "F.Column":
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` per row of ``docs``.
+    """``(doc_id, held_out, lang_pred, score, languages)`` per row of ``docs``; see :func:`predict`.
 
     Learns from text and non-null lang of the rows that are not held out (a null
     doc_id takes no part in learning); predictions see the text alone. Null and
-    letterless texts are ``und``; repeated rows repeat; an empty table gives no rows.
+    letterless texts are ``und``; texts of any length are read whole, in parts; repeated rows repeat; other
+    columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     langs, logp = train(rows, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    found = predict(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), langs, logp)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return predict(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), langs, logp, carry=["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.4) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or has a share under ``least`` of the text."""
+    """``docs`` without the rows whose language is ``und`` or has a share under ``least`` of the text.
+
+    So null, empty and letterless texts go. Repeated rows are treated alike; all columns
+    pass as they are; an empty table gives no rows.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     langs, logp = train(rows, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     plain, names = plain_names(docs)
