@@ -12,6 +12,10 @@ from .shared import written
 
 #: Rows of the bounded sample that pivots and first bounds are taken from, pivots, and rows of one tree.
 SAMPLE, PIVOTS, BLOCK = 4096, 64, 4096
+#: No score.
+LEAST = np.iinfo(np.int64).min
+#: Queries that one group of a cell's queries has at most: each block of data is sent once to every group that it may meet.
+ASKED = 16384
 #: Points of a tree's leaf: they are scored in one matrix product.
 LEAF = 192
 
@@ -59,11 +63,14 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = 8) -> tuple[np.ndarra
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: by floating point where that is exact, else by integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+    """Integer inner products: by floating point where that is exact, else by integers; what a long cannot hold is its nearest bound."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(a.shape[1], 1)
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = a.astype(object) @ b.astype(object).T
+    return np.clip(exact, LEAST + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
 def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +83,11 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
     q_order, q_nodes = cover_tree(q.astype(np.float64))
     x_order, x_nodes = cover_tree(x.astype(np.float64))
     n, worst = len(q), floor.astype(np.float64).copy()
-    scores, ids = np.full((n, k), np.iinfo(np.int64).min), np.full((n, k), np.iinfo(np.int64).max)
+    scores, ids = np.full((n, k), LEAST), np.full((n, k), np.iinfo(np.int64).max)
 
     def bound(a: tuple, b: tuple) -> float:
-        return float(a[0] @ b[0]) + float(np.linalg.norm(a[0])) * b[1] + float(np.linalg.norm(b[0])) * a[1] + a[1] * b[1] + 1e-6
+        norm_a, norm_b = float(np.linalg.norm(a[0])) + a[1], float(np.linalg.norm(b[0])) + b[1]
+        return float(a[0] @ b[0]) + (norm_a - a[1]) * b[1] + (norm_b - b[1]) * a[1] + a[1] * b[1] + 1e-6 + 1e-12 * norm_a * norm_b
 
     def visit(qa: int, xb: int) -> None:
         a, b = q_nodes[qa], x_nodes[xb]
@@ -97,9 +105,9 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
             s = _dot(q[rows], x[cols])
             i = np.broadcast_to(x_ids[cols], s.shape)
             same = i == q_ids[rows][:, None]
-            both_s = np.concatenate([scores[rows], np.where(same, np.iinfo(np.int64).min, s)], axis=1)
+            both_s = np.concatenate([scores[rows], np.where(same, LEAST, s)], axis=1)
             both_i = np.concatenate([ids[rows], np.where(same, np.iinfo(np.int64).max, i)], axis=1)
-            best = np.lexsort((both_i, -both_s.astype(np.float64)), axis=1)[:, :k] if np.abs(s).max(initial=0) < 2**53 else np.array([sorted(range(both_s.shape[1]), key=lambda j, r=r: (-int(both_s[r, j]), int(both_i[r, j])))[:k] for r in range(len(rows))])
+            best = np.lexsort((both_i, ~both_s), axis=1)[:, :k]  # ~ turns the order round without overflow
             scores[rows] = np.take_along_axis(both_s, best, axis=1)
             ids[rows] = np.take_along_axis(both_i, best, axis=1)
             worst[rows] = np.maximum(worst[rows], scores[rows, k - 1])
@@ -133,7 +141,8 @@ def top_k(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
 
     Of equal vectors only the ``k + 1`` smallest ids can be in a result, and only
     these are searched; all of them are queries. Null ids and unsound vectors take no part; only
-    vectors of the query's length are its candidates; repeated rows of an id count as one; ties go to the smaller id.
+    vectors of the query's length are its candidates; repeated rows of an id count as one; ties go to the smaller id. Products are
+    exact; a score beyond a long's range is the nearest long.
     """
     spark = rows.sparkSession
     vectors = written(integer_vectors(rows, vec_id, embedding).dropDuplicates(["id", "v"]), "vectors")
@@ -176,7 +185,7 @@ def _search(spark, data: DataFrame, queries: DataFrame, width: int, k: int) -> D
             for lo in range(0, len(pdf), 512):
                 part = pdf.iloc[lo : lo + 512]
                 m = _matrix(part["v"], width)
-                s = np.where(part["id"].to_numpy()[:, None] == ids[None, :], np.iinfo(np.int64).min, _dot(m, vecs))
+                s = np.where(part["id"].to_numpy()[:, None] == ids[None, :], LEAST, _dot(m, vecs))
                 sure = np.sort(s, axis=1)[:, -k].astype(np.float64) if len(ids) > k else np.full(len(part), -np.inf)
                 near, dist = cells(m)
                 yield part.assign(cell=near.astype(np.int32), dist=dist, sure=sure)
@@ -190,7 +199,7 @@ def _search(spark, data: DataFrame, queries: DataFrame, width: int, k: int) -> D
     meets: dict[int, list[int]] = {}
     for b in blocks:
         for g in groups:
-            most = pivots[g["cell"]] @ pivots[b["cell"]] + norms[g["cell"]] * b["radius"] + norms[b["cell"]] * g["radius"] + g["radius"] * b["radius"] + 1e-6
+            most = pivots[g["cell"]] @ pivots[b["cell"]] + norms[g["cell"]] * b["radius"] + norms[b["cell"]] * g["radius"] + g["radius"] * b["radius"] + 1e-6 + 1e-12 * (norms[g["cell"]] + g["radius"]) * (norms[b["cell"]] + b["radius"])
             if most >= g["worst"]:
                 meets.setdefault(b["cell"], []).append(g["cell"])
     return _pairs(spark, placed, asked, groups, blocks, meets, width, k)
@@ -213,7 +222,7 @@ def _pairs(spark, placed: DataFrame, asked: DataFrame, groups, blocks, meets: di
     What the driver knows is about cells, at most PIVOTS squared pairs of them; the blocks of
     crowded cells are numbered where the rows are.
     """
-    x_deal, q_deal = _dealt(blocks, BLOCK), _dealt(groups, BLOCK)
+    x_deal, q_deal = _dealt(blocks, BLOCK), _dealt(groups, ASKED)
     pairs = {(x_deal[c], q_deal[g]) for c, gs in meets.items() for g in gs}
     if not pairs:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
