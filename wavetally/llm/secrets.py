@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import added, written
 
 #: Kinds in the order in which spans with one start are listed; the last is the battery's.
 KINDS = ("assign", "access", "hex", "random")
@@ -121,14 +121,12 @@ def ordinary_p(chi: float, n: int, size: int, two: float, three: float) -> float
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A written table ``(rid, doc_id, base, tokens)``: base spans, and further tokens outside them."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spans = "array<struct<s:int,e:int,kind:string>>"
-    schema = rows.select("rid", "doc_id", F.array().cast(spans).alias("base"), F.array().cast("array<struct<s:int,e:int,token:string>>").alias("tokens")).schema
 
-    def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def find(batches: Iterable[list]) -> Iterator[tuple]:
+        for texts in batches:
             base, tokens = [], []
-            for t in pdf["text"]:
-                t = t if isinstance(t, str) else ""
+            for t in texts:
+                t = t or ""
                 own = base_spans(t)
                 base.append([{"s": s, "e": e, "kind": k} for s, e, k in own])
                 far = -1
@@ -136,9 +134,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 starts = [s for s, _, _ in own]
                 clear = lambda a, b: not (i := bisect_right(starts, b - 1)) or ends[i - 1] <= a
                 tokens.append([{"s": a, "e": b, "token": x} for a, b, x in tokens_of(t) if clear(a, b)])
-            yield pd.DataFrame({"rid": pdf["rid"], "doc_id": pdf["doc_id"], "base": base, "tokens": tokens})
+            yield base, tokens
 
-    return written(rows.mapInPandas(find, schema), "scanned")
+    columns = "base array<struct<s:int,e:int,kind:string>>, tokens array<struct<s:int,e:int,token:string>>"
+    return written(added(rows, "text", find, columns, ["rid", "doc_id"]), "scanned")
 
 
 def random_tokens(found: DataFrame, fdr: float = FDR, level: float = LEVEL) -> DataFrame:
@@ -201,8 +200,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` per row of ``docs``.
 
     Counts and digest are of the base spans; ``spans`` lists random tokens as well.
-    Null and empty texts have none; repeated rows repeat; other columns are ignored; an
-    empty table gives no rows.
+    Null and empty texts have none; texts of any length are searched whole; repeated rows repeat; a null
+    doc_id stays null; other columns are ignored; an empty table gives no rows.
     """
     found = scan(docs, doc_id, text)
     passed = written(random_tokens(found), "passed")

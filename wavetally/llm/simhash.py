@@ -12,12 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .shared import frugal, plain_names, written
+from .shared import added, discard, frugal, plain_names, written
 
 #: Shingles whose bits are counted at a time, which bounds the memory of very long texts.
 CHUNK = 1 << 15
-#: Seeds that spread a shingle's hash to further, independent fingerprint words.
-SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 #: MinHash bands of the near-copy stage and values in each: a pair at 0.8 meets with probability 1 - (1 - 0.8 ** 6) ** 24.
 BANDS, BAND_ROWS = 24, 6
@@ -60,19 +58,14 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, wide: int = 0) -> DataFrame:
-    """``docs`` with ``_f0`` (and ``_f1``.. for ``wide`` further words of 64 bits); null text counts as empty."""
-    schema = docs.select("*", *(F.lit(0).cast("long").alias(f"_f{k}") for k in range(wide + 1))).schema
+def add_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``carry``, or all) with ``_f0``, the fingerprint as a signed integer; null text counts as empty."""
 
-    def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for t in pdf[text]:
-                h = shingle_hashes(words(t if isinstance(t, str) else None), shingle)
-                rows.append([majority(h), *(majority(_spread(h, s)) for s in SPREAD[:wide])])
-            yield pdf.assign(**{f"_f{k}": np.array([r[k] for r in rows], np.int64) for k in range(wide + 1)})
+    def make(batches: Iterable[list]) -> Iterator[tuple]:
+        for texts in batches:
+            yield (np.array([majority(shingle_hashes(words(t), shingle)) for t in texts], np.int64),)
 
-    return docs.mapInPandas(frugal(add), schema)
+    return added(docs, text, make, "_f0 long", carry)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -239,7 +232,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     component has no other (then null). Other columns of ``docs`` are ignored.
     An empty table gives no rows.
     """
-    prints = written(add_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select("doc_id", "_f0"), "prints")
+    prints = written(add_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, ["doc_id"]), "prints")
     nodes = written(prints.groupBy("_f0").agg(F.min("doc_id").alias("least")), "nodes")
     groups = written(simhash_groups(nodes.select(F.col("_f0").alias("node"), "_f0"), radius), "groups")
     named = nodes.join(groups, nodes["_f0"] == groups["node"], "left").select("_f0", "least", F.coalesce("root", "_f0").alias("root"))
@@ -248,25 +241,25 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     return prints.join(named, "_f0", "left").select("doc_id", F.lower(F.lpad(F.hex("_f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def add_bands(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` with ``node``, a hash of the text's set of shingles, and ``keys``, a MinHash key for each of ``BANDS``."""
-    schema = docs.select("*", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("keys")).schema
+def add_bands(docs: DataFrame, text: str, shingle: int, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with ``set0`` and ``set1``, 128 bits that tell the text's set of shingles, and ``keys``, a MinHash key for each of ``BANDS``."""
 
-    def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterable[list]) -> Iterator[tuple]:
         draw = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
         times, plus = draw[0] | np.uint64(1), draw[1]
-        for pdf in batches:
-            nodes, keys = [], []
-            for t in pdf[text]:
+        for texts in batches:
+            whole, keys = [], []
+            for t in texts:
                 h = shingle_set(t, shingle)
-                nodes.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 5)).view(np.int64))
+                whole.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), 5), np.int64))
                 least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(h), 1024):
                     least = np.minimum(least, (_spread(h[i : i + 1024], 0)[:, None] * times + plus >> np.uint64(16)).min(axis=0))
                 keys.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))] if len(h) else [])
-            yield pdf.assign(node=np.array(nodes, np.int64), keys=keys)
+            whole = np.array(whole, np.int64).reshape(-1, 2)
+            yield whole[:, 0], whole[:, 1], keys
 
-    return docs.mapInPandas(frugal(add), schema)
+    return added(docs, text, make, "set0 long, set1 long, keys array<long>", carry)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -296,20 +289,22 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     doc_id, text = names[doc_id], names[text]
     rows = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_rid").alias("rid"))
-    banded = written(add_bands(rows.select("_rid", F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", shingle).select("_rid", F.col("_id").alias(doc_id), "node", "keys"), "banded")
-    nodes = written(banded.groupBy("node").agg(F.min(order).alias("first")), "nodes")
-    heads = banded.join(nodes.select(F.col("first.rid").alias("_rid")).hint("merge"), "_rid", "left_semi")
+    banded = written(add_bands(rows.select("_rid", doc_id, text), text, shingle, ["_rid", doc_id]), "banded")
+    # texts with one set of shingles are one node, named by its first row
+    nodes = written(banded.groupBy("set0", "set1").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("node"), "first"), "nodes")
+    heads = banded.select(F.col("_rid").alias("node"), "keys").join(nodes.select("node").hint("merge"), "node", "left_semi")
     keys = written(heads.select("node", F.posexplode("keys").alias("band", "key")), "keys")
+    discard(banded)
     shared = written(keys.groupBy("band", "key").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in (0, 1))).where("n > 1"), "shared")
     met = written(keys.join(shared.hint("merge"), ["band", "key"]), "met")
-    own = met.select("node").distinct().join(nodes.select("node", F.col("first.rid").alias("_rid")), "node")
-    told = rows.select("_rid", F.col(text).alias("_t")).join(own.hint("merge"), "_rid")
+    discard(keys, shared)
+    told = rows.select(F.col("_rid").alias("node"), F.col(text).alias("_t")).join(met.select("node").distinct().hint("merge"), "node", "left_semi")
 
-    def sets_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "set": [shingle_set(t, shingle).view(np.int64) for t in pdf["_t"]]})
+    def sets_of(batches: Iterable[list]) -> Iterator[tuple]:
+        for texts in batches:
+            yield ([shingle_set(t, shingle).view(np.int64) for t in texts],)
 
-    sets = written(told.select("node", "_t").mapInPandas(frugal(sets_of), "node long, set array<long>"), "sets")
+    sets = written(added(told, "_t", sets_of, "set array<long>", ["node"]), "sets")
     links, groups = None, None
 
     def placed() -> DataFrame:
@@ -337,4 +332,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     link(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.rid").alias("_rid")), "kept")
+    discard(nodes, met, sets, heard, mixed, groups)
     return rows.join(kept.hint("merge"), "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))

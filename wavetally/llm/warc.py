@@ -8,8 +8,8 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .shared import shared_dir, written
 
@@ -29,13 +29,13 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _urn(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None or pd.isna(page_id) else int(page_id)}>"
+def _urn(page_id: int | None) -> str:
+    return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None) -> bytes:
     """One gzip member that holds one record; a record that refers to another has no payload."""
-    revisit = refers_to is not None and not pd.isna(refers_to)
+    revisit = refers_to is not None
     block = HTTP_HEAD if revisit else HTTP_HEAD + payload
     uri = "".join(c if " " < c != "\x7f" else "%%%02X" % ord(c) for c in url or "")
     head = [
@@ -75,38 +75,52 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> D
     rows = rows.withColumn("_digest", F.sha2("_payload", 256)).join(firsts, "_digest", "left")
     rows = rows.withColumn("_first", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")))
 
-    def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
         path, out, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
-        for pdf in batches:
-            for page_id, url, payload, digest, first in zip(pdf["page_id"], pdf["url"], pdf["_payload"], pdf["_digest"], pdf["_first"]):
+        for batch in batches:
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "_payload", "_digest", "_first"))
+            for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in columns)):
                 if out is None:
                     store, at = _store(path)
                     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = store.open_output_stream(at, compression=None)
-                member = record(page_id, url, bytes(payload), digest, first)
+                member = record(page_id, url, payload, digest, first)
                 out.write(member)
                 n, size = n + 1, size + len(member)
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "bytes": [size], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [n]})
 
     ids = rows.select(F.col("page_id"), "url", "_payload", "_digest", "_first")
-    return written(ids.mapInPandas(write, "path string, bytes long, records long"), "files")
+    return written(ids.mapInArrow(write, "path string, bytes long, records long"), "files")
 
 
 def _parsed(member: bytes) -> tuple | None:
-    """Type, page_id, refers_to, uri, payload length, digest and payload of a decoded member; None if it holds no record."""
+    """Type, page_id, refers_to, uri, payload length, digest and payload of a decoded member; None if it holds no record.
+
+    Names of headers count in any case, and blanks around values do not. A record without a usable
+    Content-Length has all bytes behind its head; ids that are no pages' are null.
+    """
     head, sep, block = member.partition(b"\r\n\r\n")
     if not sep or not head.startswith(b"WARC/"):
         return None
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:x-page:").removesuffix(">")).lstrip("-").isdigit() else None
-    block = block[: int(fields["Content-Length"])]
-    kind = fields.get("WARC-Type", "")
-    payload = block.partition(b"\r\n\r\n")[2] if fields.get("Content-Type", "").startswith("application/http") else block
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+
+    def number(name: str) -> int | None:
+        x = fields.get(name, "").removeprefix("<urn:x-page:").removesuffix(">")
+        return int(x) if x.isascii() and x.removeprefix("-").isdigit() and -(1 << 63) <= int(x) < 1 << 63 else None
+
+    length = number("content-length")
+    block = block[:length] if length is not None and length >= 0 else block
+    kind, uri = fields.get("warc-type", ""), fields.get("warc-target-uri")
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
     if kind == "revisit":
-        return kind, number("WARC-Record-ID"), number("WARC-Refers-To"), fields.get("WARC-Target-URI"), int(fields.get("X-Payload-Length", -1)), fields.get("WARC-Payload-Digest", "").removeprefix("sha256:"), None
-    return kind, number("WARC-Record-ID"), None, fields.get("WARC-Target-URI"), len(payload), hashlib.sha256(payload).hexdigest(), payload
+        told = number("x-payload-length")
+        return kind, number("warc-record-id"), number("warc-refers-to"), uri, -1 if told is None else told, fields.get("warc-payload-digest", "").removeprefix("sha256:"), None
+    return kind, number("warc-record-id"), None, uri, len(payload), hashlib.sha256(payload).hexdigest(), payload
 
 
 def _member(read, at: int, step: int) -> tuple[bytes, int] | None:
@@ -164,32 +178,31 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = 64 << 20
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(min(max(ranges.count(), 1), MAX_TASKS))
 
-    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-        for pdf in batches:
-            for path, size, start in zip(pdf["path"], pdf["bytes"], pdf["start"]):
+    told = StructType.fromDDL(RECORD_SCHEMA)
+
+    def scan(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(told)
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for batch in batches:
+            for path, size, start in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "bytes", "start"))):
                 store, at = _store(path)
                 rows, held = [], 0
                 with store.open_input_file(at) as f:
-                    for offset, member in records_in(lambda pos, n: f.read_at(n, pos), int(size), int(start), min(int(start) + split_bytes, int(size))):
+                    for offset, member in records_in(lambda pos, n: f.read_at(n, pos), size, start, min(start + split_bytes, size)):
                         if (r := _parsed(member)) is None:
                             continue
-                        rows.append((path, offset, r[0], r[1], r[2], r[3], r[4], r[5], r[6] if payloads else None))
+                        rows.append((path, offset, *r[:6], r[6] if payloads else None))
                         held += len(member)
                         if held > 16 << 20 or len(rows) >= 5000:
-                            yield _frame(rows, names)
+                            yield table(rows)
                             rows, held = [], 0
                 if rows:
-                    yield _frame(rows, names)
-
-    return ranges.mapInPandas(scan, RECORD_SCHEMA)
-
+                    yield table(rows)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=names)
-    for c in ("page_id", "refers_to"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
+    return ranges.mapInArrow(scan, RECORD_SCHEMA)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT, split_bytes: int = 64 << 20) -> DataFrame:
