@@ -242,24 +242,25 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def add_bands(docs: DataFrame, text: str, shingle: int, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with ``set0`` and ``set1``, 128 bits that tell the text's set of shingles, and ``keys``, a MinHash key for each of ``BANDS``."""
+    """The columns ``carry`` of ``docs`` with ``set0`` and ``set1``, 128 bits that tell the text's set of shingles, ``sketch``, a byte of each MinHash value, and ``keys``, a MinHash key for each of ``BANDS``."""
 
     def make(batches: Iterable[list]) -> Iterator[tuple]:
         draw = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
         times, plus = draw[0] | np.uint64(1), draw[1]
         for texts in batches:
-            whole, keys = [], []
+            whole, small, keys = [], [], []
             for t in texts:
                 h = shingle_set(t, shingle)
                 whole.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), 5), np.int64))
                 least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(h), 1024):
                     least = np.minimum(least, (_spread(h[i : i + 1024], 0)[:, None] * times + plus >> np.uint64(16)).min(axis=0))
+                small.append((least & np.uint64(255)).astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))] if len(h) else [])
             whole = np.array(whole, np.int64).reshape(-1, 2)
-            yield whole[:, 0], whole[:, 1], keys
+            yield whole[:, 0], whole[:, 1], small, keys
 
-    return added(docs, text, make, "set0 long, set1 long, keys array<long>", carry)
+    return added(docs, text, make, "set0 long, set1 long, sketch binary, keys array<long>", carry)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -267,6 +268,17 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(words(text if isinstance(text, str) else None), n))
 
 
+def likely_pairs(node: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of a node of the ``left`` block and one of the ``right``, of different components, whose sketches agree in a share of ``least`` or more."""
+    a, b, out = np.flatnonzero(left), np.flatnonzero(right), [np.empty((0, 2), np.int64)]
+    for i in range(0, len(a), 64):
+        part = a[i : i + 64]
+        near = (sketch[part][:, None, :] == sketch[b][None, :, :]).sum(axis=2) >= least * sketch.shape[1]
+        x, y = np.nonzero(near & (c[part][:, None] != c[b][None, :]))
+        out.append(np.stack([node[part[x]], node[b[y]]], axis=1))
+    return np.concatenate(out)
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose ``sets(node, set)`` have a Jaccard similarity of at least ``similarity``."""
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
@@ -275,14 +287,15 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return met.where((both > 0) & (both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9)).select("a", "b")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 64) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 256) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest doc_id.
 
     Documents are linked if their sets of shingles have a Jaccard similarity of ``similarity``
     or more; groups are the components. Documents meet by MinHash bands, which find a pair
     at 0.8 with a probability of 0.9993, and each pair that links is verified on the sets themselves.
-    Two rounds compare a bucket's documents with a representative; what is then still in
-    different components is compared pair by pair, in blocks.
+    Two rounds compare a bucket's documents with a representative. What is then still in
+    different components is compared block by block inside tasks, by sketches of all MinHash values; only pairs
+    whose sketches agree up to four standard errors below ``similarity`` leave them, to be verified.
     Ties and null doc_ids are decided by a row number, so exactly one row stays. Columns are those of ``docs``.
     """
     docs, names = plain_names(docs)
@@ -292,8 +305,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     banded = written(add_bands(rows.select("_rid", doc_id, text), text, shingle, ["_rid", doc_id]), "banded")
     # texts with one set of shingles are one node, named by its first row
     nodes = written(banded.groupBy("set0", "set1").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("node"), "first"), "nodes")
-    heads = banded.select(F.col("_rid").alias("node"), "keys").join(nodes.select("node").hint("merge"), "node", "left_semi")
+    heads = banded.withColumnRenamed("_rid", "node").join(nodes.select("node").hint("merge"), "node", "left_semi")
     keys = written(heads.select("node", F.posexplode("keys").alias("band", "key")), "keys")
+    sketches = written(heads.select("node", "sketch"), "sketches")
     discard(banded)
     shared = written(keys.groupBy("band", "key").agg(F.count("*").alias("n"), *(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"r{k}") for k in (0, 1))).where("n > 1"), "shared")
     met = written(keys.join(shared.hint("merge"), ["band", "key"]), "met")
@@ -325,12 +339,21 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         link(heard.where(F.col("node") != F.col(f"r{k}")).select(F.col("node").alias("a"), F.col(f"r{k}").alias("b")))
     heard = written(placed().select("band", "key", "n", "node", "c"), "placed")
     mixed = written(heard.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key"), "mixed")
-    rest = heard.join(mixed.hint("merge"), ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = heard.join(mixed.hint("merge"), ["band", "key"]).join(sketches.hint("merge"), "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.groupBy("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("node", "c")).alias("m"))
-    pairs = dealt.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (y["c"] != F.col("x.c")))).alias("y"))
-    link(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    dealt = rest.groupBy("band", "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(*(F.collect_list(c).alias(c) for c in ("node", "c", "mine", "sketch")))
+    likely = similarity - 4 * (similarity * (1 - similarity) / (BANDS * BAND_ROWS)) ** 0.5
+
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+            for lo, hi, node, c, mine, sketch in zip(*(pdf[x] for x in ("lo", "hi", "node", "c", "mine", "sketch"))):
+                node, c, mine = (np.asarray(x, np.int64) for x in (node, c, mine))
+                found.append(likely_pairs(node, c, mine == lo, mine == hi, np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1), likely))
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    link(dealt.drop("band", "key").mapInPandas(frugal(compare), "a long, b long"))
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = written(kept.select(F.col("first.rid").alias("_rid")), "kept")
-    discard(nodes, met, sets, heard, mixed, groups)
+    discard(nodes, met, sets, sketches, heard, mixed, groups)
     return rows.join(kept.hint("merge"), "_rid", "left_semi").select(*(F.col(new).alias(old) for old, new in names.items()))
