@@ -34,10 +34,29 @@ Event End Time: 9 seconds
 
 def test_summaries(spark, tmp_path):
     (tmp_path / "s.txt").write_bytes(TEXT.encode("latin-1"))
-    got = sm.parse_summaries(sm.read_summaries(spark, str(tmp_path))).collect()
+    got = sm.parse_summaries(sm.read_summaries(spark, str(tmp_path)), "Event").collect()
     assert sorted((r.file, r.start_sec, r.end_sec) for r in got) == [("ab01_01.edf", 7, 9), ("ab01_02+.edf", 10, 20), ("ab01_02+.edf", 30, 44), ("ab01a_03.edf", 5, 8), ("odd-name.edf", 1, 2)]
 
 
+def test_odd_summaries(spark):
+    """Numbers without blanks around them; starts with numbers but ends without; a file's own times are no event's."""
+    texts = [
+        ("a", "File Name: ab01_01.edf\nFile Start Time: 11:42:54\nFile End Time: 12:42:54\nSeizure1 Start Time: 10 seconds\nSeizure1End Time: 20\nSeizure 2Start Time:\n30\nseizure 2 End Time: 40"),
+        ("b", "File Name: ab01_02.edf\nSeizure 1 Start Time: 7\nSeizure Start Time: 8\nSeizure End Time: 9"),
+        ("c", "File Name: ab01_03.edf\nFile Start Time: 11:42:54\nFile End Time: 12:42:54"),
+    ]
+    got = sm.parse_summaries(spark.createDataFrame(texts, "path string, value string")).collect()
+    assert sorted(((r.path, r.start_sec, r.end_sec) for r in got), key=str) == [("a", 10, 20), ("a", 30, 40), ("b", 8, 9), ("c", None, None)]
+
+
+def test_feature_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("p1", 0, [1.0, 2.0]), ("p2", 0, [3.0, 4.0])], "patient string, w long, features array<double>")
+    rc.write_features(rows, str(tmp_path), order=5, bands=["a", "b"])
+    rc.write_features(rows.where("patient = 'p2'").withColumn("w", rows.w + 9), str(tmp_path), order=5, bands=["a", "b"])
+    got, parameters = rc.read_features(spark, str(tmp_path))
+    assert {(r.patient, r.w, tuple(r.features)) for r in got.collect()} == {("p1", 0, (1.0, 2.0)), ("p2", 9, (3.0, 4.0))} and parameters == {"order": 5, "bands": ["a", "b"]}
+
+
 def edf(labels, rows, fs=4):
     n = len(labels)
     field = lambda v, size: str(v).ljust(size).encode()[:size]

@@ -39,23 +39,23 @@ def label_number(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+)", 1).cast("int")
 
 
-def edge_name_parts(c: Column) -> list[Column]:
-    """Band, source and target of a name such as low_alpha_3_12: the last two numbers count from the right."""
-    return [F.regexp_extract(c, r"^(.*)_(\d+)_(\d+)$", g) if g == 1 else F.regexp_extract(c, r"^(.*)_(\d+)_(\d+)$", g).cast("int") for g in (1, 2, 3)]
-
-
 def clip_floor(c: Column, least: float) -> Column:
     return F.greatest(c, F.lit(least))
 
 
-def next_power_of_two(c: Column) -> Column:
-    return F.pow(F.lit(2.0), F.ceil(F.log2(c))).cast("bigint")
+def in_shard(c: Column, listed: str) -> Column:
+    """Whether a value is in a list parted by commas; an empty list takes all."""
+    names = [x.strip() for x in listed.split(",") if x.strip()]
+    return c.isin(names) if names else F.lit(True)
+
+
+def to_microvolts(samples: Column, least: float) -> Column:
+    """Samples whose largest magnitude is under ``least`` are in volts and become microvolts; others stay."""
+    peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
+    return F.transform(samples, lambda x: F.when(peak < least, x * 1e6).otherwise(x))
 
 
-def midpoint_percentile(values: Column, share: float) -> Column:
-    """A percentile of a sorted array where the i-th of n values stands at (i - 1/2) / n, linear between, flat outside."""
-    n = F.size(values)
-    at = F.greatest(F.lit(1.0), F.least(n.cast("double"), n * share + 0.5))
-    lo = F.floor(at).cast("int")
-    low, high = F.element_at(values, lo), F.element_at(values, F.least(lo + 1, n))
-    return F.when(n > 0, low + (high - low) * (at - lo))
+def channels_first(matrix: Column) -> Column:
+    """An array of rows with more rows than columns is turned, as there are more samples than channels."""
+    columns = F.sequence(F.lit(0), F.size(matrix[0]) - 1)
+    return F.when(F.size(matrix) > F.size(matrix[0]), F.transform(columns, lambda j: F.transform(matrix, lambda r: F.get(r, j)))).otherwise(matrix)

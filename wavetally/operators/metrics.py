@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import guarded_ratio, ratio_or_zero
+from .stats import with_below
 
 
 def confusion(scores: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
@@ -21,32 +22,33 @@ def with_ratios(c: DataFrame) -> DataFrame:
     return c.withColumn("f1", guarded_ratio(2 * s * p, s + p))
 
 
-def average_rank(order: Column, keys: list[str]) -> Column:
-    """Rank with ties sharing the mean of their places."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    ties = Window.partitionBy(*keys, order)
-    return F.rank().over(by) + (F.count("*").over(ties) - 1) / 2.0
+def curves(scores: DataFrame, keys: list[str], threshold: float = 0.0) -> DataFrame:
+    """Per key: ``auc`` from rank sums (null with one class), ``ap``, precision summed over the steps of recall (null without positives), and the counts of :func:`confusion`.
 
+    All come from one table of counts per distinct score, and a key's scores are spread over tasks by ranges.
+    """
+    counts = with_below(scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("y").alias("p")), keys, "score", ["n", "p"])
+    rank = F.col("below_n") + (F.col("n") + 1) / 2.0
+    step = F.col("p") * (F.col("all_p") - F.col("below_p")) / (F.col("all_n") - F.col("below_n"))  # precision of the scores from this one up
+    hit, neg = F.col("score") >= threshold, F.col("n") - F.col("p")
+    part = lambda test, c: F.coalesce(F.sum(F.when(test, c)), F.lit(0))
+    s = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("p").alias("n_pos"), part(hit, F.col("p")).alias("tp"), part(~hit, neg).alias("tn"), part(hit, neg).alias("fp"), part(~hit, F.col("p")).alias("fn"),
+        F.sum(rank * F.col("p")).alias("_ranks"), F.sum(step).alias("_steps"),
+    )
+    p, q = F.col("n_pos"), F.col("n") - F.col("n_pos")
+    s = s.withColumns({"auc": guarded_ratio(F.col("_ranks") - p * (p + 1) / 2.0, p * q), "ap": guarded_ratio(F.col("_steps"), p)})
+    return with_ratios(s.drop("_ranks", "_steps"))
 
-def roc_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, auc)`` from rank sums; null where a key has one class only.
 
-    Ranks come from counts per distinct score, so a key's rows shrink before they meet.
-    """
-    counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    r = counts.withColumn("rank", below + (F.col("n") + 1) / 2.0)
-    s = r.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    p, q = F.col("p"), F.col("n") - F.col("p")
-    return s.select(*keys, guarded_ratio(F.col("s") - p * (p + 1) / 2.0, p * q).alias("auc"))
+def roc_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, auc)``; see :func:`curves`."""
+    return curves(scores, keys).select(*keys, "auc")
 
 
 def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, ap)``: precision summed over the steps of recall at distinct scores; null without positives."""
-    counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = counts.withColumns({"seen": F.sum("n").over(down), "hits": F.sum("p").over(down)})
-    return r.groupBy(*keys).agg(guarded_ratio(F.sum(F.col("p") * F.col("hits") / F.col("seen")), F.sum("p")).alias("ap"))
+    """``(keys, ap)``; see :func:`curves`."""
+    return curves(scores, keys).select(*keys, "ap")
 
 
 def pooled(c: DataFrame) -> DataFrame:

@@ -22,13 +22,13 @@ def rank_weights(sel: DataFrame, top: int = 20) -> DataFrame:
     kept = sel.where(F.col("rank") <= top).withColumn("raw", (F.lit(top + 1) - F.col("rank")).cast("double"))
     records = kept.groupBy("patient").agg(F.count_distinct("record").alias("n_records"))
     kept = kept.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("patient", "record")))
-    return kept.join(F.broadcast(records), "patient").withColumn("weight", F.col("weight") / F.col("n_records"))  # a row per patient
+    return kept.join(records, "patient").withColumn("weight", F.col("weight") / F.col("n_records"))
 
 
 def with_total(df: DataFrame, value: str, keys: list[str], name: str = "total") -> DataFrame:
     """``df`` with the sum of ``value`` over ``keys`` (over all rows without keys), by an aggregate and a join rather than a window on few keys."""
     total = df.groupBy(*keys).agg(F.sum(value).alias(name)) if keys else df.agg(F.sum(value).alias(name))
-    return df.join(F.broadcast(total), keys) if keys else df.crossJoin(F.broadcast(total))
+    return df.join(total, keys) if keys else df.crossJoin(F.broadcast(total))  # one row without keys
 
 
 def degrees(weights: DataFrame, keys: list[str], channels: int = CHANNELS) -> DataFrame:

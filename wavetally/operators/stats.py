@@ -4,11 +4,34 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import guarded_ratio
 
 
+#: Buckets of a key's values in :func:`with_below`.
+BUCKETS = 64
+
+
+def with_below(counts: DataFrame, keys: list[str], value: str, columns: list[str]) -> DataFrame:
+    """``counts``, a row per key and distinct ``value``, with ``below_<c>`` and ``all_<c>``: the sums of each of ``columns`` over the key's smaller values, and over all of them.
+
+    A key's values fall into buckets between approximate quantiles; rows are summed inside buckets and the
+    buckets' own sums added, so that a key of any size is spread over tasks. Where the bounds lie does not change the sums.
+    """
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("_bounds"))
+    rows = counts.join(bounds, keys) if keys else counts.crossJoin(bounds)
+    rows = rows.withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col(value)))).drop("_bounds")
+    sums = rows.groupBy(*keys, "_b").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a key
+    every = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_b", *(F.coalesce(F.sum(f"_s_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in columns), *(F.sum(f"_s_{c}").over(every).alias(f"all_{c}") for c in columns))
+    before = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, [*keys, "_b"])
+    return rows.withColumns({f"below_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns}).drop("_b", *(f"_o_{c}" for c in columns))
+
+
 def standardise(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``long`` with ``z``: population z-scores per key; a constant key keeps scale one."""
     s = long.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
@@ -26,9 +49,8 @@ def anova_f(long: DataFrame, keys: list[str], value: str = "x", label: str = "y"
 
 def class_effects(long: DataFrame, keys: list[str], value: str = "x", label: str = "y") -> DataFrame:
     """Per key: class sizes and means, rank AUC, its distance from chance folded up, and Cohen's d with the pooled spread (0 without any)."""
-    counts = long.groupBy(*keys, value).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    run = F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = counts.withColumn("rank", run - F.col("n") + (F.col("n") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
+    counts = with_below(long.groupBy(*keys, value).agg(F.count("*").alias("n"), F.sum(label).alias("p")), keys, value, ["n"])
+    r = counts.withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2.0).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("s"))
     pos = F.col(label) == 1
     g = long.groupBy(*keys).agg(
         F.count_if(pos).alias("n1"), F.count_if(~pos).alias("n0"), F.avg(F.when(pos, F.col(value))).alias("m1"), F.avg(F.when(~pos, F.col(value))).alias("m0"),
@@ -43,8 +65,16 @@ def class_effects(long: DataFrame, keys: list[str], value: str = "x", label: str
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """``(keys, n, rho)``: correlation of average ranks; rows with a missing side do not count."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
-    return rows.withColumns({"ra": rank(a), "rb": rank(b)}).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+
+    def ranks(c: str, name: str) -> DataFrame:
+        counts = with_below(rows.groupBy(*keys, c).agg(F.count("*").alias("n")), keys, c, ["n"])
+        return counts.select(*keys, c, (F.col("below_n") + (F.col("n") + 1) / 2.0).alias(name))
+
+    pairs = rows.groupBy(*keys, a, b).agg(F.count("*").alias("m")).join(ranks(a, "ra"), [*keys, a]).join(ranks(b, "rb"), [*keys, b])
+    total = lambda x: F.sum(F.col("m") * x)
+    t = pairs.groupBy(*keys).agg(F.sum("m").alias("n"), total(F.col("ra")).alias("x"), total(F.col("rb")).alias("z"), total(F.col("ra") * F.col("ra")).alias("xx"), total(F.col("rb") * F.col("rb")).alias("zz"), total(F.col("ra") * F.col("rb")).alias("xz"))
+    cov = lambda u, v, uv: F.col(uv) - F.col(u) * F.col(v) / F.col("n")
+    return t.select(*keys, "n", guarded_ratio(cov("x", "z", "xz"), F.sqrt(cov("x", "x", "xx")) * F.sqrt(cov("z", "z", "zz"))).alias("rho"))
 
 
 def damped_weights(df: DataFrame, keys: list[str], label: str = "y", power: float = 0.5) -> DataFrame:
@@ -56,10 +86,23 @@ def damped_weights(df: DataFrame, keys: list[str], label: str = "y", power: floa
     return (rows.join(s, keys) if keys else rows.crossJoin(F.broadcast(s))).select(*keys, label, "n", (F.col("raw") / F.col("mean")).alias("weight"))
 
 
-def pair_correlations(long: DataFrame, keys: list[str], entity: str, dim: str, value: str) -> DataFrame:
-    """``(keys, a, b, r)`` for each pair a < b of a small number of dimensions, by a join on the entity."""
-    left, right = long.select(*keys, entity, F.col(dim).alias("a"), F.col(value).alias("x")), long.select(*keys, entity, F.col(dim).alias("b"), F.col(value).alias("z"))
-    return left.join(right, [*keys, entity]).where("a < b").groupBy(*keys, "a", "b").agg(F.corr("x", "z").alias("r"))
+def channel_correlations(df: DataFrame, vector: str) -> DataFrame:
+    """``(a, b, r)`` for each pair a < b of a vector's places; tasks sum cross products, so what is gathered is places by places."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    m = Correlation.corr(rows, "v").first()[0].toArray()
+    pairs = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(i + 1, len(m))]
+    return df.sparkSession.createDataFrame(pairs, "a int, b int, r double")
+
+
+def valid_columns(long: DataFrame, keys: list[str], column: str, versions: list[str]) -> DataFrame:
+    """``(keys, column)`` of the columns without a missing value in any of the versions."""
+    bad = F.lit(False)
+    for v in versions:
+        bad = bad | F.col(v).isNull() | F.isnan(v)
+    return long.groupBy(*keys, column).agg(F.bool_or(bad).alias("_bad")).where("not _bad").drop("_bad")
 
 
 def _continued(a: float, b: float, x: float) -> float:
@@ -85,16 +128,27 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * _continued(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _continued(b, a, 1 - x) / b
 
 
+def with_p(rows: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
+    """``rows``, a bounded table of correlations, with the two-sided p-value of each by Student's t."""
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else correlation_p(float(a), int(b)) for a, b in zip(rs, ns)], dtype="float64")
+
+    return rows.withColumn(name, p(r, n))
+
+
+def chi_square_tail(x: "F.Column", df: int) -> "F.Column":
+    """The upper tail of the chi-squared distribution for an even number of degrees of freedom, as a finite sum."""
+    half, term, total = x / 2, F.lit(1.0), F.lit(1.0)
+    for i in range(1, df // 2):
+        term = term * half / i
+        total = total + term
+    return F.exp(-half) * total
+
+
 def correlation_p(r: float, n: int) -> float | None:
     """Two-sided p-value of a correlation by Student's t; None for under three rows."""
     if n < 3 or r is None:
         return None
     return 0.0 if abs(r) >= 1 else incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
-
-
-def chi_square_p(observed: list[float]) -> float:
-    """p-value of equal frequencies, by Spark's own test."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.stat import Statistics
-
-    return Statistics.chiSqTest(Vectors.dense(observed)).pValue

@@ -279,3 +279,20 @@ def interval_label_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows labelled by the share of them that reference intervals cover."""
     sc, _, _, ref = prepared(spark, sf_dir)
     return label_windows(sc.select(*KEYS, "w"), merge_intervals(ref, KEYS, 0.0, strict=False), KEYS)
+
+
+@query(
+    SCORED_SQL + """,
+    lv AS (SELECT 'window' AS level, (count(*) FILTER (score >= 0 AND y = 1))::BIGINT AS tp, (count(*) FILTER (score >= 0 AND y = 0))::BIGINT AS fp, (count(*) FILTER (score < 0 AND y = 1))::BIGINT AS fn FROM sc
+        UNION ALL SELECT 'event', (SELECT count(*) FROM hit WHERE hit), (SELECT count(*) FROM fp), (SELECT count(*) FROM hit WHERE NOT hit))
+    SELECT level, tp, fp, fn, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS sensitivity, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1 FROM lv"""
+)
+def window_event_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores judged by windows and by events."""
+    sc, _, alarms, ref = prepared(spark, sf_dir)
+    hit, pos = F.col("score") >= 0, F.col("y") == 1
+    by_window = sc.agg(F.lit("window").alias("level"), F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"))
+    counts = ev.event_counts(ev.scored_events(ref, KEYS), ev.scored_events(alarms, KEYS), KEYS)
+    by_event = counts.agg(F.lit("event").alias("level"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return by_window.unionByName(by_event).select("level", "tp", "fp", "fn", rnd(ratio_or_zero(tp, tp + fn)).alias("sensitivity"), rnd(ratio_or_zero(tp, tp + fp)).alias("precision"), rnd(ratio_or_zero(2 * tp, 2 * tp + fp + fn)).alias("f1"))

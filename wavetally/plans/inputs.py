@@ -92,8 +92,7 @@ FEATURES_SQL = """ft AS (
     FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(i))"""
 
 
-def features(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, y, label, feature, x)``: the long form of the vectors; label 0 is the positive class."""
     e = table(spark, sf_dir, "embeddings")
-    vector = F.slice("embedding", 1, most) if most else F.col("embedding")
-    return e.select("vec_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), "label", F.posexplode(vector).alias("feature", "x")).withColumn("x", F.col("x").cast("double"))
+    return e.select("vec_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), "label", F.posexplode("embedding").alias("feature", "x")).withColumn("x", F.col("x").cast("double"))

@@ -77,7 +77,7 @@ SEGMENT_SQL = f"WITH {CONFUSION_SQL}, {LENGTHS_SQL}, {AUC_SQL.format(k='record',
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = scores(spark, sf_dir)
-    rows = mt.confusion(sc, KEYS).join(mt.roc_auc(sc, KEYS), KEYS).join(mt.average_precision(sc, KEYS), KEYS)
+    rows = mt.curves(sc, KEYS)
     return rows.withColumn("duration", (F.col("n") - 1) * 2.5 + 10)
 
 

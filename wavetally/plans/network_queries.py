@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import guarded_ratio
 from ..operators import network as nw
+from ..operators.stats import chi_square_tail
 from .inputs import SELECTION_SQL, WEIGHTS_SQL, rnd, selections
 from .registry import query
 
@@ -21,8 +22,13 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.rank_weights(selections(spark, sf_dir))
 
 
+def edge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(patient, band, src, tgt, weight)``: the weights summed once to a bounded table, from which a plan derives all it needs."""
+    return weights(spark, sf_dir).groupBy("patient", "band", "src", "tgt").agg(F.sum("weight").alias("weight"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weights(spark, sf_dir).groupBy("patient", "src", "tgt").agg(F.sum("weight").alias("weight"))
+    return edge_bands(spark, sf_dir).groupBy("patient", "src", "tgt").agg(F.sum("weight").alias("weight"))
 
 
 MAP_SQL = """fm AS (SELECT (306 * b + 17 * (s - 1) + (t - 1) - CASE WHEN t > s THEN 1 ELSE 0 END)::INTEGER AS feature_index, b::INTEGER AS band, s::INTEGER AS src, t::INTEGER AS tgt
@@ -78,23 +84,24 @@ def band_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("band", "n", rnd(share).alias("share"), F.col("used").alias("n_distinct"), rnd(100.0 * F.col("used") / 306).alias("coverage"), rnd(share * 5).alias("over_representation"), rnd(guarded_ratio(F.col("w"), F.col("n")), 9).alias("mean_weight"))
 
 
-@query(f"{BASE}, {BAND_SQL} SELECT round(sum((n - e) * (n - e) / e), 6) AS chi2, (count(*) - 1)::INTEGER AS df FROM (SELECT n, sum(n) OVER () / 5::DOUBLE AS e FROM bt)")
+@query(f"{BASE}, {BAND_SQL} SELECT round(x, 6) AS chi2, df, round(exp(-x / 2) * (1 + x / 2), 9) AS p FROM (SELECT sum((n - e) * (n - e) / e) AS x, (count(*) - 1)::INTEGER AS df FROM (SELECT n, sum(n) OVER () / 5::DOUBLE AS e FROM bt))")
 def band_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Goodness of fit of the bands' counts against equal ones; the p-value is :func:`wavetally.operators.stats.chi_square_p`."""
+    """Goodness of fit of the five bands' counts against equal ones, with its p-value."""
     g = nw.with_total(weights(spark, sf_dir).groupBy("band").agg(F.count("*").alias("n")), "n", [])
     e = F.col("total") / 5
-    return g.agg(rnd(F.sum((F.col("n") - e) * (F.col("n") - e) / e)).alias("chi2"), (F.count("*") - 1).cast("int").alias("df"))
+    x = g.agg(F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("x"), (F.count("*") - 1).cast("int").alias("df"))
+    return x.select(rnd(F.col("x")).alias("chi2"), "df", rnd(chi_square_tail(F.col("x"), 4), 9).alias("p"))
 
 
 @query(f"{BASE}, {CH}, {DEGREES} SELECT patient, channel, round(out_w, 9) AS out_w, round(in_w, 9) AS in_w, round(out_w - in_w, 9) AS net, round(out_w + in_w, 9) AS total, round((out_w - in_w) / nullif(out_w + in_w, 0), 6) AS asym FROM dg")
 def degree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = nw.degrees(weights(spark, sf_dir), ["patient"])
+    d = nw.degrees(edge_bands(spark, sf_dir), ["patient"])
     return d.select("patient", "channel", rnd(F.col("out"), 9).alias("out_w"), rnd(F.col("in_"), 9).alias("in_w"), rnd(F.col("net"), 9).alias("net"), rnd(F.col("total"), 9).alias("total"), rnd(F.col("asym")).alias("asym"))
 
 
 @query(f"{BASE}, {CH}, {DEGREES} SELECT patient, round(corr(out_w, in_w), 6) AS out_in_corr FROM dg GROUP BY patient")
 def degree_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nw.degrees(weights(spark, sf_dir), ["patient"]).groupBy("patient").agg(rnd(F.corr("out", "in_")).alias("out_in_corr"))
+    return nw.degrees(edge_bands(spark, sf_dir), ["patient"]).groupBy("patient").agg(rnd(F.corr("out", "in_")).alias("out_in_corr"))
 
 
 CUM_SQL = "cs AS (SELECT *, row_number() OVER w AS place, sum(weight) OVER (PARTITION BY patient ORDER BY weight DESC, src, tgt ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY patient) AS share FROM ed WINDOW w AS (PARTITION BY patient ORDER BY weight DESC, src, tgt))"
@@ -119,7 +126,7 @@ def reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE} SELECT patient, band, round(sum(weight * abs(src - tgt)) / sum(weight), 6) AS separation FROM wt GROUP BY patient, band")
 def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = weights(spark, sf_dir)
+    w = edge_bands(spark, sf_dir)
     return w.groupBy("patient", "band").agg(rnd(F.sum(F.col("weight") * F.abs(F.col("src") - F.col("tgt"))) / F.sum("weight")).alias("separation"))
 
 
@@ -127,7 +134,7 @@ SHARE_SQL = "sh AS (SELECT patient, band, sum(weight) / sum(sum(weight)) OVER (P
 
 
 def band_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = weights(spark, sf_dir).groupBy("patient", "band").agg(F.sum("weight").alias("w"))
+    g = edge_bands(spark, sf_dir).groupBy("patient", "band").agg(F.sum("weight").alias("w"))
     return nw.with_total(g, "w", ["patient"]).select("patient", "band", (F.col("w") / F.col("total")).alias("share"))
 
 
@@ -187,10 +194,10 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def typical_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patients nearest to and farthest from the mean profile of band shares and unit net flow."""
-    w = weights(spark, sf_dir)
+    w = edge_bands(spark, sf_dir)
     net = nw.degrees(w, ["patient"])
     norm = net.groupBy("patient").agg(F.sqrt(F.sum(F.col("net") * F.col("net"))).alias("norm"))
-    flow = net.join(F.broadcast(norm), "patient").select("patient", (F.col("channel") + 100).alias("dim"), (F.col("net") / F.col("norm")).alias("x"))
+    flow = net.join(norm, "patient").select("patient", (F.col("channel") + 100).alias("dim"), (F.col("net") / F.col("norm")).alias("x"))
     zero = w.select("patient").distinct().select("patient", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dim"), F.lit(0.0).alias("x"))
     bands = band_shares(spark, sf_dir).select("patient", F.col("band").alias("dim"), F.col("share").alias("x")).unionByName(zero).groupBy("patient", "dim").agg(F.sum("x").alias("x"))
     every = flow.unionByName(bands)
@@ -202,16 +209,16 @@ def typical_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE}, {CH}, {DEGREES} SELECT patient, channel, round((out_w - in_w) / max(abs(out_w - in_w)) OVER (PARTITION BY patient), 6) AS net_flow FROM dg")
 def net_flow_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = nw.degrees(weights(spark, sf_dir), ["patient"])
+    d = nw.degrees(edge_bands(spark, sf_dir), ["patient"])
     top = d.groupBy("patient").agg(F.max(F.abs("net")).alias("top"))
-    return d.join(F.broadcast(top), "patient").select("patient", "channel", rnd(guarded_ratio(F.col("net"), F.col("top"))).alias("net_flow"))
+    return d.join(top, "patient").select("patient", "channel", rnd(guarded_ratio(F.col("net"), F.col("top"))).alias("net_flow"))
 
 
 @query(f"{BASE}, {CH}, {DEGREES} SELECT channel, " + ", ".join(f"round(coalesce(sum(CASE WHEN patient = 'p{i:02d}' THEN out_w - in_w END), 0), 9) AS p{i:02d}" for i in range(25)) + " FROM dg GROUP BY channel")
 def net_flow_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Net flow as a table of channels by patients."""
     names = [f"p{i:02d}" for i in range(25)]
-    wide = nw.degrees(weights(spark, sf_dir), ["patient"]).groupBy("channel").pivot("patient", names).agg(F.sum("net")).na.fill(0.0)
+    wide = nw.degrees(edge_bands(spark, sf_dir), ["patient"]).groupBy("channel").pivot("patient", names).agg(F.sum("net")).na.fill(0.0)
     return wide.select("channel", *(rnd(F.col(n), 9).alias(n) for n in names))
 
 
@@ -269,7 +276,7 @@ def connection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{BASE}, {CH}, {DEGREES} SELECT channel, count(*) FILTER (out_w > in_w) AS n_source_hub, count(*) FILTER (out_w < in_w) AS n_sink_hub, count(DISTINCT patient) AS n FROM dg WHERE abs(out_w - in_w) > 1e-9 GROUP BY channel""")
 def hub_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many patients a channel sends more than it receives, or less."""
-    d = nw.degrees(weights(spark, sf_dir), ["patient"]).where(F.abs("net") > 1e-9)
+    d = nw.degrees(edge_bands(spark, sf_dir), ["patient"]).where(F.abs("net") > 1e-9)
     return d.groupBy("channel").agg(F.count_if(F.col("net") > 0).alias("n_source_hub"), F.count_if(F.col("net") < 0).alias("n_sink_hub"), F.count_distinct("patient").alias("n"))
 
 

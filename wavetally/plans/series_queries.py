@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import Config
-from ..operators import metrics as mt, models as md, series as sr, windowing as wd
+from ..operators import evaluation as ez, metrics as mt, models as md, series as sr, windowing as wd
+from ..operators.stats import with_below
 from ..tables import table
 from .inputs import FEATURES_SQL, SCORES_SQL, features, rnd, scores
 from .registry import query
@@ -13,14 +14,15 @@ from .registry import query
 #: A small recording: 16 samples a second, windows of 32 samples every 8.
 SMALL = Config(fs=16, window_s=2.0, step_s=0.5)
 BANDS = (("slow", 0.5, 2.0), ("mid", 2.0, 4.0), ("fast", 4.0, 8.0))
-#: Vectors of a label in order are samples in time, their first components the channels.
-SERIES_SQL = f"{FEATURES_SQL}, sg AS (SELECT label AS record, feature AS channel, row_number() OVER (PARTITION BY label, feature ORDER BY vec_id) - 1 AS s, x FROM ft WHERE feature < 4)"
+#: Vectors of a label in order are samples in time; each four components are the channels of a recording.
+SERIES_SQL = f"{FEATURES_SQL}, sg AS (SELECT label * 1000 + feature // 4 AS record, feature % 4 AS channel, row_number() OVER (PARTITION BY label, feature ORDER BY vec_id) - 1 AS s, x FROM ft)"
 
 
 def samples(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
-    """``(record, channel, s, x)``."""
+    """``(record, channel, s, x)``: all components, as recordings of so many channels each."""
     order = Window.partitionBy("label", "feature").orderBy("vec_id")
-    return features(spark, sf_dir, channels).select(F.col("label").alias("record"), F.col("feature").alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("s"), "x")
+    record = (F.col("label") * 1000 + F.floor(F.col("feature") / channels)).cast("long")
+    return features(spark, sf_dir).select(record.alias("record"), (F.col("feature") % channels).alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("s"), "x")
 
 
 def channels_of(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +34,7 @@ def windowed(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
     """``(record, w, channel, samples)``: each sample goes to its windows by arithmetic."""
     rows = samples(spark, sf_dir, channels)
     n = rows.groupBy("record").agg((F.max("s") + 1).alias("n")).withColumn("n_windows", F.floor((F.col("n") - SMALL.window) / SMALL.step) + 1)
-    rows = rows.join(F.broadcast(n), "record").withColumn("w", F.explode(wd.windows_of_sample(F.col("s"), F.col("n_windows"), SMALL.window, SMALL.step)))
+    rows = rows.join(n, "record").withColumn("w", F.explode(wd.windows_of_sample(F.col("s"), F.col("n_windows"), SMALL.window, SMALL.step)))
     return channels_of(rows, ["record", "w"])
 
 
@@ -125,14 +127,14 @@ TRAINING = Config()
 def loro_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave one record out: a row per record with the metrics of its out-of-fold scores."""
     s = md.fold_scores(labelled(spark, sf_dir).withColumn("fold", F.col("record")), "fold", TRAINING).where("score is not null")
-    return mt.confusion(s, ["record"]).join(mt.roc_auc(s, ["record"]), "record").join(mt.average_precision(s, ["record"]), "record")
+    return mt.curves(s, ["record"])
 
 
 @query()
 def random_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random windows by class, records ignored: a row per fold."""
     s = md.fold_scores(md.random_folds(labelled(spark, sf_dir), TRAINING), "fold", TRAINING).where("score is not null")
-    return mt.confusion(s, ["fold"]).join(mt.roc_auc(s, ["fold"]), "fold").join(mt.average_precision(s, ["fold"]), "fold")
+    return mt.curves(s, ["fold"])
 
 
 @query()
@@ -143,8 +145,24 @@ def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("fold", "k_feat", "c", "gamma", "error").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("n_alarm"))
 
 
+def patients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows of four patients' records, some of them without events, and the annotations that their positive windows make."""
+    rows = labelled(spark, sf_dir).withColumn("patient", F.concat(F.lit("p"), F.floor(F.col("w") % 4).cast("string"))).withColumn("w", F.floor(F.col("w") / 4))
+    rows = rows.withColumn("y", F.when(F.col("record") % 5 < 3, F.col("y")).otherwise(0))
+    start = F.col("w") * TRAINING.step_s
+    return rows, rows.where("y = 1").select("patient", "record", start.alias("start"), (start + TRAINING.window_s).alias("end"))
+
+
+@query()
+def patient_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation: a row per patient with its event, sample and window metrics and the parameters chosen most."""
+    windows, annotations = patients(spark, sf_dir)
+    found = ez.evaluate(windows, annotations, {"k_feat": (8, 16), "c": (1.0,), "gamma": ("scale",)}, (2, 3), TRAINING)
+    return found.summary
+
+
 @query(f"WITH {SCORES_SQL} SELECT record, patient, max(y) AS record_class, count(*) AS n, row_number() OVER (ORDER BY record) AS fold FROM sc GROUP BY record, patient HAVING max(y) <> min(y)")
 def fold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that can be left out: those with both classes; a row per record."""
-    g = scores(spark, sf_dir).groupBy("record", "patient").agg(F.max("y").alias("record_class"), F.min("y").alias("low"), F.count("*").alias("n")).where("record_class <> low")
-    return g.withColumn("fold", F.row_number().over(Window.orderBy("record")).cast("long")).drop("low")
+    g = scores(spark, sf_dir).groupBy("record", "patient").agg(F.max("y").alias("record_class"), F.min("y").alias("low"), F.count("*").alias("n")).where("record_class <> low").withColumn("one", F.lit(1))
+    return with_below(g, [], "record", ["one"]).select("record", "patient", "record_class", "n", (F.col("below_one") + 1).cast("long").alias("fold"))

@@ -31,7 +31,7 @@ def summary_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.transform("ws", lambda w, i: F.format_string("Event %d Start Time: %d seconds\nEvent %d End Time: %d seconds", i + 1, w * 3, i + 1, w * 3 + 40))
     name = F.concat(F.lit("r"), F.lpad(F.floor(F.col("record") / 10).cast("string"), 2, "0"), F.lit("_"), F.lpad((F.col("record") % 10).cast("string"), 2, "0"), F.lit(".edf"))
     texts = g.select(F.col("record").cast("string").alias("path"), F.concat(F.lit("File Name: "), name, F.lit("\nNumber of Events: "), F.size("ws").cast("string"), F.lit("\n"), F.array_join(line, "\n")).alias("value"))
-    return sm.parse_summaries(texts).select(F.col("path").cast("bigint").alias("record"), "file", "n", "start_sec", "end_sec")
+    return sm.parse_summaries(texts, "Event").select(F.col("path").cast("bigint").alias("record"), "file", "n", "start_sec", "end_sec")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, len(regexp_extract_all(html, '<li>'))::BIGINT AS n_items, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
@@ -142,33 +142,44 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "n")
 
 
-@query()
+@query("SELECT label AS record, (i - 1)::INTEGER AS channel_idx, count(*)::INTEGER AS n, round(sum(embedding[i]::DOUBLE), 4) AS before, count(*)::INTEGER AS n_back, round(sum(embedding[i]::DOUBLE), 4) AS after FROM embeddings, unnest(range(1, len(embedding) + 1)) r(i) GROUP BY label, i")
 def recording_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels cut into stored blocks and put together again: their lengths and sums, before and after."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("record"), "vec_id", F.posexplode("embedding").alias("channel_idx", "x"))
     c = e.groupBy("record", "channel_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"]).alias("samples"))
     back = rc.from_blocks(rc.to_blocks(c, 16), ["record", "channel_idx"])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return c.select("record", "channel_idx", F.size("samples").alias("n"), total("samples").alias("before")).join(back.select("record", "channel_idx", F.size("samples").alias("n_back"), total("samples").alias("after")), ["record", "channel_idx"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return c.select("record", "channel_idx", F.size("samples").alias("n"), F.round(total("samples"), 4).alias("before")).join(back.select("record", "channel_idx", F.size("samples").alias("n_back"), F.round(total("samples"), 4).alias("after")), ["record", "channel_idx"])
 
 
-@query("""WITH k AS (SELECT vec_id, label, i, i % 16 AS pos FROM embeddings, unnest(range(0, CASE WHEN vec_id % 7 = 0 THEN 15 ELSE 16 END)) r(i))
-    SELECT vec_id, count(*) AS n_channels, sum(i)::BIGINT AS checksum FROM k GROUP BY vec_id HAVING count(DISTINCT pos) = 16""")
+#: A supplier's lines of a year are the channels of a record: the part's brand names one, order and line number are its place.
+MONTAGE_SQL = """ln AS (SELECT l_suppkey * 10000 + year(l_shipdate::DATE) AS record, replace(trim(upper(p_brand)), ' ', '') AS name, l_orderkey * 10 + l_linenumber AS channel_idx, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey),
+    wanted AS (SELECT DISTINCT replace(trim(upper(p_brand)), ' ', '') AS name FROM part WHERE p_brand LIKE '%3%'),
+    ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record, name ORDER BY channel_idx) AS r FROM ln) WHERE r = 1),
+    hv AS (SELECT record, name, channel_idx, x FROM ft JOIN wanted USING (name)), ok AS (SELECT record FROM hv GROUP BY record HAVING count(*) = (SELECT count(*) FROM wanted))"""
+
+
+def _montage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 10000 + F.year("l_shipdate")).alias("record"), "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("channel_idx"), "l_quantity")
+    channels = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("record", F.col("p_brand").alias("channel"), "channel_idx", F.col("l_quantity").alias("x"))
+    names = part.where("p_brand like '%3%'").select(fn.normalise_name(F.col("p_brand")).alias("name")).distinct()
+    wanted = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("pos"))  # a row per channel of the montage
+    return rc.montage(channels, wanted, ["record"])
+
+
+@query(f"WITH {MONTAGE_SQL} SELECT record, count(*) AS n_channels, sum(channel_idx)::BIGINT AS checksum, round(sum(x), 2) AS total FROM hv JOIN ok USING (record) GROUP BY record")
 def montage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that have every channel of a montage; every seventh lacks the last one."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 14).otherwise(15))).alias("channel_idx"))
-    channels = e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx"))
-    wanted = spark.createDataFrame([(i, f"CH{i:02d}") for i in range(16)], "pos int, name string")
-    got, _ = rc.montage(channels, wanted, ["vec_id"])
-    return got.groupBy("vec_id").agg(F.count("*").alias("n_channels"), F.sum("channel_idx").cast("long").alias("checksum"))
+    """Records that have every channel of the montage, and the channels picked: of equal names the first."""
+    got, _ = _montage(spark, sf_dir)
+    return got.groupBy("record").agg(F.count("*").alias("n_channels"), F.sum("channel_idx").cast("long").alias("checksum"), F.round(F.sum("x"), 2).alias("total"))
 
 
-@query("SELECT vec_id, 'CH15' AS missing FROM embeddings WHERE vec_id % 7 = 0")
+@query(f"WITH {MONTAGE_SQL} SELECT l.record, string_agg(w.name, ';' ORDER BY w.name) AS missing FROM (SELECT DISTINCT record FROM ln) l, wanted w WHERE NOT EXISTS (SELECT 1 FROM hv WHERE hv.record = l.record AND hv.name = w.name) GROUP BY l.record")
 def montage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the other records miss."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 7 == 0, 14).otherwise(15))).alias("channel_idx"))
-    wanted = spark.createDataFrame([(i, f"CH{i:02d}") for i in range(16)], "pos int, name string")
-    return rc.montage(e.withColumn("channel", F.format_string("ch %02d-1", "channel_idx")), wanted, ["vec_id"])[1].withColumn("missing", F.array_join("missing", ";"))
+    missing = _montage(spark, sf_dir)[1]
+    return missing.select("record", F.array_join(F.array_sort("missing"), ";").alias("missing"))
 
 
 @query("SELECT label % 3 AS patient, label AS record, vec_id AS w, (label = 0 AND vec_id % 2 = 0)::INTEGER AS label, (max((label = 0 AND vec_id % 2 = 0)::INTEGER) OVER (PARTITION BY label))::INTEGER AS record_class FROM embeddings WHERE vec_id % 11 <> 0")
@@ -178,3 +189,39 @@ def usable_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     imag = F.when(F.col("vec_id") % 11 == 0, 1e-3).otherwise(0.0)
     rows = e.select((F.col("label") % 3).alias("patient"), F.col("label").alias("record"), F.col("vec_id").alias("w"), ((F.col("label") == 0) & (F.col("vec_id") % 2 == 0)).cast("int").alias("y"), F.transform("embedding", lambda x: F.struct(x.cast("double").alias("real"), imag.alias("imag"))).alias("features")).withColumnRenamed("y", "label")
     return rc.usable_windows(rows).select("patient", "record", "w", "label", "record_class")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 4.0::DOUBLE, 1) AS tenths, round_even(l_quantity / 2.0::DOUBLE, 0)::BIGINT AS whole FROM lineitem")
+def presentation_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as they are shown: halves go to the even digit."""
+    l = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("double")
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", F.bround(q / 4, 1).alias("tenths"), F.bround(q / 2, 0).cast("long").alias("whole"))
+
+
+@query(f"WITH {SCORES_SQL} SELECT patient, count(*) AS n_windows, patient IN ('p03', 'p07', 'p11') AS in_shard, true AS in_all FROM sc GROUP BY patient")
+def patient_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a run that is told a list of patients takes each of them, and that a run without a list takes all."""
+    return scores(spark, sf_dir).groupBy("patient").agg(F.count("*").alias("n_windows")).select("patient", "n_windows", fn.in_shard(F.col("patient"), " p03,p07 , p11,").alias("in_shard"), fn.in_shard(F.col("patient"), " ").alias("in_all"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) AS peak, v FROM v)
+    SELECT vec_id, peak < 0.3 AS rescaled, round(CASE WHEN peak < 0.3 THEN peak * 1000000 ELSE peak END, 3) AS peak_after FROM s""")
+def unit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals whose largest value says volts become microvolts; the others stay."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    fixed = e.select("vec_id", "v", fn.to_microvolts(F.col("v"), 0.3).alias("u"))
+    peak = lambda c: F.array_max(F.transform(c, lambda x: F.abs(x)))
+    return fixed.select("vec_id", (peak("v") < 0.3).alias("rescaled"), F.round(peak("u"), 3).alias("peak_after"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, l_linenumber - 1 AS i, [l_quantity::DOUBLE, l_extendedprice::DOUBLE] AS r FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i, r) - 1 AS pos FROM m)
+    SELECT k, count(*) > 2 AS turned, CASE WHEN count(*) > 2 THEN 2 ELSE count(*) END AS n_rows, CASE WHEN count(*) > 2 THEN count(*) ELSE 2 END AS n_columns, round(sum(r[1]), 2) AS first_sum FROM n GROUP BY k""")
+def orientation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of an order's lines by two measures: those with more rows than columns are turned, so that channels come first."""
+    l = table(spark, sf_dir, "lineitem")
+    row = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"))
+    m = l.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") - 1).alias("i"), row.alias("r")))), lambda x: x["r"]).alias("m"))
+    wide = m.select("k", (F.size("m") > 2).alias("turned"), fn.channels_first(F.col("m")).alias("c"), "m")
+    total = F.aggregate(F.transform("m", lambda r: r[0]), F.lit(0.0), lambda a, x: a + x)
+    return wide.select("k", "turned", F.size("c").cast("long").alias("n_rows"), F.size(F.col("c")[0]).cast("long").alias("n_columns"), F.round(total, 2).alias("first_sum"))

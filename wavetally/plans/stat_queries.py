@@ -53,25 +53,40 @@ def effects_by_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.class_effects(both, ["definition", "feature"]).select("definition", "feature", "n1", "n0", rnd(F.col("auc")).alias("auc"))
 
 
-PROFILE_SQL = f"""{SCORES_SQL}, pf AS (SELECT patient, record, avg(score) AS a, stddev_samp(score) AS b, avg(y) AS c, count(*) * 1.0::DOUBLE AS d FROM sc GROUP BY ALL)"""
+DESCRIPTORS, PERFORMANCE = ["a", "b", "least", "most", "middle", "hits"], ["c", "d", "positives", "alarms"]
+PROFILE_SQL = f"""{SCORES_SQL}, pf AS (SELECT patient, record, avg(score) AS a, stddev_samp(score) AS b, min(score)::DOUBLE AS least, max(score)::DOUBLE AS most, median(score) AS middle, avg((score >= 0)::INTEGER) AS hits,
+    avg(y) AS c, count(*) * 1.0::DOUBLE AS d, sum(y)::DOUBLE AS positives, sum((score >= 20)::INTEGER)::DOUBLE AS alarms FROM sc GROUP BY ALL)"""
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).groupBy("patient", "record").agg(F.avg("score").alias("a"), F.stddev_samp("score").alias("b"), F.avg("y").alias("c"), F.count("*").cast("double").alias("d"))
+    s = F.col("score")
+    return scores(spark, sf_dir).groupBy("patient", "record").agg(
+        F.avg(s).alias("a"), F.stddev_samp(s).alias("b"), F.min(s).cast("double").alias("least"), F.max(s).cast("double").alias("most"), F.median(s).alias("middle"), F.avg((s >= 0).cast("int")).alias("hits"),
+        F.avg("y").alias("c"), F.count("*").cast("double").alias("d"), F.sum("y").cast("double").alias("positives"), F.sum((s >= 20).cast("int")).cast("double").alias("alarms"),
+    )
+
+
+def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profiles(spark, sf_dir)
+    left, right = p.unpivot(["record"], DESCRIPTORS, "descriptor", "x"), p.unpivot(["record"], PERFORMANCE, "metric", "z")
+    return st.spearman(left.join(right, "record"), ["descriptor", "metric"], "x", "z")
 
 
 @query(
-    f"""WITH {PROFILE_SQL}, u AS (SELECT l.record, l.name AS descriptor, l.v AS x, r.name AS metric, r.v AS z FROM (UNPIVOT pf ON a, b INTO NAME name VALUE v) l JOIN (UNPIVOT pf ON c, d INTO NAME name VALUE v) r USING (record)),
+    f"""WITH {PROFILE_SQL}, u AS (SELECT l.record, l.name AS descriptor, l.v AS x, r.name AS metric, r.v AS z FROM (UNPIVOT pf ON {", ".join(DESCRIPTORS)} INTO NAME name VALUE v) l JOIN (UNPIVOT pf ON {", ".join(PERFORMANCE)} INTO NAME name VALUE v) r USING (record)),
     k AS (SELECT *, rank() OVER (PARTITION BY descriptor, metric ORDER BY x) + (count(*) OVER (PARTITION BY descriptor, metric, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY descriptor, metric ORDER BY z) + (count(*) OVER (PARTITION BY descriptor, metric, z) - 1) / 2.0::DOUBLE AS rz FROM u)
-    SELECT descriptor, metric, count(*) AS n, round(corr(rx, rz), 6) AS rho, abs(corr(rx, rz)) * sqrt((count(*) - 2) / (1 - corr(rx, rz) * corr(rx, rz))) > 2.2 AS beyond FROM k GROUP BY ALL"""
+    SELECT descriptor, metric, count(*) AS n, round(corr(rx, rz), 6) AS rho FROM k GROUP BY ALL"""
 )
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlations of each descriptor with each metric over records, and whether Student's t is beyond 2.2."""
-    p = profiles(spark, sf_dir)
-    left, right = p.unpivot(["record"], ["a", "b"], "descriptor", "x"), p.unpivot(["record"], ["c", "d"], "metric", "z")
-    s = st.spearman(left.join(right, "record"), ["descriptor", "metric"], "x", "z")
-    t = F.abs("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
-    return s.select("descriptor", "metric", "n", rnd(F.col("rho")).alias("rho"), (t > 2.2).alias("beyond"))
+    """Rank correlations of each descriptor with each metric over records."""
+    return rank_correlations(spark, sf_dir).select("descriptor", "metric", "n", rnd(F.col("rho")).alias("rho"))
+
+
+@query()
+def spearman_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two-sided p-values, and a star under five in a hundred; a row per pair of columns."""
+    s = st.with_p(rank_correlations(spark, sf_dir), "rho", "n")
+    return s.select("descriptor", "metric", "n", "rho", "p", F.when(F.col("p") < 0.05, "*").otherwise("").alias("star"))
 
 
 @query(f"WITH {PROFILE_SQL} SELECT round(corr(a, c), 6) AS pearson, round(regr_slope(c, a), 9) AS slope, round(regr_intercept(c, a), 6) AS intercept FROM pf")
@@ -96,17 +111,34 @@ def stratified_sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.budget_quotas(scores(spark, sf_dir), BUDGET)
 
 
-@query()
+@query(
+    f"""WITH {SCORES_SQL}, r AS (SELECT record, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM sc GROUP BY record), t AS (SELECT *, sum(n_neg) OVER () AS neg, greatest(3000 - sum(n_pos) OVER (), 0) AS lft FROM r),
+    q AS (SELECT record, n_neg, (CASE WHEN lft = 0 THEN 0 WHEN neg <= lft THEN n_neg ELSE least(n_neg, greatest(1, round_even(lft * n_neg / neg::DOUBLE, 0))) END)::BIGINT AS quota FROM t),
+    n AS (SELECT sc.*, n_neg, quota, ntile(10) OVER (PARTITION BY record ORDER BY w) AS s FROM sc JOIN q USING (record) WHERE y = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY record, s ORDER BY md5(concat_ws('|', '42', record, w)), w) AS i, quota // least(10, n_neg) + CASE WHEN s <= quota % least(10, n_neg) THEN 1 ELSE 0 END AS part FROM n)
+    SELECT record, patient, w, round(score, 6) AS score, y FROM sc WHERE y = 1 UNION ALL SELECT record, patient, w, round(score, 6), y FROM k WHERE i <= part"""
+)
 def budgeted_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of a budgeted training set; rows are picked by a hash that SQL engines do not share."""
-    return sp.budgeted_training(scores(spark, sf_dir).select("record", "patient", "w", "score", "y"), BUDGET)
+    """The windows of a budgeted training set; rows are picked in the order of a hash that any engine has."""
+    return sp.budgeted_training(scores(spark, sf_dir).select("record", "patient", "w", rnd(F.col("score")).alias("score"), "y"), BUDGET)
 
 
-@query()
+FOLD_SQL = f"""WITH {SCORES_SQL}, k AS (SELECT least(5, min(n)) AS k, count(*) AS classes FROM (SELECT y, count(*) AS n FROM sc GROUP BY y)),
+    f AS (SELECT event_id, y, CASE WHEN k >= 2 AND classes > 1 THEN (row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', '42', event_id)), event_id) - 1) % k END::INTEGER AS fold FROM sc, k)"""
+
+
+@query(f"{FOLD_SQL} SELECT event_id, y, fold FROM f")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per class and fold of a stratified split; the split is by hash."""
-    rows = sp.stratified_folds(scores(spark, sf_dir).select("event_id", "y"), ["event_id"], 5)
-    return rows.groupBy("y", "fold").agg(F.count("*").alias("n"))
+    """Each class dealt evenly to five folds."""
+    return sp.stratified_folds(scores(spark, sf_dir).select("event_id", "y"), ["event_id"], 5)
+
+
+@query(f"WITH {SCORES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY patient, record ORDER BY md5(concat_ws('|', '42', record, w)), record, w) AS i FROM (SELECT * FROM sc WHERE record NOT IN (SELECT record FROM sc WHERE y = 1 GROUP BY record HAVING count(*) > 8))) SELECT patient, record, w, y FROM k WHERE i <= 30")
+def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most thirty windows of every record, without the records that have many events."""
+    sc = scores(spark, sf_dir).select("patient", "record", "w", "y")
+    many = sc.where("y = 1").groupBy("record").agg(F.count("*").alias("n")).where("n > 8")
+    return sp.sample_per_group(sc.join(many, "record", "left_anti"), ["patient", "record"], ["record", "w"], 30, Config().seed).select("patient", "record", "w", "y")
 
 
 @query()
@@ -124,11 +156,12 @@ def mrmr_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.groupBy("feature_index").agg(F.count("*").alias("times_selected"), (F.count("*") / 5).alias("fold_fraction"))
 
 
-@query(f"WITH {FEATURES_SQL}, s AS (SELECT * FROM ft WHERE feature < 12) SELECT a.feature::INTEGER AS a, b.feature::INTEGER AS b, round(corr(a.x, b.x), 6) AS r, abs(corr(a.x, b.x)) > 0.1 AS near FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL")
+@query(f"WITH {FEATURES_SQL}, p AS (SELECT a.feature::INTEGER AS a, b.feature::INTEGER AS b, round(corr(a.x, b.x), 6) AS r FROM ft a JOIN ft b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL) SELECT a, b, r, abs(r) > 0.1 AS near, abs(r) = max(abs(r)) OVER () AS largest FROM p")
 def channel_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations of all pairs of the first twelve channels."""
-    p = st.pair_correlations(features(spark, sf_dir, 12).select("vec_id", "feature", "x"), [], "vec_id", "feature", "x")
-    return p.select("a", "b", rnd(F.col("r")).alias("r"), (F.abs("r") > 0.1).alias("near"))
+    """Correlations of all pairs of channels, and the largest of them; a row per pair of channels, whatever the number of vectors."""
+    p = st.channel_correlations(table(spark, sf_dir, "embeddings"), "embedding").select("a", "b", rnd(F.col("r")).alias("r"))
+    most = p.agg(F.max(F.abs("r")).alias("most"))
+    return p.crossJoin(F.broadcast(most)).select("a", "b", "r", (F.abs("r") > 0.1).alias("near"), (F.abs("r") == F.col("most")).alias("largest"))
 
 
 @query(f"WITH {FEATURES_SQL} SELECT feature::INTEGER AS feature, round(var_samp(x), 6) AS variance, var_samp(x) < 1e-12 AS dead, count(*) FILTER (isnan(x) OR isinf(x)) AS n_bad FROM ft GROUP BY feature")
@@ -137,10 +170,10 @@ def dead_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).groupBy("feature").agg(rnd(F.var_samp("x")).alias("variance"), (F.var_samp("x") < 1e-12).alias("dead"), F.count_if(bad).alias("n_bad"))
 
 
-@query(f"WITH {FEATURES_SQL}, v AS (SELECT * FROM ft WHERE feature < 16), g AS (SELECT vec_id, corr(x, x + (feature % 3) / 10.0::DOUBLE) AS r, avg(abs((feature % 3) / 10.0::DOUBLE)) AS mae FROM v GROUP BY vec_id) SELECT round(avg(r), 6) AS r_mean, round(stddev_samp(r), 6) AS r_sd, round(median(r), 6) AS r_median, round(min(r), 6) AS r_min, round(avg(mae), 6) AS mae_mean, round(max(mae), 6) AS mae_max FROM g")
+@query(f"WITH {FEATURES_SQL}, v AS (SELECT * FROM ft), g AS (SELECT vec_id, corr(x, x + (feature % 3) / 10.0::DOUBLE) AS r, avg(abs((feature % 3) / 10.0::DOUBLE)) AS mae FROM v GROUP BY vec_id) SELECT round(avg(r), 6) AS r_mean, round(stddev_samp(r), 6) AS r_sd, round(median(r), 6) AS r_median, round(min(r), 6) AS r_min, round(avg(mae), 6) AS mae_mean, round(max(mae), 6) AS mae_max FROM g")
 def resolution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of two versions of a vector: correlation and mean absolute error per vector, summarised."""
-    v = features(spark, sf_dir, 16).withColumn("z", F.col("x") + (F.col("feature") % 3) / F.lit(10.0))
+    v = features(spark, sf_dir).withColumn("z", F.col("x") + (F.col("feature") % 3) / F.lit(10.0))
     g = v.groupBy("vec_id").agg(F.corr("x", "z").alias("r"), F.avg(F.abs(F.col("x") - F.col("z"))).alias("mae"))
     return g.agg(*(rnd(f("r")).alias(f"r_{n}") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("median", F.median), ("min", F.min))), rnd(F.avg("mae")).alias("mae_mean"), rnd(F.max("mae")).alias("mae_max"))
 
@@ -159,27 +192,39 @@ def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def midpoint_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles whose i-th value stands at (i - 1/2) / n."""
-    sc = scores(spark, sf_dir).select("patient", "score")
-    order = Window.partitionBy("patient").orderBy("score")
-    n = sc.groupBy("patient").agg(F.count("*").alias("n"))
-    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * F.col("share") + 0.5))
-    want = n.select(F.col("patient").alias("p"), "n", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("share")).withColumn("at", at)
-    ranked = sc.withColumns({"i": F.row_number().over(order), "next": F.lead("score").over(order)})
-    rows = ranked.join(F.broadcast(want), (F.col("patient") == F.col("p")) & (F.col("i") == F.floor("at")))
-    return rows.select("patient", "share", rnd(F.col("score") + (F.coalesce("next", "score") - F.col("score")) * (F.col("at") - F.floor("at"))).alias("value"))
+    counts = scores(spark, sf_dir).groupBy("patient", "score").agg(F.count("*").alias("n"))
+    ranked = st.with_below(counts, ["patient"], "score", ["n"])
+    n = counts.groupBy("patient").agg(F.sum("n").alias("all"))
+    at = F.greatest(F.lit(1.0), F.least(F.col("all").cast("double"), F.col("all") * F.col("share") + 0.5))
+    want = n.select("patient", "all", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("share")).withColumn("at", at)
+    holds = lambda i: (F.col("below_n") < i) & (i <= F.col("below_n") + F.col("n"))
+    lo = F.floor("at")
+    rows = ranked.join(want, "patient").groupBy("patient", "share", "at").agg(F.max(F.when(holds(lo), F.col("score"))).alias("low"), F.max(F.when(holds(F.least(lo + 1, F.col("all"))), F.col("score"))).alias("high"))
+    return rows.select("patient", "share", rnd(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - lo)).alias("value"))
 
 
 @query(
-    """WITH a AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i) % 17 = 0 THEN 'NaN'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings), b AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN (vec_id + i) % 23 = 0 THEN 'NaN'::DOUBLE ELSE x::DOUBLE END) AS v FROM embeddings),
-    bad AS (SELECT vec_id, len(list_filter(v, lambda x: isnan(x)))::BIGINT AS n FROM a UNION ALL SELECT vec_id, len(list_filter(v, lambda x: isnan(x))) FROM b) SELECT vec_id, sum(n)::BIGINT AS n_invalid, max(n) <= 3 AS kept FROM bad GROUP BY vec_id"""
+    """WITH v AS (SELECT label, vec_id, i - 1 AS feature, (vec_id * 7 + i) % 641 = 0 AS bad_a, (vec_id * 3 + i) % 523 = 0 AS bad_b, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) r(i)),
+    c AS (SELECT label, feature FROM v GROUP BY ALL HAVING NOT bool_or(bad_a) AND NOT bool_or(bad_b)), n AS (SELECT label, count(DISTINCT feature) AS n_all FROM v GROUP BY label)
+    SELECT n.label, n_all, count(c.feature) AS n_valid, coalesce(string_agg(c.feature, ',' ORDER BY c.feature), '') AS valid FROM n LEFT JOIN c USING (label) GROUP BY n.label, n_all"""
 )
 def validity_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of each vector with missing values: how many, and whether both are good enough to compare."""
-    e = table(spark, sf_dir, "embeddings")
-    version = lambda m: e.select("vec_id", F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i + 1) % m == 0, float("nan")).otherwise(x.cast("double"))).alias("v"))
-    count = lambda df, name: df.select("vec_id", F.size(F.filter("v", lambda x: F.isnan(x))).cast("long").alias(name))
-    both = count(version(17), "a").join(count(version(23), "b"), "vec_id")
-    return both.select("vec_id", (F.col("a") + F.col("b")).alias("n_invalid"), (F.greatest("a", "b") <= 3).alias("kept"))
+    """Two versions of each label's vectors with missing values: the columns that have none in either, which are those to compare."""
+    long = features(spark, sf_dir).select("label", "vec_id", "feature", "x")
+    i = F.col("feature") + 1
+    version = lambda k, m, name: F.when((F.col("vec_id") * k + i) % m == 0, float("nan")).otherwise(F.col("x")).alias(name)
+    both = long.select("label", "feature", version(7, 641, "a"), version(3, 523, "b"))
+    valid = st.valid_columns(both, ["label"], "feature", ["a", "b"])
+    every = long.groupBy("label").agg(F.count_distinct("feature").alias("n_all"))
+    got = valid.groupBy("label").agg(F.count("*").alias("n_valid"), F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("valid"))
+    return every.join(got, "label", "left").select("label", "n_all", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("valid", F.lit("")).alias("valid"))
+
+
+@query(f"{EFFECT_SQL} SELECT count(*) AS n_features, count(*) FILTER (abs(d) >= 0.2) AS n_apart, round(avg(abs(d)), 6) AS mean_d FROM e")
+def class_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes compared over all features; a table of one class is refused."""
+    e = st.class_effects(sl.class_contrast(features(spark, sf_dir)), ["feature"])
+    return e.agg(F.count("*").alias("n_features"), F.count_if(F.abs("cohen_d") >= 0.2).alias("n_apart"), rnd(F.avg(F.abs("cohen_d"))).alias("mean_d"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -141,10 +142,22 @@ def conversion_report(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 
 def lookup_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     """``rows(feature_index)`` with ``name`` from ``names(feature_index, name)``, else f and four digits."""
-    return rows.join(F.broadcast(names), "feature_index", "left").withColumn("name", F.coalesce("name", F.format_string("f%04d", "feature_index")))
+    return rows.join(names, "feature_index", "left").withColumn("name", F.coalesce("name", F.format_string("f%04d", "feature_index")))
 
 
 def audit(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Counts of expected, found, missing and extra names, in one row."""
     both = expected.select(key).distinct().withColumn("e", F.lit(1)).join(found.select(key).distinct().withColumn("f", F.lit(1)), key, "outer")
     return both.agg(F.count("e").alias("n_expected"), F.count("f").alias("n_found"), F.count_if(F.col("f").isNull()).alias("n_missing"), F.count_if(F.col("e").isNull()).alias("n_extra"))
+
+
+def write_features(features: DataFrame, path: str, **parameters) -> None:
+    """A feature table, by patient, with the parameters it was made with in a table of their own beside it."""
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").parquet(f"{path}/features")
+    rows = [(k, json.dumps(v)) for k, v in sorted(parameters.items())]
+    features.sparkSession.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+
+
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The feature table and its parameters."""
+    return spark.read.parquet(f"{path}/features"), {r["name"]: json.loads(r["value"]) for r in spark.read.schema("name string, value string").json(f"{path}/parameters").collect()}
