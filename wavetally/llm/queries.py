@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, warc
+from . import bpe, bytebpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, warc
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.backoff_scores(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
         op8_line_dedup,
         op9_lm_scoring,
         op10_language_id,
+        op11_byte_bpe_encode_decode,
     )
 }
 
