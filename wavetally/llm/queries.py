@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, bytebpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, warc
+from . import bpe, bytebpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, vectorcodes, warc
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op11_byte_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.backoff_scores(table(spark, sf_dir, "documents"))
 
@@ -66,10 +70,29 @@ QUERIES = {
         op9_lm_scoring,
         op10_language_id,
         op11_byte_bpe_encode_decode,
+        op12_vector_codes,
     )
 }
 
+#: Parts of integer vectors in long form, and two rounds of codebooks from the parts of the 64 smallest ids.
+CODES_SQL = """
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT vec_id, label, p, v[p * w + 1 : p * w + w] AS x FROM k, unnest(range(16)) AS r(p)),
+        b0 AS (SELECT p, e, x AS y FROM (SELECT *, dense_rank() OVER (ORDER BY vec_id) - 1 AS e FROM q) WHERE e < 64)"""
+for _k in (0, 1, 2):
+    CODES_SQL += f""",
+        d{_k} AS (SELECT vec_id, label, p, x, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT AS d FROM q JOIN b{_k} USING (p)),
+        a{_k} AS (SELECT vec_id, label, p, any_value(x) AS x, min(d) AS d, arg_min(e, d * 64 + e) AS e FROM d{_k} GROUP BY vec_id, label, p),
+        m{_k} AS (SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS c FROM a{_k}, unnest(range(1, len(x) + 1)) AS r(i) GROUP BY p, e, i),
+        n{_k} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY i) AS y FROM m{_k} GROUP BY p, e),
+        b{_k + 1} AS (SELECT p, e, coalesce(n{_k}.y, b{_k}.y) AS y FROM b{_k} LEFT JOIN n{_k} USING (p, e))"""
+
 ORACLE_SQL = {
+    "op12_vector_codes": f"""{CODES_SQL},
+        h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(y, ',') AS t FROM b2)),
+        c AS (SELECT vec_id, label, string_agg(lower(lpad(printf('%x', e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h""",
     "op1_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
