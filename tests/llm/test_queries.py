@@ -17,7 +17,7 @@ def test_same_rows(spark, sf, name):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 13)} and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
 
 
 def test_pipeline(spark, sf):

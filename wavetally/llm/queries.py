@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import bpe, bytebpe, decontaminate, langid, linededup, lmscore, pii, secrets, simhash, topk, vectorcodes, warc
+from . import bpe, bytebpe, decontaminate, langid, linededup, lmscore, phrases, pii, secrets, simhash, topk, vectorcodes, warc
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.backoff_scores(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
         op10_language_id,
         op11_byte_bpe_encode_decode,
         op12_vector_codes,
+        op13_phrase_collocations,
     )
 }
 
@@ -101,6 +106,17 @@ ORACLE_SQL = {
                CASE WHEN first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
         FROM f""",
+    "op13_phrase_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+        t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        f AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase, count(*) AS a FROM w, unnest(range(1, 6)) AS r(m), unnest(range(1, len(ws) - m + 2)) AS s(i) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2),
+        g AS (SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest(range(2, m)) AS r(k), unnest(range(1, m - k + 2)) AS s(i) GROUP BY ALL),
+        k AS (SELECT c.lang, c.phrase, c.a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1 :], ' ') AS tail FROM c LEFT JOIN g ON c.lang = g.lang AND c.phrase = g.phrase, unnest(range(1, m)) AS r(k) WHERE longer IS NULL OR 100 * longer < 100 * c.a),
+        s AS (SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * k.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score FROM k JOIN f l ON k.lang = l.lang AND k.head = l.phrase JOIN f r ON k.lang = r.lang AND k.tail = r.phrase JOIN t ON k.lang = t.lang
+              QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s QUALIFY rank <= 2000""",
     "op4_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
