@@ -13,7 +13,7 @@ from .shared import frugal, written
 #: Longest phrase, fewest occurrences, the share (in hundredths) of a longer phrase that takes a phrase out, and phrases reported by language.
 LONGEST, LEAST, SHARE, REPORTED = 5, 100, 100, 2000
 #: Bytes of text whose stripes are made at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 #: Bits of the filter of frequent phrases that every task holds (16 MB); where it fills up, more phrases are counted than needed, and dropped.
 FILTER_BITS = 1 << 27
 #: A prefix with at least one in so many of all words has its stripe in slices; there are no more such prefixes than this.
@@ -53,7 +53,7 @@ def _chunks(batches: Iterable) -> Iterator[tuple[str, bytes]]:
                 sizes[lang] = sizes.get(lang, 0) + len(part) + 1
                 if sizes[lang] >= CHUNK:
                     yield given(lang)
-        while sum(sizes.values()) > 4 * CHUNK:
+        while sum(sizes.values()) > 2 * CHUNK:
             yield given(max(sizes, key=sizes.get))
     for lang in list(sizes):
         yield given(lang)
@@ -102,7 +102,7 @@ class Filter:
 
 
 def _stripes(lang: str, data: bytes, n: int, frequent, hot: frozenset):
-    """A batch ``(lang, prefix, slice, next, count)`` with a row for each prefix of ``n`` words and slice of its stripe.
+    """A batch ``(lang, prefix, slice, next, count)`` with a row for each prefix of ``n`` words and slice of its stripe; the next words are joined by spaces, which no word has.
 
     The empty prefix's stripe counts words; its next word ``''`` counts all of them. Only
     prefixes that are frequent count, and only next words with which the words after the first are frequent too.
@@ -146,7 +146,7 @@ def _stripes(lang: str, data: bytes, n: int, frequent, hot: frozenset):
     new = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (cut[1:] != cut[:-1]))))
     offsets = pa.array(np.append(new, len(prefix)).astype(np.int32))
     nexts = words.cast(pa.string()).take(pa.array(following))
-    columns = [pa.array([lang] * len(new), pa.string()), names.take(pa.array(prefix[new])), pa.array(cut[new].astype(np.int32)), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))]
+    columns = [pa.array([lang] * len(new), pa.string()), names.take(pa.array(prefix[new])), pa.array(cut[new].astype(np.int32)), pc.binary_join(pa.ListArray.from_arrays(offsets, nexts), " "), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "slice", "next", "count"])
 
 
@@ -163,10 +163,10 @@ def _counted(texts: DataFrame, n: int, sent, hot: frozenset) -> DataFrame:
                 yield got
             if n == 0:
                 total = len(_words(data)[1])
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "prefix": [""], "slice": [0], "next": [[""]], "count": [[total]]}, pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("slice", pa.int32()), ("next", pa.list_(pa.string())), ("count", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "prefix": [""], "slice": [0], "next": [""], "count": [[total]]}, pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("slice", pa.int32()), ("next", pa.string()), ("count", pa.list_(pa.int64()))]))
 
-    stripes = texts.mapInArrow(frugal(make), "lang string, prefix string, slice int, next array<string>, count array<long>")
-    met = stripes.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.explode(F.arrays_zip("next", "count")).alias("e"))
+    stripes = texts.mapInArrow(frugal(make), "lang string, prefix string, slice int, next string, count array<long>")
+    met = stripes.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.explode(F.arrays_zip(F.split("next", " ").alias("next"), "count")).alias("e"))
     return met.groupBy("lang", "prefix", "slice", F.col("e.next").alias("next")).agg(F.sum("e.count").alias("a")).drop("slice")
 
 
