@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavetally.functions import spectral as sp
+from wavetally.functions import autoregression as ar, spectral as sp
 from wavetally.functions.kernel_svm import KernelSvm
 from wavetally.operators.selection import f_and_correlation, greedy_ranking
 from wavetally.operators.stats import correlation_p, incomplete_beta
@@ -17,32 +17,145 @@ def simulate(a, n, seed=0):
     return x[:, 200:]
 
 
+EDGES = np.array([[0.5, 0.0, 0.0], [0.4, 0.3, 0.0], [0.0, 0.0, 0.6]])[:, :, None]
+
+
+def least_squares(x, order):
+    """The plain regression of one window."""
+    x = x - x.mean(axis=1, keepdims=True)
+    n, t = x.shape
+    past = np.concatenate([x[:, order - k - 1 : t - k - 1] for k in range(order)])
+    a = np.linalg.lstsq(past.T, x[:, order:].T, rcond=None)[0].T
+    e = x[:, order:] - a @ past
+    return a.reshape(n, order, n).transpose(0, 2, 1), e @ e.T / (t - order - 1)
+
+
+def plain_connectivity(a, sigma, z):
+    """One window and frequency: the reduced models' spectra by a long model of the others, from autocovariances and a block-Toeplitz solve."""
+    n, _, p = a.shape
+    lags = 80
+    g = [ar.autocovariances(a[None], sigma[None], lags)[0, :, :, k] for k in range(lags + 1)]
+    h = np.linalg.inv(np.eye(n) - sum(a[:, :, m] * z ** (m + 1) for m in range(p)))
+    out = np.zeros((n, n))
+    for j in range(n):
+        keep = [i for i in range(n) if i != j]
+        own = [x[np.ix_(keep, keep)] for x in g]
+        model, v = toeplitz(own)
+        whiten = np.eye(n - 1) - sum(model[m] * z ** (m + 1) for m in range(lags))
+        response = whiten @ h[keep]
+        for row, i in enumerate(keep):
+            rest = [k for k in range(n) if k != i]
+            partial = sigma[np.ix_(rest, rest)] - np.outer(sigma[rest, i], sigma[rest, i]) / sigma[i, i]
+            carried = (response[row, rest] @ partial @ response[row, rest].conj()).real
+            out[i, j] = np.log(v[row, row] / (v[row, row] - carried))
+    return out
+
+
+def toeplitz(g):
+    """The model of autocovariances ``g`` from its normal equations, solved at once."""
+    k, n = len(g) - 1, len(g[0])
+    at = lambda d: g[d] if d >= 0 else g[-d].T
+    left = np.block([[at(c - r) for c in range(k)] for r in range(k)])
+    a = np.linalg.solve(left.T, np.concatenate(g[1:], axis=1).T).T
+    return [a[:, m * n : (m + 1) * n] for m in range(k)], g[0] - sum(a[:, m * n : (m + 1) * n] @ g[m + 1].T for m in range(k))
+
+
 def test_var_recovers_its_coefficients():
-    a = np.array([[0.5, 0.0, 0.0], [0.4, 0.3, 0.0], [0.0, 0.0, 0.6]])[:, :, None]
-    got, sigma = sp.fit_var(simulate(a, 40_000), 1)
-    assert np.abs(got - a).max() < 0.03 and np.abs(sigma - np.eye(3)).max() < 0.03
+    a, sigma = ar.fit(simulate(EDGES, 40_000)[None], 1)
+    assert np.abs(a[0] - EDGES).max() < 0.03 and np.abs(sigma[0] - np.eye(3)).max() < 0.03
+
+
+@pytest.mark.parametrize("order", [1, 3, 6])
+def test_fit_comes_to_least_squares(order):
+    """The lattice's estimate differs from the regression's by the order of one over the samples; the first order has no difference."""
+    for n, bound in ((300, 0.1), (30_000, 1e-3)):
+        x = simulate(EDGES, n, seed=order)
+        a, s = ar.fit(x[None], order)
+        want = least_squares(x, order)
+        assert np.abs(a[0] - want[0]).max() < (1e-10 if order == 1 else bound) and np.abs(s[0] / want[1] - 1).max() < 40 * bound
+
+
+def test_one_pass_gives_every_order():
+    x = np.stack([simulate(EDGES, 500, seed=k) for k in range(4)])
+    for k, a, s in ar.fits(x, 5):
+        own = [ar.fit(y[None], k) for y in x]
+        assert np.abs(a - np.concatenate([o[0] for o in own])).max() < 1e-12 and np.abs(s - np.concatenate([o[1] for o in own])).max() < 1e-12
+
+
+def test_bad_windows_do_not_stop_others():
+    x = np.stack([simulate(EDGES, 300, seed=k) for k in range(5)])
+    x[1, 0, 7], x[3] = np.nan, 0.0
+    x[2, 1] = x[2, 0]
+    a, s = ar.fit(x, 2)
+    assert [bool(np.isfinite(v).all()) for v in a] == [True, False, False, False, True]
+    assert np.abs(a[[0, 4]] - ar.fit(x[[0, 4]], 2)[0]).max() < 1e-12
+    assert ar.checks(a, s)[0].tolist() == ["", "not finite", "not finite", "not finite", ""]
+    assert np.isnan(ar.fit(x[:, :, :3], 4)[0]).all()
 
 
 def test_connectivity_is_zero_where_there_is_no_edge_and_integrates_to_the_time_domain():
-    a = np.array([[0.5, 0.0, 0.0], [0.4, 0.3, 0.0], [0.0, 0.0, 0.6]])[:, :, None]
     sigma = np.array([[1.0, 0.2, 0.0], [0.2, 1.0, 0.1], [0.0, 0.1, 1.0]])
-    f, t = sp.spectral_gc(a, sigma, 512), sp.time_gc(a, sigma)
+    f, t = ar.spectral(EDGES[None], sigma[None], 512)[0], ar.temporal(EDGES[None], sigma[None])[0]
     mean = np.trapezoid(f, axis=-1) / 512
     assert np.abs(mean - t).max() < 1e-4
     edges = {(i, j) for i in range(3) for j in range(3) if i != j and t[i, j] > 1e-6}
     assert edges == {(1, 0)}
 
 
+def stable_models(n, p, count, seed):
+    r, a, s = np.random.default_rng(seed), [], []
+    while len(a) < count:
+        c = r.standard_normal((n, n, p)) * 0.4 / p
+        if np.abs(np.linalg.eigvals(ar.companion(c[None])[0])).max() < 0.8:
+            m = r.standard_normal((n, n))
+            a.append(c)
+            s.append(m @ m.T + np.eye(n))
+    return np.array(a), np.array(s)
+
+
+@pytest.mark.parametrize("n, p", [(2, 1), (3, 2), (4, 5)])
+def test_two_routes_and_a_plain_solve_agree(n, p):
+    a, s = stable_models(n, p, 4, n)
+    f, older = ar.spectral(a, s, 16), ar.spectral_by_autocovariance(a, s, 16, 80)
+    assert np.abs(f - older).max() < 1e-6
+    for k, at in enumerate((0, 5, 9, 16)):
+        assert np.abs(plain_connectivity(a[k], s[k], np.exp(-1j * np.pi * at / 16)) - f[k, :, :, at]).max() < 1e-6
+
+
+def test_whittle_equals_a_block_toeplitz_solve():
+    a, s = stable_models(3, 2, 2, 1)
+    g = ar.autocovariances(a, s, 7)
+    model, v = ar.whittle(g)
+    for k in range(2):
+        want, w = toeplitz([g[k, :, :, m] for m in range(8)])
+        assert np.abs(model[k] - np.stack(want, axis=-1)).max() < 1e-10 and np.abs(v[k] - w).max() < 1e-10
+        assert np.abs(model[k][:, :, :2] - a[k]).max() < 1e-9 and np.abs(v[k] - s[k]).max() < 1e-9
+
+
+def test_autocovariances_solve_their_equations():
+    a, s = stable_models(3, 2, 3, 2)
+    g = ar.autocovariances(a, s, 4)
+    lag = lambda m: g[..., m] if m >= 0 else np.swapaxes(g[..., -m], 1, 2)
+    for k in range(5):
+        assert np.abs(lag(k) - sum(a[..., m] @ lag(k - m - 1) for m in range(2)) - (s if k == 0 else 0)).max() < 1e-10
+
+
 def test_unstable_models_are_told():
-    assert sp.var_checks(np.array([[[1.1]]]), np.eye(1))[1] == "unstable"
-    assert sp.var_checks(np.array([[[0.5]]]), -np.eye(1))[1] == "residuals not positive definite"
+    one = np.ones((3, 1, 1, 1))
+    reason, radius, decay = ar.checks(one * np.array([1.1, 0.5, 0.5])[:, None, None, None], np.array([1.0, -1.0, 1.0])[:, None, None])
+    assert reason.tolist() == ["unstable", "residuals not positive definite", ""] and radius.tolist() == pytest.approx([1.1, 0.5, 0.5]) and decay.tolist() == [0, 52, 52]
+    assert ar.decay_resolution(np.array([1, 2, 3, 52, 64, 65])).tolist() == [1, 2, 4, 64, 64, 128]
 
 
 def test_order_is_found():
     a = np.zeros((2, 2, 2))
     a[:, :, 1] = [[0.6, 0.0], [0.3, 0.5]]
-    _, bic = sp.information_criteria(simulate(a, 3000), 5)
-    assert int(np.nanargmin(bic)) + 1 == 2
+    x = np.stack([simulate(a, 3000, seed=k) for k in range(3)])
+    aic, bic = ar.information_criteria(x, 5)
+    assert (np.nanargmin(bic, axis=1) + 1).tolist() == [2, 2, 2]
+    s = least_squares(x[0], 2)[1]
+    assert bic[0, 1] == pytest.approx(np.linalg.slogdet(s)[1] + np.log(2998) * 8 / 2998, abs=1e-3)
+    assert np.isnan(ar.information_criteria(x[:, :, :12], 5)[1][:, 3:]).all()
 
 
 def test_filters():
@@ -58,7 +171,7 @@ def test_blocks_equal_a_recursion():
     x, y = np.random.default_rng(1).standard_normal(301), np.zeros(301)
     for i in range(301):
         y[i] = s[0] * x[i] + sum(s[k] * x[i - k] - s[k + 2] * y[i - k] for k in (1, 2) if i >= k)
-    assert np.abs(sp._section(x, s) - y).max() < 1e-10
+    assert np.abs(sp._section(x, s)[0] - y).max() < 1e-10
 
 
 def test_power_adds_up():

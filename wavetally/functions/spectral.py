@@ -1,4 +1,4 @@
-"""Numerical kernels of one window or channel: filters, spectra, autoregressive models, directed connectivity."""
+"""Numerical kernels of one channel: filters and spectra."""
 
 from __future__ import annotations
 
@@ -24,8 +24,8 @@ def notch(freq: float, width: float, fs: float) -> list[np.ndarray]:
     return [np.array([g, -2 * g * c, g, -2 * g * c, 2 * g - 1])]
 
 
-def _section(x: np.ndarray, s: np.ndarray, block: int = 64) -> np.ndarray:
-    """One section along the last axis, a block of samples at a time: states carry over as a small linear system."""
+def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray | None = None, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """One section along the last axis from its ``state`` (at rest if none), and its state at the end: a block of samples at a time, as a small linear system."""
     b0, b1, b2, a1, a2 = s
     a = np.array([[-a1, 1.0], [-a2, 0.0]])
     b = np.array([b1 - a1 * b0, b2 - a2 * b0])
@@ -37,157 +37,61 @@ def _section(x: np.ndarray, s: np.ndarray, block: int = 64) -> np.ndarray:
     observe = np.array([powers[k][0] for k in range(block)])
     drive = np.array([powers[block - 1 - k] @ b for k in range(block)]).T
     n = x.shape[-1]
-    padded = np.concatenate([x, np.zeros((*x.shape[:-1], -n % block))], axis=-1)
-    state, out = np.zeros((*x.shape[:-1], 2)), []
-    for i in range(0, padded.shape[-1], block):
-        u = padded[..., i : i + block]
-        out.append(u @ direct.T + state @ observe.T)
-        state = state @ powers[block].T + u @ drive.T
-    return np.concatenate(out, axis=-1)[..., :n]
+    state, out = np.zeros((*x.shape[:-1], 2)) if state is None else state, []
+    for i in range(0, n, block):
+        u = x[..., i : i + block]
+        k = u.shape[-1]
+        out.append(u @ direct[:k, :k].T + state @ observe[:k].T)
+        state = state @ powers[k].T + u @ drive[:, block - k :].T
+    return np.concatenate(out, axis=-1) if out else x.astype(float), state
+
+
+def cascade(x: np.ndarray, sections: list[np.ndarray], state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sections one after the other, from the states ``state`` (two numbers a section), and their states at the end."""
+    ends = []
+    for k, s in enumerate(sections):
+        x, end = _section(x, s, None if state is None else state[..., 2 * k : 2 * k + 2])
+        ends.append(end)
+    return x, np.concatenate(ends, axis=-1) if ends else np.zeros((*x.shape[:-1], 0))
+
+
+def mirrored(x: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and behind a signal whose ends are mirrored about their last values."""
+    pad = min(pad, x.shape[-1] - 1)
+    return 2 * x[..., :1] - x[..., pad:0:-1], 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1] if pad > 0 else x[..., :0]
+
 
+#: Samples by which a signal is continued at its ends.
+PAD = 256
 
-def zero_phase(x: np.ndarray, sections: list[np.ndarray], pad: int = 256) -> np.ndarray:
+
+def zero_phase(x: np.ndarray, sections: list[np.ndarray], pad: int = PAD) -> np.ndarray:
     """Sections forwards and backwards, with the ends mirrored about their last value."""
-    pad = min(pad, x.shape[-1] - 1)
-    y = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], axis=-1) if pad > 0 else x
+    before, behind = mirrored(x, pad)
+    y = np.concatenate([before, x, behind], axis=-1)
     for _ in range(2):
-        for s in sections:
-            y = _section(y, s)
-        y = y[..., ::-1]
-    return y[..., pad : pad + x.shape[-1]] if pad > 0 else y
+        y = cascade(y, sections)[0][..., ::-1]
+    return y[..., before.shape[-1] : before.shape[-1] + x.shape[-1]]
 
 
-def welch(x: np.ndarray, fs: float, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """Power spectral density: Hann segments overlapping by half, means removed, averaged."""
-    segment = min(segment, x.shape[-1])
+def periodograms(x: np.ndarray, segment: int, hop: int) -> tuple[np.ndarray, int]:
+    """Sum of the squared spectra of the Hann segments that lie in ``x``, their means removed, and how many they are."""
+    if x.shape[-1] < segment:
+        return np.zeros((*x.shape[:-1], segment // 2 + 1)), 0
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
-    parts = [x[..., i : i + segment] for i in range(0, x.shape[-1] - segment + 1, max(segment // 2, 1))]
-    p = np.mean([np.abs(np.fft.rfft((q - q.mean(axis=-1, keepdims=True)) * w)) ** 2 for q in parts], axis=0) / (fs * (w**2).sum())
-    p[..., 1 : p.shape[-1] - (segment % 2 == 0)] *= 2
-    return np.fft.rfftfreq(segment, 1 / fs), p
-
-
-def fit_var(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares autoregression of demeaned ``x`` (channels, samples): coefficients ``(n, n, order)`` and residual covariance."""
-    x = x - x.mean(axis=1, keepdims=True)
-    n, t = x.shape
-    past = np.concatenate([x[:, order - k - 1 : t - k - 1] for k in range(order)])
-    now = x[:, order:]
-    a = np.linalg.lstsq(past.T, now.T, rcond=None)[0].T
-    e = now - a @ past
-    return a.reshape(n, order, n).transpose(0, 2, 1), e @ e.T / max(now.shape[1] - 1, 1)
-
-
-def companion(a: np.ndarray) -> np.ndarray:
-    n, _, p = a.shape
-    top = a.transpose(0, 2, 1).reshape(n, n * p)
-    return np.vstack([top, np.eye(n * (p - 1), n * p)])
-
-
-def var_checks(a: np.ndarray, sigma: np.ndarray) -> tuple[bool, str, float, int]:
-    """Whether a model is usable and why not; its spectral radius and the lags after which it has decayed."""
-    if not (np.isfinite(a).all() and np.isfinite(sigma).all()):
-        return False, "not finite", np.nan, 0
-    rho = float(np.abs(np.linalg.eigvals(companion(a))).max())
-    decay = int(np.ceil(np.log(np.finfo(float).eps) / np.log(rho))) if 0 < rho < 1 else 0
-    if rho >= 1:
-        return False, "unstable", rho, decay
-    try:
-        np.linalg.cholesky(sigma)
-    except np.linalg.LinAlgError:
-        return False, "residuals not positive definite", rho, decay
-    return True, "", rho, decay
-
-
-def _riccati(a: np.ndarray, c: np.ndarray, q: np.ndarray, s: np.ndarray, r: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """State covariance of the innovations form, by doubling."""
-    ri = np.linalg.inv(r)
-    at = (a - s @ ri @ c).T
-    g, h, eye = c.T @ ri @ c, q - s @ ri @ s.T, np.eye(len(a))
-    for _ in range(rounds):
-        w = np.linalg.inv(eye + g @ h)
-        step = at.T @ h @ w @ at
-        g = g + at @ w @ g @ at.T
-        at = at @ w @ at
-        h = h + step
-        if np.abs(step).max() <= 1e-14 * max(np.abs(h).max(), 1e-300):
-            break
-    return (h + h.T) / 2
-
-
-def spectral_gc(a: np.ndarray, sigma: np.ndarray, resolution: int) -> np.ndarray:
-    """Pairwise-conditional directed connectivity ``[target, source, frequency]`` from 0 to half the sampling rate.
-
-    For each source, the model without it has an innovations form, found from a Riccati
-    equation. A target's spectrum of reduced innovations is constant; its part that the other
-    full innovations carry, beyond what they share with the target's own, gives the ratio.
-    """
-    n, _, p = a.shape
-    big = companion(a)
-    k = np.vstack([np.eye(n), np.zeros((n * (p - 1), n))])
-    c = a.transpose(0, 2, 1).reshape(n, n * p)
-    freqs = np.exp(-1j * np.pi * np.arange(resolution + 1) / resolution)
-    eye, size = np.eye(n), n * p
-    h = np.array([np.linalg.inv(eye - sum(a[:, :, m] * z ** (m + 1) for m in range(p))) for z in freqs])
-    partial = [np.delete(np.delete(sigma, i, 0), i, 1) - np.outer(np.delete(sigma[:, i], i), np.delete(sigma[i], i)) / sigma[i, i] for i in range(n)]
-    out = np.zeros((n, n, resolution + 1))
-    for j in range(n):
-        keep = [i for i in range(n) if i != j]
-        cr = c[keep]
-        pr = _riccati(big, cr, k @ sigma @ k.T, k @ sigma[:, keep], sigma[np.ix_(keep, keep)])
-        vr = cr @ pr @ cr.T + sigma[np.ix_(keep, keep)]
-        kr = (big @ pr @ cr.T + k @ sigma[:, keep]) @ np.linalg.inv(vr)
-        closed = big - kr @ cr
-        for f, z in enumerate(freqs):
-            whiten = np.eye(len(keep)) - z * cr @ np.linalg.solve(np.eye(size) - z * closed, kr)
-            g = whiten @ h[f][keep]
-            for row, i in enumerate(keep):
-                rest = np.delete(g[row], i)
-                carried = float(np.real(rest @ partial[i] @ rest.conj()))
-                out[i, j, f] = np.log(vr[row, row]) - np.log(max(vr[row, row] - carried, 1e-300))
-    return out
+    parts = np.lib.stride_tricks.sliding_window_view(x, segment, axis=-1)[..., ::hop, :]
+    return (np.abs(np.fft.rfft((parts - parts.mean(axis=-1, keepdims=True)) * w)) ** 2).sum(axis=-2), parts.shape[-2]
 
 
-def time_gc(a: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    """Pairwise-conditional directed connectivity in the time domain, ``[target, source]``."""
-    n, _, p = a.shape
-    big, k = companion(a), np.vstack([np.eye(n), np.zeros((n * (p - 1), n))])
-    c, out = a.transpose(0, 2, 1).reshape(n, n * p), np.zeros((n, n))
-    for j in range(n):
-        keep = [i for i in range(n) if i != j]
-        pr = _riccati(big, c[keep], k @ sigma @ k.T, k @ sigma[:, keep], sigma[np.ix_(keep, keep)])
-        vr = c[keep] @ pr @ c[keep].T + sigma[np.ix_(keep, keep)]
-        for row, i in enumerate(keep):
-            out[i, j] = np.log(vr[row, row] / sigma[i, i])
-    return out
+def density(total: np.ndarray, count: int, fs: float, segment: int) -> np.ndarray:
+    """The power spectral density of ``count`` segments' summed squared spectra, from 0 to half of ``fs``."""
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
+    p = total / count / (fs * (w**2).sum())
+    p[..., 1 : p.shape[-1] - (segment % 2 == 0)] *= 2
+    return p
 
 
-def band_means(f: np.ndarray, fs: float, bands) -> np.ndarray:
-    """Trapezoid over the closed bands on the last axis, over each band's nominal width: ``[band, target, source]``."""
-    freq = np.linspace(0, fs / 2, f.shape[-1])
-    out = []
-    for _, lo, hi in bands:
-        at = (freq >= lo) & (freq <= hi)
-        out.append(np.trapezoid(f[..., at], freq[at], axis=-1) / (hi - lo))
-    return np.array(out)
-
-
-def off_diagonal(m: np.ndarray) -> np.ndarray:
-    """Values of ``[band, target, source]`` in the order of the feature map: band, then source, then target."""
-    n = m.shape[1]
-    return np.array([band[t, s] for band in m for s in range(n) for t in range(n) if t != s])
-
-
-def information_criteria(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """AIC and BIC of orders 1 to ``most``; NaN where a fit fails."""
-    n, t = x.shape
-    aic, bic = np.full(most, np.nan), np.full(most, np.nan)
-    for p in range(1, most + 1):
-        m = t - p
-        if m <= n * p + 1:
-            continue
-        _, s = fit_var(x, p)
-        sign, logdet = np.linalg.slogdet(s * (m - 1) / m)
-        if sign > 0:
-            aic[p - 1], bic[p - 1] = logdet + 2 * p * n * n / m, logdet + np.log(m) * p * n * n / m
-    return aic, bic
+def welch(x: np.ndarray, fs: float, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Power spectral density: Hann segments overlapping by half, means removed, averaged."""
+    segment = min(segment, x.shape[-1])
+    return np.fft.rfftfreq(segment, 1 / fs), density(*periodograms(x, segment, max(segment // 2, 1)), fs, segment)

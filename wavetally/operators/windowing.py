@@ -22,6 +22,12 @@ def windows_of_sample(sample: Column, n_windows: Column, window: int, step: int)
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
 
+def demeaned(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` less its mean per key, such as a window's channel; the means are joined back, so that no key's rows need meet in one task."""
+    mean = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    return rows.join(mean, keys).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
+
+
 def label_windows(windows: DataFrame, reference: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """``(keys, w, seconds, label)``: 1 where disjoint reference intervals cover at least the labelled share of a window."""
     spans = windows.withColumn("start", F.col("w") * cfg.step_s).withColumn("end", F.col("w") * cfg.step_s + cfg.window_s)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
 from ..operators import evaluation as ez, metrics as mt, models as md, series as sr, windowing as wd
@@ -18,24 +18,28 @@ BANDS = (("slow", 0.5, 2.0), ("mid", 2.0, 4.0), ("fast", 4.0, 8.0))
 SERIES_SQL = f"{FEATURES_SQL}, sg AS (SELECT label * 1000 + feature // 4 AS record, feature % 4 AS channel, row_number() OVER (PARTITION BY label, feature ORDER BY vec_id) - 1 AS s, x FROM ft)"
 
 
+#: Samples of a block.
+SIZE = 256
+
+
 def samples(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
     """``(record, channel, s, x)``: all components, as recordings of so many channels each."""
-    order = Window.partitionBy("label", "feature").orderBy("vec_id")
+    rows = sr.numbered(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], "vec_id")
+    long = rows.select("label", "s", F.posexplode("embedding").alias("feature", "x"))
     record = (F.col("label") * 1000 + F.floor(F.col("feature") / channels)).cast("long")
-    return features(spark, sf_dir).select(record.alias("record"), (F.col("feature") % channels).alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("s"), "x")
+    return long.select(record.alias("record"), (F.col("feature") % channels).alias("channel"), "s", F.col("x").cast("double").alias("x"))
 
 
-def channels_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples gathered into an array per channel; a channel's block of a window or recording is bounded by its length."""
-    return rows.groupBy(*keys, "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "x"))), lambda v: v["x"]).alias("samples"))
+def blocks(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
+    """``(record, channel, block, samples)``: the same recordings in blocks."""
+    return sr.blocks_of(samples(spark, sf_dir, channels), ["record"], SIZE)
 
 
-def windowed(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
-    """``(record, w, channel, samples)``: each sample goes to its windows by arithmetic."""
+def memberships(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
+    """``(record, w, channel, s, x)``: each sample goes to its windows by arithmetic."""
     rows = samples(spark, sf_dir, channels)
     n = rows.groupBy("record").agg((F.max("s") + 1).alias("n")).withColumn("n_windows", F.floor((F.col("n") - SMALL.window) / SMALL.step) + 1)
-    rows = rows.join(n, "record").withColumn("w", F.explode(wd.windows_of_sample(F.col("s"), F.col("n_windows"), SMALL.window, SMALL.step)))
-    return channels_of(rows, ["record", "w"])
+    return rows.join(n, "record").withColumn("w", F.explode(wd.windows_of_sample(F.col("s"), F.col("n_windows"), SMALL.window, SMALL.step)))
 
 
 @query("SELECT user_id AS record, w, w * 8 AS start, w * 8 + 32 AS stop FROM (SELECT user_id, unnest(range(0, greatest(0, (count(*) - 32) // 8 + 1)::BIGINT)) AS w FROM events GROUP BY user_id HAVING count(*) >= 32)")
@@ -50,14 +54,14 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def window_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, mean and spread of every window of every channel."""
-    w = windowed(spark, sf_dir).select("record", "w", "channel", F.explode("samples").alias("x"))
+    w = memberships(spark, sf_dir)
     return w.groupBy("record", "w", "channel").agg(F.count("*").alias("n"), rnd(F.avg("x")).alias("mean"), rnd(F.stddev_samp("x")).alias("sd"))
 
 
 @query(f"WITH {SERIES_SQL} SELECT record, channel::INTEGER AS channel, s, round(x / stddev_samp(x) OVER (PARTITION BY record, channel), 6) AS x FROM sg")
 def scaled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sr.scale_by_spread(channels_of(samples(spark, sf_dir), ["record"]))
-    return c.select("record", "channel", F.posexplode("samples").alias("s", "x")).select("record", "channel", F.col("s").cast("long").alias("s"), rnd(F.col("x")).alias("x"))
+    c = sr.scale_by_spread(blocks(spark, sf_dir), ["record"])
+    return c.select("record", "channel", "block", F.posexplode("samples").alias("s", "x")).select("record", "channel", (F.col("block") * SIZE + F.col("s")).alias("s"), rnd(F.col("x")).alias("x"))
 
 
 @query(
@@ -78,39 +82,71 @@ def record_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).groupBy("record", "channel").agg(F.count("*").alias("n"), rnd(F.sum("x")).alias("total"), rnd(F.sum("x") / F.count("*")).alias("level"))
 
 
+@query(f"WITH {SERIES_SQL} SELECT record, channel::INTEGER AS channel, w, round(x - avg(x) OVER (PARTITION BY record, channel, w), 6) AS x, s FROM (SELECT sg.*, unnest(range(greatest(0, ceil((s - 31) / 8.0))::BIGINT, least(nw - 1, s // 8)::BIGINT + 1)) AS w FROM sg JOIN (SELECT record, (max(s) + 1 - 32) // 8 + 1 AS nw FROM sg GROUP BY record) USING (record))")
+def demeaned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of every window, less the window's mean of their channel."""
+    return wd.demeaned(memberships(spark, sf_dir), ["record", "w", "channel"], "x").select("record", "channel", "w", rnd(F.col("x")).alias("x"), "s")
+
+
 @query()
 def filtered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each channel without its slow drift and one hum frequency: the power before and after."""
-    c = sr.filtered(channels_of(samples(spark, sf_dir), ["record"]), SMALL.fs, 0.5, 6.0)
-    power = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v) / F.size(a)
-    return c.select("record", "channel", power(F.col("samples")).alias("before"), power(F.col("filtered")).alias("after"))
+    c = sr.filtered(blocks(spark, sf_dir), ["record"], SMALL.fs, 0.5, 6.0)
+    power = lambda a: F.sum(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)) / F.sum(F.size(a))
+    return c.groupBy("record", "channel").agg(power(F.col("samples")).alias("before"), power(F.col("filtered")).alias("after"))
 
 
 @query()
 def power_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The power spectral density of each channel, in long form."""
-    c = sr.power_spectra(channels_of(samples(spark, sf_dir), ["record"]), SMALL.fs, 32)
-    return c.select("record", "channel", F.posexplode("psd").alias("bin", "power"))
+    return sr.power_spectra(blocks(spark, sf_dir), ["record"], SMALL.fs, 32, SIZE)
+
+
+def models(spark: SparkSession, sf_dir: str, resolution: int | None = 32, lags: int | None = None) -> DataFrame:
+    return sr.window_models(blocks(spark, sf_dir), ["record"], SMALL, SIZE, 1, resolution, BANDS, lags)
 
 
 @query()
 def var_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Banded directed connectivity of every window, or why its model is not usable."""
-    m = sr.window_models(windowed(spark, sf_dir), ["record", "w"], SMALL.fs, 1, 32, BANDS)
-    return m.select("record", "w", "valid", "reason", "radius", "decay", F.posexplode_outer("features").alias("feature_index", "value"))
+    return models(spark, sf_dir).select("record", "w", "valid", "reason", "radius", "decay", F.posexplode_outer("features").alias("feature_index", "value"))
+
+
+@query()
+def var_gc_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at each window's own resolution, as fine as its model's decay asks for."""
+    return models(spark, sf_dir, None).select("record", "w", "valid", "reason", "resolution", F.posexplode_outer("features").alias("feature_index", "value"))
+
+
+def agreed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How far two versions of the windows' features agree, by record."""
+    g = sr.agreement(left, right, ["record", "w"]).groupBy("record")
+    return g.agg(F.count("*").alias("n_windows"), F.avg("r").alias("r_mean"), F.stddev_samp("r").alias("r_sd"), F.min("r").alias("r_min"), F.avg("mae").alias("mae_mean"), F.max("mae").alias("mae_max"))
+
+
+@query()
+def resolution_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features at the resolution of the models' decay against those at a fixed one: correlation and mean absolute error of the windows."""
+    return agreed(models(spark, sf_dir, None), models(spark, sf_dir))
+
+
+@query()
+def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the state-space route against those of the older one by autocovariances."""
+    return agreed(models(spark, sf_dir), models(spark, sf_dir, lags=200))
 
 
 @query()
 def var_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of least BIC over windows: median and quartiles per record."""
-    o = sr.model_orders(windowed(spark, sf_dir, 2), ["record", "w"], 4).where("order is not null")
+    o = sr.model_orders(blocks(spark, sf_dir, 2), ["record"], SMALL, SIZE, 4).where("order is not null")
     return o.groupBy("record").agg(F.count("*").alias("n_windows"), F.median("order").alias("median_order"), F.percentile("order", F.array(F.lit(0.25), F.lit(0.75))).alias("quartiles"))
 
 
 @query()
 def covariance_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank, condition and extreme eigenvalues of the channels of every window."""
-    return sr.covariance_health(windowed(spark, sf_dir), ["record", "w"])
+    return sr.covariance_health(blocks(spark, sf_dir), ["record"], SMALL, SIZE)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

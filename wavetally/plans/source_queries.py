@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as fn
+from ..operators import series as sr
 from ..sources import recordings as rc, summaries as sm
 from ..tables import table
 from .inputs import SCORES_SQL, rnd, scores
@@ -144,12 +145,12 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label AS record, (i - 1)::INTEGER AS channel_idx, count(*)::INTEGER AS n, round(sum(embedding[i]::DOUBLE), 4) AS before, count(*)::INTEGER AS n_back, round(sum(embedding[i]::DOUBLE), 4) AS after FROM embeddings, unnest(range(1, len(embedding) + 1)) r(i) GROUP BY label, i")
 def recording_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels cut into stored blocks and put together again: their lengths and sums, before and after."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("record"), "vec_id", F.posexplode("embedding").alias("channel_idx", "x"))
-    c = e.groupBy("record", "channel_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"]).alias("samples"))
-    back = rc.from_blocks(rc.to_blocks(c, 16), ["record", "channel_idx"])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return c.select("record", "channel_idx", F.size("samples").alias("n"), F.round(total("samples"), 4).alias("before")).join(back.select("record", "channel_idx", F.size("samples").alias("n_back"), F.round(total("samples"), 4).alias("after")), ["record", "channel_idx"])
+    """Channels in stored blocks: lengths and sums of their samples, and of the blocks when read again."""
+    e = sr.numbered(table(spark, sf_dir, "embeddings").select(F.col("label").alias("record"), "vec_id", "embedding"), ["record"], "vec_id")
+    long = e.select("record", "s", F.posexplode("embedding").alias("channel", "x"))
+    back = sr.blocks_of(long, ["record"], 16).select("record", F.col("channel").alias("channel_idx"), F.explode("samples").alias("x"))
+    total = lambda n, s: (F.count("*").cast("int").alias(n), F.round(F.sum(F.col("x").cast("double")), 4).alias(s))
+    return long.groupBy("record", F.col("channel").alias("channel_idx")).agg(*total("n", "before")).join(back.groupBy("record", "channel_idx").agg(*total("n_back", "after")), ["record", "channel_idx"])
 
 
 #: A supplier's lines of a year are the channels of a record: the part's brand names one, order and line number are its place.
