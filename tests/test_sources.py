@@ -7,7 +7,7 @@ import pytest
 from wavetally.operators.models import fold_scores
 from wavetally.operators.sampling import budgeted_training, fold_training
 from wavetally.config import Config
-from wavetally.sources import recordings as rc, summaries as sm
+from wavetally.sources import edf as ed, recordings as rc, summaries as sm
 
 TEXT = """Header
 File Name: ab01_01.edf
@@ -84,6 +84,55 @@ def test_edf(spark, tmp_path):
     assert {r.file: r.missing for r in report.collect()} == {"a_01.edf": False, "z.edf": True}
 
 
+@pytest.mark.parametrize("size", [20, 100, 1 << 20])
+def test_edf_by_ranges(spark, tmp_path, size):
+    """Tasks that read a few data records each give what reading whole files gives."""
+    series = {"a_01": [list(range(k, 400 + k)) for k in (0, 50, 7)], "b_02": [list(range(0, 120))]}
+    (tmp_path / "sub").mkdir()
+    for name, rows in series.items():
+        (tmp_path / "sub" / f"{name}.edf").write_bytes(edf([f"C{k}" for k in range(len(rows))], rows))
+    whole = edf(["C0"], [list(range(40))])
+    (tmp_path / "cut.edf").write_bytes(whole[:-3])
+    (tmp_path / "bad.edf").write_bytes(b"broken")
+    (tmp_path / "empty.edf").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(whole)
+    got = ed.read_ranges(spark, str(tmp_path), size)
+    rows = got.where("error is null").collect()
+    assert len(rows) == 5 if size == 1 << 20 else len(rows) > 8
+    seen = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        at = seen.setdefault((r.record, r.channel_idx), [])
+        assert r.start == len(at) and r.sampling_rate == 4.0 and r.channel == f"C{r.channel_idx}"
+        at.extend(r.samples)
+    want = {(n, k): [0.1 * v for v in x] for n, xs in series.items() for k, x in enumerate(xs)} | {("cut", 0): [0.1 * v for v in range(36)]}
+    assert seen.keys() == want.keys() and all(seen[k] == pytest.approx(v, abs=1e-5) for k, v in want.items())
+    assert sorted(r.record for r in got.where("error is not null").collect()) == ["bad", "empty"]
+    blocks = {}
+    for r in ed.to_blocks(got, 17).orderBy("block").collect():
+        blocks.setdefault((r.record, r.channel), []).append(r.samples)
+    assert all(sum(b, []) == pytest.approx(want[k], abs=1e-5) and {len(x) for x in b[:-1]} <= {17} for k, b in blocks.items()) and blocks.keys() == want.keys()
+
+
+def test_montage_is_stored_and_read(spark, tmp_path):
+    rows = [("p1", "a", 0, "C3 -1", [1.0, 2.0, 3.0]), ("p1", "a", 1, "c4", [4.0, 5.0, 6.0]), ("p1", "a", 2, "C4", [9.0]), ("p1", "b", 0, "C3", [7.0]), ("p2", "c", 5, "C4", [1.5]), ("p2", "c", 6, "c3", [2.5])]
+    channels = spark.createDataFrame([(*r[:4], 4.0, r[4]) for r in rows], "patient string, record string, channel_idx int, channel string, sampling_rate double, samples array<float>")
+    wanted = spark.createDataFrame([(0, "C4"), (1, "C3")], "pos int, name string")
+    missing = rc.write_montage(channels, wanted, str(tmp_path / "m"), 2)
+    assert [(r.record, r.missing) for r in missing.collect()] == [("b", ["C4"])]
+    got = {(r.patient, r.record, r.channel, r.name, r.block): r.samples for r in rc.read_recordings(spark, str(tmp_path / "m")).collect()}
+    assert got == {("p1", "a", 0, "C4", 0): [4.0, 5.0], ("p1", "a", 0, "C4", 1): [6.0], ("p1", "a", 1, "C3", 0): [1.0, 2.0], ("p1", "a", 1, "C3", 1): [3.0], ("p2", "c", 0, "C4", 0): [1.5], ("p2", "c", 1, "C3", 0): [2.5]}
+
+
+def test_windows_are_loaded_past_broken_files(spark, tmp_path):
+    one = lambda *v: [(x, 0.0) for x in v]
+    rows = [("p1", "a", [0, 1, 1, 1], [one(1.0), one(2.0)]), ("p1", "b", [0], [one(3.0), [(4.0, 0.5)], one(5.0)]), ("p2", "c", [1], [one(6.0)])]
+    df = spark.createDataFrame(rows, "patient string, record string, labels array<int>, windows array<array<struct<real:double,imag:double>>>")
+    df.write.partitionBy("patient").parquet(str(tmp_path / "f"))
+    (tmp_path / "f" / "patient=p1" / "part-broken.parquet").write_bytes(b"PAR1 nothing of the kind")
+    got = rc.load_windows(spark, str(tmp_path / "f"), ["p1"]).collect()
+    assert {(r.record, r.w, r.label, r.features[0], r.record_class) for r in got} == {("a", 0, 0, 1.0, 1), ("a", 1, 1, 2.0, 1), ("b", 0, 0, 3.0, 0), ("b", 2, 0, 5.0, 0)}
+
+
 def test_tables(spark, tmp_path):
     p = tmp_path / "fp.csv"
     p.write_text("patient,record,fp_start,fp_duration_s\na,a_1,1.5,nan\na,a_2,,20\n")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..config import DEFAULT, Config
 from ..functions.scalars import nan_to_null, normalise_name
+from .edf import header_of
 
 #: Samples of a stored block.
 BLOCK = 1024
@@ -25,31 +26,13 @@ RECORDING = "record string, channel_idx int, channel string, sampling_rate doubl
 
 
 def decode_edf(data: bytes) -> tuple[float, list[str], list[np.ndarray]]:
-    """Sampling rate, channel names and physical samples of a European Data Format file with one common rate.
-
-    The fixed header is 256 bytes; each signal has 256 more, field by field; data records hold
-    16-bit integers, a signal after the other, scaled from the digital to the physical range.
-    """
-    text = lambda a, n: data[a : a + n].decode("latin-1").strip()
-    n_records, seconds, n = int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
-    at, fields = 256, {}
-    for name, size in (("label", 16), ("transducer", 80), ("unit", 8), ("p_min", 8), ("p_max", 8), ("d_min", 8), ("d_max", 8), ("filter", 80), ("per", 8), ("spare", 32)):
-        fields[name] = [text(at + i * size, size) for i in range(n)]
-        at += n * size
-    per = [int(x) for x in fields["per"]]
-    raw = np.frombuffer(data, "<i2", offset=at)
-    n_records = len(raw) // sum(per) if n_records < 0 else n_records
-    table = raw[: n_records * sum(per)].reshape(n_records, sum(per))
-    out, start = [], 0
-    for i in range(n):
-        lo, hi, dlo, dhi = (float(fields[f][i]) for f in ("p_min", "p_max", "d_min", "d_max"))
-        out.append((table[:, start : start + per[i]].ravel() - dlo) * ((hi - lo) / (dhi - dlo)) + lo)
-        start += per[i]
-    return per[0] / seconds, fields["label"], out
+    """Sampling rate, channel names and physical samples of a European Data Format file with one common rate."""
+    h = header_of(data, len(data))
+    return h.per[0] / h.seconds, h.labels, h.decode(data[h.size : h.size + 2 * sum(h.per) * h.records])
 
 
 def read_edf(spark: SparkSession, path: str) -> DataFrame:
-    """A row per channel of each file below ``path``; a file that cannot be read gives a row with its error."""
+    """A row per channel of each whole file below ``path``, by Spark's own reader; a file that cannot be read gives a row with its error. For long files see :mod:`wavetally.sources.edf`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.edf").load(path).select("path", "content")
 
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,6 +80,36 @@ def montage(channels: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[Da
     return hit.join(complete, keys, "left_semi"), missing.groupBy(*keys).agg(F.array_sort(F.collect_list("name")).alias("missing"))
 
 
+def write_montage(channels: DataFrame, wanted: DataFrame, path: str, size: int = BLOCK) -> DataFrame:
+    """Store the channels of the montage ``wanted(pos, name)``, as blocks by patient, for the records ``(patient, record)`` that have them all; what the others miss.
+
+    A stored channel's index is its place in the montage, so that every record has the same order.
+    """
+    keys = ["patient", "record"]
+    picked, missing = montage(channels, wanted, keys)
+    write_recordings(to_blocks(picked.select(*keys, F.col("pos").alias("channel_idx"), F.col("name").alias("channel"), "sampling_rate", "samples"), size), path)
+    return missing
+
+
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored blocks as the operators over series take them: ``(patient, record, channel, name, sampling_rate, block, samples)``."""
+    rows = spark.read.parquet(path)
+    return rows.select("patient", "record", F.col("channel_idx").alias("channel"), F.col("channel").alias("name"), "sampling_rate", F.col("block_idx").cast("long").alias("block"), F.col("samples").cast("array<double>").alias("samples"))
+
+
+def load_windows(spark: SparkSession, path: str, patients: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """Usable feature windows of ``patients`` from a folder with a folder per patient; files that cannot be read are skipped.
+
+    A file's row is a record: ``(record, labels array<int>, windows array<array<struct<real, imag>>>)``. Labels beyond the
+    windows are cut off, missing ones are 0; see :func:`usable_windows` for the rest.
+    """
+    schema = "patient string, record string, labels array<int>, windows array<array<struct<real:double,imag:double>>>"
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(path).where(F.col("patient").isin(*patients))
+    long = rows.select("patient", "record", "labels", F.posexplode("windows").alias("w", "features"))
+    label = F.coalesce(F.get("labels", F.col("w")), F.lit(0))
+    return usable_windows(long.select("patient", "record", F.col("w").cast("long").alias("w"), label.alias("label"), "features"), cfg)
+
+
 def usable_windows(windows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Feature windows whose imaginary parts are negligible, with the record's class by whether any label is left.
 
