@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from wavetally.functions import autoregression as ar, spectral as sp
+from wavetally.functions import kernel_svm
 from wavetally.functions.kernel_svm import KernelSvm
 from wavetally.operators.selection import f_and_correlation, greedy_ranking
 from wavetally.operators.stats import correlation_p, incomplete_beta
@@ -186,13 +187,31 @@ def test_svm_meets_its_conditions():
     y = np.repeat([0, 1], 60)
     m = KernelSvm(1.0, 0.5, tolerance=1e-6).fit(x, y)
     s = np.where(y > 0, 1, -1) * m.decide(x)
-    on = {tuple(v): a for v, a in zip(m.x, np.abs(m.a))}
-    for v, margin in zip(x, s):
-        a = on.get(tuple(v), 0.0)
+    for margin, a in zip(s, np.abs(m.beta)):
         assert margin > 1 - 1e-3 if a < 1e-6 else margin < 1 + 1e-3 if a > 1 - 1e-6 else abs(margin - 1) < 1e-3
     assert (s > 0).mean() > 0.85
 
 
+@pytest.mark.parametrize("c", [0.1, 10.0, 1000.0])
+def test_svm_meets_its_conditions_beyond_rests(c, monkeypatch):
+    """Resting multipliers and starts from a lower penalty end where a fit from nothing ends: no pair violates the conditions."""
+    monkeypatch.setattr(kernel_svm, "LOOK", 50)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 5))
+    y, w = ((x[:, 0] + x[:, 1] ** 2 + 0.5 * r.standard_normal(300)) > 1).astype(int), np.where(r.random(300) < 0.3, 2.0, 0.7)
+    k = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    alone = KernelSvm(c, 0.1).fit(x, y, w)
+    *_, (_, warm) = kernel_svm.along_penalties(x, y, w, [0.01, 0.1, 1.0, c] if c > 1 else [0.01, c], 0.1)
+    objective = []
+    for m in (alone, warm):
+        s = np.where(y > 0, 1.0, -1.0)
+        v, most = s - k @ m.beta, c * w
+        up, low = np.where(s > 0, m.beta < most, m.beta < 0), np.where(s > 0, m.beta > 0, m.beta > -most)
+        assert v[up].max() - v[low].min() < 1.01e-3 and abs(m.beta.sum()) < 1e-6 * c and (np.abs(m.beta) <= most + 1e-9).all() and (m.beta * s >= 0).all()
+        objective.append(m.beta @ k @ m.beta / 2 - np.abs(m.beta).sum())
+    assert objective[0] == pytest.approx(objective[1], rel=1e-3)
+
+
 def test_ranking():
     f = np.array([3.0, 5.0, 5.0, 0.0, np.nan, 1.0])
     c = np.eye(6)

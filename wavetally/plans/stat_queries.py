@@ -156,6 +156,32 @@ def mrmr_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.groupBy("feature_index").agg(F.count("*").alias("times_selected"), (F.count("*") / 5).alias("fold_fraction"))
 
 
+#: Features that each fold selects.
+TAKEN = 10
+
+
+def reselected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as windows of three patients' records, and the features selected again without each record."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    w = e.select((F.col("vec_id") % 3).alias("patient"), (F.floor(F.col("vec_id") / 3) % 4).alias("record"), F.floor(F.col("vec_id") / 12).alias("w"), (F.col("label") == 0).cast("int").alias("y"), F.col("embedding").alias("features"))
+    return sl.reselected(w, TAKEN)
+
+
+@query()
+def reselection_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reselected(spark, sf_dir)
+
+
+@query()
+def reselection_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.wide_selection(reselected(spark, sf_dir), TAKEN)
+
+
+@query()
+def reselection_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sl.selection_frequency(reselected(spark, sf_dir))
+
+
 @query(f"WITH {FEATURES_SQL}, p AS (SELECT a.feature::INTEGER AS a, b.feature::INTEGER AS b, round(corr(a.x, b.x), 6) AS r FROM ft a JOIN ft b ON a.vec_id = b.vec_id AND a.feature < b.feature GROUP BY ALL) SELECT a, b, r, abs(r) > 0.1 AS near, abs(r) = max(abs(r)) OVER () AS largest FROM p")
 def channel_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations of all pairs of channels, and the largest of them; a row per pair of channels, whatever the number of vectors."""
