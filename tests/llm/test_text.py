@@ -158,6 +158,40 @@ def test_languages_equal_plain_loops(spark):
     assert max(sizes) >= 4
 
 
+def plain_grams(text):
+    """Counts of grams in a loop over the text's places."""
+    t = "".join(c if c > "\x7f" or "a" <= c <= "z" else " " for c in f" {text.lower()} ")
+    grams = [t[i : i + 2] for i in range(len(t) - 1) if t[i : i + 2].strip(" ")] + [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+    return Counter(grams)
+
+
+@pytest.mark.parametrize("chunk", [5, 7, 64, 1 << 18])
+def test_grams_equal_a_plain_loop(monkeypatch, chunk):
+    """One letter has grams, and no gram is counted twice where a text is cut."""
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    for text in ("a", "é", " ", "", "ab", "a b", "The Cat!  İstanbul ΣΑΣ 中文", "abcde" * 7 + "é x" * 9):
+        want = plain_grams(text)
+        got = langid.gram_buckets(text)
+        assert got.sum() == sum(want.values())
+        buckets = Counter()
+        for g, n in want.items():
+            codes = [ord(c) for c in g]
+            key = (codes[0] * 8191 + codes[1]) * 31 + 7 if len(g) == 2 else ((codes[0] * 8191 + codes[1]) * 8191 + codes[2]) * 33 + 11
+            buckets[((key * 0x2545F4914F6CDD1D & 0x7FFFFFFFFFFFFFFF) >> 31) % langid.BUCKETS] += n
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == dict(buckets)
+
+
+def test_a_text_of_two_chunks_has_every_gram_once():
+    text = "ab" * (1 << 19)
+    assert len(text) == 4 * langid.CHUNK and langid.gram_buckets(text).sum() == (len(text) + 1) + len(text)
+
+
+def test_one_letter_has_a_language(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("abc abd bca", "x"), ("éàè èéà", "y")] * 8)] + [(100, "a", None), (101, "é", None), (102, "7 !", None)]
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[100], got[101], got[102]) == (("x", True), ("y", True), ("und", False))
+
+
 def plain_lines(docs, least):
     sites, first = defaultdict(set), {}
     for i, t, s in docs:

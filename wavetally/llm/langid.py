@@ -19,15 +19,16 @@ CHUNK = 1 << 18
 
 
 def gram_buckets(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts per bucket of the text's character bigrams and trigrams; letters in lower case, all else a space."""
+    """Counts per bucket of the character bigrams and trigrams of the text with a space before and behind; letters in lower case, all else a space."""
     counts = np.zeros(buckets, np.int64)
-    for i in range(0, len(text), CHUNK):
-        codes = np.frombuffer(text[max(0, i - 2) : i + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    padded = f" {text.lower()} "
+    for i in range(0, len(padded) - 1, CHUNK):
+        codes = np.frombuffer(padded[i : i + CHUNK + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         letter = (codes > 127) | ((codes >= 97) & (codes <= 122))
         codes = np.where(letter, codes, 32)
-        two = codes[:-1] * 8191 + codes[1:]
-        three = (two[:-1] * 8191 + codes[2:])[codes[1:-1] != 32]
-        two = two[(codes[:-1] != 32) | (codes[1:] != 32)]
+        two = (codes[:-1] * 8191 + codes[1:])[:CHUNK]  # a gram counts where it begins
+        three = (two[: len(codes) - 2] * 8191 + codes[2:])[codes[1:-1] != 32]
+        two = two[((codes[:-1] != 32) | (codes[1:] != 32))[:CHUNK]]
         for g in (two * 31 + 7, three * 33 + 11):
             h = (g * 0x2545F4914F6CDD1D) & 0x7FFFFFFFFFFFFFFF
             counts += np.bincount((h >> 31) % buckets, minlength=buckets)
