@@ -1,6 +1,7 @@
 """Personal data and secrets against plain patterns, and what the methods add."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -207,3 +208,64 @@ def test_secrets_behind_a_name(spark):
     assert sec.tokens_of("sig=" + "aZ3" * 8 + "== k=" + "b" * 20 + "=c") == [(4, 30, "aZ3" * 8 + "=="), (33, 53, "b" * 20)]
     mixed = "_" + "a+/Z" * 6 + "-x"
     assert (1, 25, "a+/Z" * 6) in sec.tokens_of(mixed)
+
+
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+NAMES = "the and value index count user name table reader window of to in make result partition key handler get set from list config manager error state item buffer size node path".split()
+
+
+def corpus(n_keys, n_names, length, seed):
+    """Texts of ordinary words, each with one random token or one long name of words."""
+    r = random.Random(seed)
+    keys = ["".join(r.choices(B62, k=length)) for _ in range(n_keys)]
+    names = ["".join(w.capitalize() for w in r.choices(NAMES, k=9))[: r.randint(max(20, length - 4), length + 6)] + str(r.randint(0, 99)) * (r.random() < 0.3) for _ in range(n_names)]
+    told = lambda: " ".join(r.choice(NAMES) for _ in range(20)) + f" in {r.randint(1, 3000)}. "
+    return keys, names, [(i, told() + x + " " + told().capitalize()) for i, x in enumerate(keys + names)]
+
+
+def plain_choice(rows):
+    """The tokens that pass, by loops: ordinary characters, p-values, and the rule of Benjamini and Hochberg in each stratum."""
+    heard, tokens = [0] * 128, set()
+    for _, t in rows:
+        base = [(s, e) for s, e, _ in sec.base_spans(t)]
+        taken = [m.span() for m in sec.TOKEN.finditer(t)] + base
+        tokens |= {x for a, b, x in sec.tokens_of(t) if not any(s < b and a < e for s, e in base)}
+        for i, c in enumerate(t):
+            if c.isascii() and not any(s <= i < e for s, e in taken):
+                heard[ord(c)] += 1
+    strata = {}
+    for t in tokens:
+        k, n = sec.encoding_of(t), len(t.rstrip("="))
+        if n < sec.MIN_TOKEN:
+            continue
+        q = [heard[ord(c)] + 0.5 for c in sec.ALPHABETS[k]]
+        q = [x / sum(q) for x in q]
+        chi, p = sec.battery(t, sec.ALPHABETS[k])
+        even = sec.ordinary_p(chi, n, len(q), sum(x**2 for x in q), sum(x**3 for x in q))
+        strata.setdefault((k, sum(n >= x for x in sec.STRATA)), []).append((int(min(sec.BINS, -math.log10(max(even, 1e-300)) * sec.PER_UNIT)), p, t))
+    out = set()
+    for found in strata.values():
+        good = [b for b in {b for b, _, _ in found} if 10 ** (-b / sec.PER_UNIT) <= sec.FDR * sum(x >= b for x, _, _ in found) / len(found)]
+        out |= {t for b, p, t in found if good and b >= min(good) and p >= sec.LEVEL}
+    return out
+
+
+@pytest.mark.parametrize("n_keys, n_names, length, least", [(40, 1500, 40, 0.9), (600, 600, 40, 0.9), (900, 300, 48, 0.95), (60, 600, 32, 0.6)])
+def test_secrets_are_found_whatever_their_share(spark, n_keys, n_names, length, least):
+    keys, names, rows = corpus(n_keys, n_names, length, n_keys)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.token for r in sec.random_tokens(sec.scan(df)).collect()}
+    assert got == plain_choice(rows)
+    assert len(got & set(keys)) >= least * n_keys and len(got & set(names)) <= 0.02 * len(got) + 1
+
+
+def test_many_spans_of_one_text(spark):
+    """A hundred thousand tokens in one text; a span that lies in a longer one of the same run is not listed."""
+    r = random.Random(2)
+    text = " ".join("".join(r.choices(B62, k=40)) for _ in range(100_000)) + " " + " ".join(NAMES * 3000)
+    row = sec.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = row.spans.split(",")
+    assert len(spans) > 95_000 and len(set(spans)) == len(spans)
+    nested = [(1, [(0, 40), (0, 20), (5, 40), (5, 30), (41, 61), (50, 90), (60, 90)])]
+    found = spark.createDataFrame([(i, s, e) for i, x in nested for s, e in x], "rid long, s int, e int")
+    assert {(x.s, x.e) for x in sec.outermost(found).collect()} == {(0, 40), (41, 61), (50, 90)}

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import erfc, exp, log, log10, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import added, written
 
@@ -39,7 +38,7 @@ ALPHABETS = {
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
 #: False-discovery rate among the tokens found, and the level at which the battery rejects randomness.
-FDR, LEVEL = 0.01, 0.01
+FDR, LEVEL = 0.002, 0.01
 #: Lengths from which a token belongs to the next stratum.
 STRATA = (24, 32, 48, 64)
 #: Bins of log10(p) in which a stratum's p-values are counted: a tenth of a unit down to 1e-40.
@@ -110,21 +109,24 @@ def battery(token: str, alphabet: str) -> tuple[float, float]:
 def ordinary_p(chi: float, n: int, size: int, two: float, three: float) -> float:
     """Probability that an ordinary token of ``n`` symbols spreads them as evenly as ``chi`` says.
 
-    ``two`` and ``three`` are the chances that two and three symbols drawn from the corpus's
-    ordinary tokens of the encoding agree; with the length, they give mean and variance.
+    The statistic tells how many pairs of symbols agree. ``two`` and ``three`` are the chances that two and three
+    symbols of ordinary text agree; with the length, they give the number's mean and variance, and a gamma distribution
+    of these, by Wilson and Hilferty's cube root, its lower tail.
     """
-    mean = size * (1 + (n - 1) * two) - n
-    var = (size / n) ** 2 * (2 * n * (n - 1) * (two - two * two) + 4 * n * (n - 1) * (n - 2) * max(three - two * two, 0))
-    return _tail(-(chi - mean) / sqrt(max(var, 1e-9)))
+    agree = ((chi + n) * n / size - n) / 2
+    mean = n * (n - 1) / 2 * two
+    var = n * (n - 1) / 2 * (two - two * two) + n * (n - 1) * (n - 2) * max(three - two * two, 0)
+    shape = mean * mean / max(var, 1e-9)
+    return _tail(-((max(agree, 0.0) / mean) ** (1 / 3) - (1 - 1 / (9 * shape))) * 3 * sqrt(shape))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table ``(rid, doc_id, base, tokens)``: base spans, and further tokens outside them."""
+    """A written table ``(rid, doc_id, base, tokens, ordinary)``: base spans, further tokens outside them, and for some rows how often each ASCII character stands outside both in a run of rows."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def find(batches: Iterable[list]) -> Iterator[tuple]:
         for texts in batches:
-            base, tokens = [], []
+            base, tokens, ordinary = [], [], np.zeros(128, np.int64)
             for t in texts:
                 t = t or ""
                 own = base_spans(t)
@@ -134,38 +136,53 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 starts = [s for s, _, _ in own]
                 clear = lambda a, b: not (i := bisect_right(starts, b - 1)) or ends[i - 1] <= a
                 tokens.append([{"s": a, "e": b, "token": x} for a, b, x in tokens_of(t) if clear(a, b)])
-            yield base, tokens
+                ordinary += characters(t) - sum((characters(t[a:b]) for a, b in runs(own, t)), np.zeros(128, np.int64))
+            yield base, tokens, [None] * (len(texts) - 1) + [ordinary.tolist()] if texts else []
 
-    columns = "base array<struct<s:int,e:int,kind:string>>, tokens array<struct<s:int,e:int,token:string>>"
+    columns = "base array<struct<s:int,e:int,kind:string>>, tokens array<struct<s:int,e:int,token:string>>, ordinary array<long>"
     return written(added(rows, "text", find, columns, ["rid", "doc_id"]), "scanned")
 
 
+def characters(text: str) -> np.ndarray:
+    """How often each ASCII character is in a text."""
+    return np.bincount(np.frombuffer(text.encode("ascii", "ignore"), np.uint8), minlength=128)
+
+
+def runs(base: list[tuple[int, int, str]], text: str) -> list[tuple[int, int]]:
+    """Disjoint places of the base spans and of all runs that are long enough to hold tokens."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([(s, e) for s, e, _ in base] + [m.span() for m in TOKEN.finditer(text)]):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def agreements(ordinary: np.ndarray) -> dict[str, tuple[float, float]]:
+    """For each alphabet, the chances that two and three of its symbols agree, drawn as they stand in ordinary text."""
+    out = {}
+    for k, alphabet in ALPHABETS.items():
+        q = np.array([ordinary[ord(c)] for c in alphabet], float) + 0.5
+        q /= q.sum()
+        out[k] = float((q**2).sum()), float((q**3).sum())
+    return out
+
+
 def random_tokens(found: DataFrame, fdr: float = FDR, level: float = LEVEL) -> DataFrame:
     """``(token)`` of the distinct tokens that pass the battery under false-discovery control.
 
-    The corpus's tokens give each encoding's ordinary symbol frequencies. A token's p-value
-    says how likely an ordinary one of its length is to be as even; in each stratum of
+    The texts outside all runs that are long enough for a token tell how ordinary text spreads the symbols of each
+    encoding, so that secrets, however many, do not make themselves look ordinary. A token's p-value
+    says how likely symbols drawn from ordinary text are to be as even; in each stratum of
     encoding and length, Benjamini and Hochberg's rule picks the p-values to trust. Of those, tokens
     whose randomness the battery rejects are left out.
     """
     tokens = written(found.select(F.explode("tokens").alias("t")).select("t.token").distinct(), "tokens")
-
-    def symbols(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["token"]:
-                k = encoding_of(t)
-                sums.update((k, c) for c in t.rstrip("="))
-        yield pd.DataFrame([(k, c, n) for (k, c), n in sums.items()], columns=["encoding", "symbol", "n"])
-
-    heard: dict[str, list[int]] = {}
-    for k, _, n in tokens.mapInPandas(symbols, "encoding string, symbol string, n long").groupBy("encoding", "symbol").agg(F.sum("n")).collect():  # a row per symbol of each alphabet
-        heard.setdefault(k, []).append(n)
-    common = {}
-    for k, alphabet in ALPHABETS.items():
-        q = np.array(heard.get(k, [1])) / sum(heard.get(k, [1]))
-        two = max(float((q**2).sum()), 1.5 / len(alphabet))
-        common[k] = (two, max(float((q**3).sum()), two * two))
+    ordinary = np.zeros(128, np.int64)
+    for c, n in found.select(F.posexplode("ordinary").alias("c", "n")).groupBy("c").agg(F.sum("n")).collect():  # a row per ASCII character
+        ordinary[c] = n
+    common = agreements(ordinary)
 
     def test(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,6 +213,13 @@ def random_tokens(found: DataFrame, fdr: float = FDR, level: float = LEVEL) -> D
     return tested.where(passed & (F.col("p") >= level)).select("token")
 
 
+def outermost(spans: DataFrame) -> DataFrame:
+    """The rows of ``spans(rid, s, e, ..)`` that lie in no longer one of their text: by a running maximum along it, not by pairs."""
+    # in this order, a span lies in one before it if any of them ends no sooner
+    ahead = Window.partitionBy("rid").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_far", F.max("e").over(ahead)).where(F.col("_far").isNull() | (F.col("_far") < F.col("e"))).drop("_far")
+
+
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` per row of ``docs``.
 
@@ -206,9 +230,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = scan(docs, doc_id, text)
     passed = written(random_tokens(found), "passed")
     hits = found.select("rid", F.explode("tokens").alias("t")).select("rid", "t.s", "t.e", "t.token").join(passed, "token", "left_semi")
-    inside = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
-    more = hits.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("more"))
-    more = written(more.select("rid", F.filter("more", lambda x: ~F.exists("more", lambda y: inside(x, y))).alias("more")), "more")
+    outer = outermost(hits)
+    more = written(outer.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("more")), "more")
     rows = found.select("rid", "doc_id", "base").join(more, "rid", "left")
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
