@@ -32,6 +32,20 @@ def with_below(counts: DataFrame, keys: list[str], value: str, columns: list[str
     return rows.withColumns({f"below_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns}).drop("_b", *(f"_o_{c}" for c in columns))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``(keys, name, ..)``: exact quantiles of each key's values, missing ones left out, between neighbours by straight lines; ``shares`` has each one's name.
+
+    Rows are counted by value, and counts added up over ranges of values, so that a key of any size is spread over tasks.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ranked = with_below(counts, keys, value, ["n"])
+    place = lambda q: (F.col("all_n") - 1) * q
+    at = lambda r: F.max(F.when((F.col("below_n") <= r) & (r < F.col("below_n") + F.col("n")), F.col(value)))
+    g = ranked.groupBy(*keys).agg(F.max("all_n").alias("all_n"), *(at(r(place(q))).alias(f"{side}_{name}") for name, q in shares.items() for side, r in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda name, q: F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * (place(q) - F.floor(place(q)))
+    return g.select(*keys, *(between(name, q).alias(name) for name, q in shares.items()))
+
+
 def standardise(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``long`` with ``z``: population z-scores per key; a constant key keeps scale one."""
     s = long.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import DEFAULT
 from ..operators import events as ev
 from ..operators.intervals import merge_intervals
+from ..operators.stats import quantiles
 from ..operators.windowing import label_windows
 from ..functions.scalars import guarded_ratio, ratio_or_zero
 from .inputs import ANNOTATIONS_SQL, LENGTHS_SQL, SCORES_SQL, annotations, rnd, scores
@@ -235,9 +236,9 @@ def fp_duration_buckets_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FP_SQL} SELECT round(median(duration), 6) AS median, round(quantile_cont(duration, 0.25::DOUBLE), 6) AS q1, round(quantile_cont(duration, 0.75::DOUBLE), 6) AS q3, count(*) AS n FROM d")
 def duration_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("duration", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    r = _false_durations(spark, sf_dir).agg(q.alias("q"), F.count("*").alias("n"))
-    return r.select(*(rnd(F.col("q")[i]).alias(name) for i, name in enumerate(("median", "q1", "q3"))), "n")
+    d = _false_durations(spark, sf_dir)
+    q = quantiles(d, [], "duration", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return q.crossJoin(d.agg(F.count("*").alias("n"))).select(*(rnd(F.col(name)).alias(name) for name in ("median", "q1", "q3")), "n")  # one row each
 
 
 @query(

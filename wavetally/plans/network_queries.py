@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import guarded_ratio
 from ..operators import network as nw
-from ..operators.stats import chi_square_tail
+from ..operators.stats import chi_square_tail, quantiles
 from .inputs import SELECTION_SQL, WEIGHTS_SQL, rnd, selections
 from .registry import query
 
@@ -264,7 +264,9 @@ def normalised_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SELECTION_SQL} SELECT band, count(*) AS n, round(avg(rank), 6) AS mean_rank, median(rank) AS median_rank FROM sel GROUP BY band")
 def rank_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selections(spark, sf_dir).groupBy("band").agg(F.count("*").alias("n"), rnd(F.avg("rank")).alias("mean_rank"), F.median("rank").alias("median_rank"))
+    s = selections(spark, sf_dir)
+    middle = quantiles(s, ["band"], "rank", {"median_rank": 0.5})
+    return s.groupBy("band").agg(F.count("*").alias("n"), rnd(F.avg("rank")).alias("mean_rank")).join(middle, "band")
 
 
 @query(f"WITH {SELECTION_SQL} SELECT src, tgt, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, src, tgt) AS place FROM sel GROUP BY src, tgt")

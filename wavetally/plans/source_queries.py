@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as fn
 from ..operators import series as sr
+from ..operators.stats import quantiles
 from ..sources import recordings as rc, summaries as sm
 from ..tables import table
 from .inputs import SCORES_SQL, rnd, scores
@@ -124,7 +125,7 @@ def time_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT mktsegment, round(median(bal), 6) AS median_balance, row_number() OVER (ORDER BY median(bal), mktsegment) AS place FROM (SELECT c_mktsegment AS mktsegment, c_acctbal AS bal FROM customer) GROUP BY mktsegment")
 def ordered_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordering dimension: groups by their median; a row per group."""
-    g = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.median("c_acctbal").alias("m"))
+    g = quantiles(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("mktsegment"), "c_acctbal"), ["mktsegment"], "c_acctbal", {"m": 0.5})
     return g.select("mktsegment", rnd(F.col("m")).alias("median_balance"), F.row_number().over(Window.orderBy("m", "mktsegment")).cast("long").alias("place"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import Config
-from ..operators import sampling as sp, selection as sl, stats as st, windowing as wd
+from ..operators import pipeline as pl, sampling as sp, selection as sl, stats as st, windowing as wd
 from ..tables import table
 from .inputs import FEATURES_SQL, SCORES_SQL, features, rnd, scores
 from .registry import query
@@ -201,7 +201,8 @@ def resolution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of two versions of a vector: correlation and mean absolute error per vector, summarised."""
     v = features(spark, sf_dir).withColumn("z", F.col("x") + (F.col("feature") % 3) / F.lit(10.0))
     g = v.groupBy("vec_id").agg(F.corr("x", "z").alias("r"), F.avg(F.abs(F.col("x") - F.col("z"))).alias("mae"))
-    return g.agg(*(rnd(f("r")).alias(f"r_{n}") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("median", F.median), ("min", F.min))), rnd(F.avg("mae")).alias("mae_mean"), rnd(F.max("mae")).alias("mae_max"))
+    middle = st.quantiles(g, [], "r", {"r_median": 0.5}).select(rnd(F.col("r_median")).alias("r_median"))
+    return g.agg(*(rnd(f("r")).alias(f"r_{n}") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min))), rnd(F.avg("mae")).alias("mae_mean"), rnd(F.max("mae")).alias("mae_max")).crossJoin(middle)  # one row each
 
 
 @query(f"WITH {FEATURES_SQL} SELECT vec_id, round(min(x), 6) AS least, round(max(x), 6) AS most, count(*) FILTER (isnan(x)) AS n_nan, count(*) FILTER (x = 0) AS n_zero FROM ft GROUP BY vec_id")
@@ -257,4 +258,4 @@ def class_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection as a fitted transformer: vectors cut down to the chosen features, in their order of rank."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
-    return sl.FeatureSelector(8, "embedding", "y").fit(v).transform(v).select("vec_id", "selected")
+    return pl.FeatureSelector(k=8, inputCol="embedding").fit(v).transform(v).select("vec_id", "selected")
