@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LinearSVC
 
 from wavetally.config import Config
 from wavetally.operators import pipeline as pl, stats as st
@@ -35,6 +36,27 @@ def test_stages_equal_the_plain_fit_and_are_kept(spark, rows, tmp_path):
     assert {r.i: r.score for r in refitted.transform(df).collect()} == pytest.approx(got, abs=1e-9)
 
 
+def test_a_mapped_kernel_comes_near_the_kernel(spark, tmp_path):
+    """Products of mapped rows are kernel values, and a linear classifier of all rows ranks as the kernel classifier does."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 4))
+    y = ((x**2).sum(axis=1) + 0.5 * r.standard_normal(600) > 3.5).astype(int)
+    df = pl.balanced(spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "i long, features array<double>, y int"))
+    assert df.agg({"weight": "avg"}).first()[0] == pytest.approx(1.0)
+    m = pl.KernelMap(landmarks=300, gamma=0.2).fit(df)
+    m.write().overwrite().save(str(tmp_path / "map"))
+    rows = pl.KernelMapModel.load(str(tmp_path / "map")).transform(df).orderBy("i").collect()
+    phi = np.array([row.mapped.toArray() for row in rows])
+    k = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(phi @ phi.T - k).mean() < 0.01
+    line = LinearSVC(featuresCol="mapped", labelCol="y", weightCol="weight", predictionCol="hit", rawPredictionCol="raw", regParam=1e-3)
+    fitted = Pipeline(stages=[m, line]).fit(df)
+    score = np.array([row.raw[1] for row in fitted.transform(df).orderBy("i").collect()])
+    plain = np.array([row.score for row in pl.KernelClassifier(c=1.0, gamma=0.2).fit(df).transform(df).orderBy("i").collect()])
+    auc = lambda s: np.mean(s[y == 1][:, None] > s[y == 0][None, :])
+    assert abs(auc(score) - auc(plain)) < 0.01 and auc(score) > 0.9
+
+
 def test_a_budget_keeps_both_classes(spark, rows):
     x, y = rows
     df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "features array<double>, y int")

@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT
-from ..functions.kernel_svm import KernelSvm
+from ..functions.kernel_svm import KernelSvm, scale
 from .models import class_weights
 from .sampling import hash_order
 from .selection import select_features
@@ -149,3 +150,64 @@ class KernelClassifier(Estimator, _Columns):
 
         got = parts[0].unionByName(parts[1]).groupBy().applyInPandas(fit, "rows array<double>, multipliers array<double>, bias double, scale double").first()  # within the budget
         return self._fitted(KernelClassifierModel(), **got.asDict())
+
+
+class KernelMapModel(Model, _Columns):
+    """Vectors whose products come near the values of a Gaussian kernel: its values at the landmarks, times a fixed matrix."""
+
+    landmarks = _param("landmarks", "rows, one behind the other", TypeConverters.toListFloat)
+    weights = _param("weights", "the matrix, row by row", TypeConverters.toListFloat)
+    scale = _param("scale", "factor of squared distances", TypeConverters.toFloat)
+
+    def __init__(self):
+        super().__init__()
+        self._own(outputCol="mapped")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        w, g = np.array(self.getOrDefault("weights")), self.getOrDefault("scale")
+        side = round(len(w) ** 0.5)
+        w, x = w.reshape(side, side), np.array(self.getOrDefault("landmarks")).reshape(side, -1)
+
+        @F.pandas_udf("array<double>")
+        def mapped(v: pd.Series) -> pd.Series:
+            z = np.array(v.tolist(), float).reshape(len(v), -1)
+            d = (z * z).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * z @ x.T
+            return pd.Series(list(np.exp(-g * np.maximum(d, 0)) @ w))
+
+        return df.withColumn(self.getOutputCol(), array_to_vector(mapped(F.col(self.getInputCol()))))
+
+
+class KernelMap(Estimator, _Columns):
+    """Nystroem's map of a Gaussian kernel from ``landmarks`` rows, taken in the order of a hash.
+
+    A linear classifier over the mapped rows, such as ``LinearSVC``, is a kernel classifier that is trained on all rows, where they are; only
+    the landmarks meet on the driver.
+    """
+
+    landmarks = _param("landmarks", "rows that the kernel is taken at", TypeConverters.toInt)
+    gamma = _param("gamma", "factor of squared distances; 0: one over the number of components times their variance", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, landmarks=None, gamma=None, inputCol=None, outputCol=None):
+        super().__init__()
+        self._own(self._input_kwargs, landmarks=256, gamma=0.0, outputCol="mapped")
+
+    def _fit(self, df: DataFrame) -> KernelMapModel:
+        rows = df.select(F.col(self.getInputCol()).cast("array<double>").alias("x")).where("x is not null").distinct()
+        took = rows.withColumn("h", F.to_json("x")).orderBy(hash_order(DEFAULT.seed, "h")).limit(self.getOrDefault("landmarks")).collect()  # the landmarks
+        x = np.array([r["x"] for r in took])
+        g = self.getOrDefault("gamma") or scale(x)
+        values, vectors = np.linalg.eigh(np.exp(-g * ((x[:, None] - x[None]) ** 2).sum(axis=2)))
+        good = values > 1e-10 * values[-1]
+        root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
+        return self._fitted(KernelMapModel(), landmarks=x.ravel(), weights=root.ravel(), scale=float(g))
+
+
+def balanced(df: DataFrame, label: str = "y", power: float = DEFAULT.weight_power) -> DataFrame:
+    """``df`` with ``weight``: damped class weights with mean one, for classifiers that are trained on all rows."""
+    n = df.groupBy(label).agg(F.count("*").alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_classes"))
+    raw = n.crossJoin(total).withColumn("_w", F.pow(F.col("_all") / (F.col("_classes") * F.col("_n")), F.lit(power)))  # a row per class
+    mean = raw.agg((F.sum(F.col("_w") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    told = raw.crossJoin(mean).select(label, (F.col("_w") / F.col("_mean")).alias("weight"))
+    return df.join(F.broadcast(told), label)

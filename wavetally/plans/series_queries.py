@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
-from ..operators import evaluation as ez, metrics as mt, models as md, series as sr, windowing as wd
+from ..operators import evaluation as ez, metrics as mt, models as md, pipeline as pl, series as sr, windowing as wd
 from ..operators.stats import with_below
 from ..tables import table
 from .inputs import FEATURES_SQL, SCORES_SQL, features, rnd, scores
@@ -96,10 +99,15 @@ def filtered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("record", "channel").agg(power(F.col("samples")).alias("before"), power(F.col("filtered")).alias("after"))
 
 
-@query()
+@query(
+    f"""WITH {SERIES_SQL}, n AS (SELECT record, channel, least(32, max(s) + 1) AS len, max(s) + 1 AS n FROM sg GROUP BY ALL), h AS (SELECT *, greatest(1, len // 2) AS hop FROM n),
+    m AS (SELECT sg.record, sg.channel, len, seg, s - seg * hop AS i, x - avg(x) OVER (PARTITION BY sg.record, sg.channel, seg) AS x FROM sg JOIN h USING (record, channel), unnest(range(0, (n - len) // hop + 1)) AS u(seg) WHERE s BETWEEN seg * hop AND seg * hop + len - 1),
+    d AS (SELECT record, channel, len, seg, bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * i / len)) * cos(2 * pi() * bin * i / len)) AS a, sum(x * (0.5 - 0.5 * cos(2 * pi() * i / len)) * sin(2 * pi() * bin * i / len)) AS b FROM m, unnest(range(0, len // 2 + 1)) AS u(bin) GROUP BY ALL)
+    SELECT record, channel::INTEGER AS channel, bin::INTEGER AS bin, round(avg(a * a + b * b) / (0.375 * len * 16) * CASE WHEN bin > 0 AND 2 * bin < len THEN 2 ELSE 1 END, 6) AS power FROM d WHERE len > 2 GROUP BY record, channel, bin, len"""
+)
 def power_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The power spectral density of each channel, in long form."""
-    return sr.power_spectra(blocks(spark, sf_dir), ["record"], SMALL.fs, 32, SIZE)
+    return sr.power_spectra(blocks(spark, sf_dir), ["record"], SMALL.fs, 32, SIZE).withColumn("power", rnd(F.col("power")))
 
 
 def models(spark: SparkSession, sf_dir: str, resolution: int | None = 32, lags: int | None = None) -> DataFrame:
@@ -173,6 +181,22 @@ def random_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.curves(s, ["fold"])
 
 
+@query()
+def random_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of random windows of each patient, with their parameters, in the columns of the segment table."""
+    return ez.random_protocol(patients(spark, sf_dir)[0], (20, 1.0, 0.001), TRAINING)
+
+
+@query()
+def kernel_map_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel classifier trained on all rows, by a map of the kernel and a linear classifier: its curves by record."""
+    rows = pl.balanced(labelled(spark, sf_dir))
+    line = LinearSVC(featuresCol="mapped", labelCol="y", weightCol="weight", predictionCol="hit", rawPredictionCol="raw", regParam=1e-3, maxIter=50)
+    fitted = Pipeline(stages=[pl.ArrayScaler(), pl.KernelMap(inputCol="scaled", landmarks=200), line]).fit(rows)
+    scored = fitted.transform(rows).select("record", "y", vector_to_array("raw")[1].alias("score"))
+    return mt.curves(scored, ["record"])
+
+
 @query()
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave one record out with hyper-parameters chosen inside each fold on a small grid."""

@@ -141,14 +141,28 @@ def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.sample_per_group(sc.join(many, "record", "left_anti"), ["patient", "record"], ["record", "w"], 30, Config().seed).select("patient", "record", "w", "y")
 
 
-@query()
+def ranking_sql(rows: str, k: int) -> str:
+    """Tables ``fv``, F-values by group, and ``rk``, each group's ranking of ``k`` features as a list, over ``rows(g, vec_id, y, feature, x)``."""
+    return f"""WITH RECURSIVE {FEATURES_SQL}, gr AS ({rows}),
+    fv AS (SELECT g, feature, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (sum(n * v) / (sum(n) - 2)) AS f FROM (SELECT g, feature, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM gr GROUP BY ALL) GROUP BY g, feature),
+    cr AS (SELECT a.g, a.feature AS a, b.feature AS b, greatest(abs(corr(a.x, b.x)), 0.001::DOUBLE) AS r FROM gr a JOIN gr b ON a.g = b.g AND a.vec_id = b.vec_id GROUP BY ALL),
+    st(g, k, best) AS (SELECT g, 1, [arg_max(feature, f * 1e6::DOUBLE - feature * 1e-9::DOUBLE)] FROM fv GROUP BY g
+        UNION ALL
+        SELECT st.g, any_value(st.k) + 1, list_append(any_value(st.best), arg_max(t.feature, t.score)) FROM st JOIN (
+            SELECT s.g, fv.feature, CASE WHEN abs(avg(cr.r) - 1) <= 1e-5 + 1e-8 THEN 0 ELSE any_value(fv.f) / avg(cr.r) END AS score
+            FROM st s JOIN fv ON fv.g = s.g JOIN cr ON cr.g = s.g AND cr.b = fv.feature WHERE list_contains(s.best, cr.a) AND NOT list_contains(s.best, fv.feature) AND fv.f > 0 GROUP BY s.g, fv.feature) t ON st.g = t.g
+        WHERE st.k < {k} GROUP BY st.g),
+    rk AS (SELECT g, best FROM st WHERE k = {k})"""
+
+
+@query(f"{ranking_sql('SELECT 0 AS g, vec_id, y, feature, x FROM ft', 20)} SELECT 'all' AS \"group\", rank, best[rank]::BIGINT AS feature_index, round(f, 6) AS f FROM rk, unnest(range(1, 21)) AS u(rank) JOIN fv ON fv.g = rk.g AND fv.feature = best[rank]")
 def mrmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty features of the vectors, by relevance over redundancy."""
     v = table(spark, sf_dir, "embeddings").select("embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
-    return sl.select_features(v, 20, "embedding", "y")
+    return sl.select_features(v, 20, "embedding", "y").withColumn("f", rnd(F.col("f")))
 
 
-@query()
+@query(f"{ranking_sql('SELECT fold AS g, vec_id, y, feature, x FROM ft, unnest(range(5)) AS u(fold) WHERE vec_id % 5 <> fold', 10)} SELECT feature_index::BIGINT AS feature_index, count(*) AS times_selected, count(*) / 5.0::DOUBLE AS fold_fraction FROM (SELECT unnest(best) AS feature_index FROM rk) GROUP BY feature_index")
 def mrmr_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection repeated without each fold, and how often a feature comes up."""
     v = table(spark, sf_dir, "embeddings").select("embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"), "vec_id").where("vec_id % 5 <> fold")
@@ -254,7 +268,7 @@ def class_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count("*").alias("n_features"), F.count_if(F.abs("cohen_d") >= 0.2).alias("n_apart"), rnd(F.avg(F.abs("cohen_d"))).alias("mean_d"))
 
 
-@query()
+@query(f"{ranking_sql('SELECT 0 AS g, vec_id, y, feature, x FROM ft', 8)} SELECT vec_id, list_transform(best, lambda i: embedding[i + 1]) AS selected FROM embeddings, rk")
 def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection as a fitted transformer: vectors cut down to the chosen features, in their order of rank."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
