@@ -238,16 +238,17 @@ def autocovariances(a: np.ndarray, sigma: np.ndarray, lags: int) -> np.ndarray:
 def whittle(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The models whose autocovariances are ``g``, of as many lags, and their residual covariances: order by order, forward and backward in time."""
     lags = g.shape[-1] - 1
-    forward, backward = [], []
-    ahead = behind = g[..., 0]
+    g = np.moveaxis(g, -1, 0)
+    forward, backward = np.zeros_like(g[:lags]), np.zeros_like(g[:lags])  # the backward one's last lag first
+    ahead = behind = g[0]
     for k in range(lags):
-        left = g[..., k + 1] - sum((f @ g[..., k - m] for m, f in enumerate(forward)), np.zeros_like(ahead))
+        left = g[k + 1] - (forward[:k] @ g[k:0:-1]).sum(axis=0)
         to, fro = _t(np.linalg.solve(_t(behind), _t(left))), _t(np.linalg.solve(_t(ahead), left))
-        longer = [f - to @ b for f, b in zip(forward, reversed(backward))]
-        backward = [b - fro @ f for b, f in zip(backward, reversed(forward))] + [fro]
-        forward = longer + [to]
+        longer = forward[:k] - to @ backward[:k]
+        backward[1 : k + 1] = backward[:k] - fro @ forward[:k]
+        forward[:k], forward[k], backward[0] = longer, to, fro
         ahead, behind = ahead - to @ _t(left), behind - fro @ left
-    return np.stack(forward, axis=-1), ahead
+    return np.moveaxis(forward, 0, -1), ahead
 
 
 def spectral_by_autocovariance(a: np.ndarray, sigma: np.ndarray, resolution: int, lags: int) -> np.ndarray:

@@ -141,7 +141,7 @@ def resolution_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def route_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the state-space route against those of the older one by autocovariances."""
-    return agreed(models(spark, sf_dir), models(spark, sf_dir, lags=200))
+    return agreed(models(spark, sf_dir), models(spark, sf_dir, lags=100))
 
 
 @query()
