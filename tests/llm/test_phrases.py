@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavetally.llm import phrases
@@ -42,21 +44,38 @@ def texts(seed, n=60):
 
 @pytest.mark.parametrize("seed, how", [(1, {"least": 3}), (2, {"least": 2, "share": 60, "reported": 7}), (3, {"least": 1, "longest": 3})])
 def test_equals_loops(spark, monkeypatch, seed, how):
-    monkeypatch.setattr(phrases, "CHUNK", 300)
     monkeypatch.setattr(phrases, "HOT", 30)
     monkeypatch.setattr(phrases, "FILTER_BITS", 1 << 15)
     rows = texts(seed)
     assert got(spark, rows, **how) == plain(rows, **how)
 
 
-def test_a_full_filter_and_a_long_piece(spark, monkeypatch):
-    """A filter that lets everything pass, and a piece far longer than what is read at a time."""
-    monkeypatch.setattr(phrases, "CHUNK", 50)
-    monkeypatch.setattr(phrases.Filter, "has", lambda self, h: h == h)
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """A filter that lets every phrase pass costs work, not results."""
+    monkeypatch.setattr(phrases, "_filter_of", lambda level, n: level.sparkSession.sparkContext.broadcast((np.full(1 << 12, 255, np.uint8), 1 << 15)))
     rows = [("en", "a b c d e f " * 40), ("en", "x y. " * 30), ("en", "b c d " * 9)]
     assert got(spark, rows, least=9) == plain(rows, least=9)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 50, 1000])
+def test_runs_of_texts_keep_every_piece(monkeypatch, chunk):
+    """Texts are cut at ends of pieces alone, however long a piece is, and languages stay apart."""
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    rows = [(l or "und", t) for l, t in texts(5)] + [("en", "a b c d e f " * 40), ("fr", "."), ("fr", "x. " * 30)]
+    batches = [pa.record_batch({"lang": [l for l, _ in rows[i : i + 9]], "text": [t for _, t in rows[i : i + 9]]}) for i in range(0, len(rows), 9)]
+    seen, want = Counter(), Counter()
+    for lang, data in phrases._chunks(batches):
+        words, code, piece = phrases._words(data)
+        names = [w.decode() for w in words.to_pylist()]
+        for k in set(piece.tolist()):
+            seen[lang, tuple(names[c] for c in code[piece == k])] += 1
+    for lang, t in rows:
+        for x in re.split("[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)):
+            if ws := tuple(w for w in re.split("[ \t]+", x) if w):
+                want[lang, ws] += 1
+    assert seen == want
+
+
 def test_odd_rows(spark):
     rows = [("en", None), (None, ""), ("fr", " . ,"), ("en", "a a a a a")]
     assert got(spark, rows, least=2) == plain(rows, least=2) != set()

@@ -52,7 +52,8 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     A boilerplate line stays in the document with the smallest doc_id that has
     it (all rows of that doc_id) and goes from every other. Null texts
     stay null with zero lines; a null doc_id never keeps a boilerplate line;
-    repeated rows are treated alike; further columns pass through, but any of the two new names are replaced.
+    repeated rows are treated alike; texts of any length are cut whole; further columns pass through, but any of the two new names are replaced; an
+    empty table gives no rows.
     """
     docs, names = plain_names(docs)
     doc_id, text, site = names[doc_id], names[text], names[site]
@@ -75,7 +76,8 @@ def without_spread_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 def drop_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` without boilerplate lines, with the same columns; ``n_chars``, if there, follows the text.
 
-    A document goes only if it loses lines and nothing but blanks is left.
+    A document goes only if it loses lines and nothing but blanks is left. Null and empty texts stay; texts of any length are cut whole; an
+    empty table gives no rows.
     """
     plain, names = plain_names(docs)
     own = names[text]

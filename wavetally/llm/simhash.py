@@ -229,7 +229,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     fewer differing bits; component_id is the smallest doc_id of the linked
     nodes. Null and wordless texts have fingerprint zero and link like any
     other. Repeated rows stay; a null doc_id never names a component unless the
-    component has no other (then null). Other columns of ``docs`` are ignored.
+    component has no other (then null). Texts of any length count whole. Other columns of ``docs`` are ignored.
     An empty table gives no rows.
     """
     prints = written(add_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle, ["doc_id"]), "prints")
@@ -296,7 +296,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Two rounds compare a bucket's documents with a representative. What is then still in
     different components is compared block by block inside tasks, by sketches of all MinHash values; only pairs
     whose sketches agree up to four standard errors below ``similarity`` leave them, to be verified.
-    Ties and null doc_ids are decided by a row number, so exactly one row stays. Columns are those of ``docs``.
+    Ties and null doc_ids are decided by a row number, so exactly one row stays. All null, empty and wordless texts have
+    the same, empty set: they are one group, of which one row stays. Texts of any length count whole. Columns are those of ``docs``; an empty
+    table gives no rows.
     """
     docs, names = plain_names(docs)
     doc_id, text = names[doc_id], names[text]

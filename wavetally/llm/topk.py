@@ -142,7 +142,7 @@ def top_k(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     Of equal vectors only the ``k + 1`` smallest ids can be in a result, and only
     these are searched; all of them are queries. Null ids and unsound vectors take no part; only
     vectors of the query's length are its candidates; repeated rows of an id count as one; ties go to the smaller id. Products are
-    exact; a score beyond a long's range is the nearest long.
+    exact; a score beyond a long's range is the nearest long. An empty table gives no rows.
     """
     spark = rows.sparkSession
     vectors = written(integer_vectors(rows, vec_id, embedding).dropDuplicates(["id", "v"]), "vectors")
