@@ -72,7 +72,9 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT) -> D
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("_payload"))
     firsts = written(first_copies(rows, min_bytes), "firsts")
-    rows = rows.withColumn("_digest", F.sha2("_payload", 256)).join(firsts, "_digest", "left")
+    # small payloads, of which one may be most frequent, revisit nothing: their rows are spread
+    key = F.when(F.length("_payload") >= min_bytes, F.col("_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.withColumn("_digest", F.sha2("_payload", 256)).withColumn("_key", key).join(firsts.withColumnRenamed("_digest", "_key"), "_key", "left").drop("_key")
     rows = rows.withColumn("_first", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")))
 
     def write(batches: Iterable) -> Iterator:
@@ -210,7 +212,7 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT, split_bytes:
 
     Nulls: a null html is an empty payload, a null url an empty target, a null
     page_id comes back as null. Repeated rows give repeated records. An empty
-    table writes no archive and gives no rows. Further columns are ignored.
+    table writes no archive and gives no rows. Payloads of any length are written and read whole. Further columns are ignored.
     """
     spark = pages.sparkSession
     files = write_warc(pages, shared_dir(spark) + "-warc", min_bytes)
