@@ -8,6 +8,7 @@ from ..functions.scalars import guarded_ratio
 from ..operators import network as nw
 from ..operators.stats import chi_square_tail, quantiles
 from .inputs import SELECTION_SQL, WEIGHTS_SQL, rnd, selections
+from ..tables import stored
 from .registry import query
 
 BASE = f"WITH {SELECTION_SQL}, {WEIGHTS_SQL}"
@@ -134,7 +135,12 @@ SHARE_SQL = "sh AS (SELECT patient, band, sum(weight) / sum(sum(weight)) OVER (P
 
 
 def band_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = edge_bands(spark, sf_dir).groupBy("patient", "band").agg(F.sum("weight").alias("w"))
+    return shares_of(edge_bands(spark, sf_dir))
+
+
+def shares_of(edges: DataFrame) -> DataFrame:
+    """``(patient, band, share)`` of the weights of ``edges(patient, band, .., weight)``."""
+    g = edges.groupBy("patient", "band").agg(F.sum("weight").alias("w"))
     return nw.with_total(g, "w", ["patient"]).select("patient", "band", (F.col("w") / F.col("total")).alias("share"))
 
 
@@ -194,12 +200,12 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def typical_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The patients nearest to and farthest from the mean profile of band shares and unit net flow."""
-    w = edge_bands(spark, sf_dir)
+    w = stored(edge_bands(spark, sf_dir))  # bounded, and read several times
     net = nw.degrees(w, ["patient"])
     norm = net.groupBy("patient").agg(F.sqrt(F.sum(F.col("net") * F.col("net"))).alias("norm"))
     flow = net.join(norm, "patient").select("patient", (F.col("channel") + 100).alias("dim"), (F.col("net") / F.col("norm")).alias("x"))
     zero = w.select("patient").distinct().select("patient", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("dim"), F.lit(0.0).alias("x"))
-    bands = band_shares(spark, sf_dir).select("patient", F.col("band").alias("dim"), F.col("share").alias("x")).unionByName(zero).groupBy("patient", "dim").agg(F.sum("x").alias("x"))
+    bands = shares_of(w).select("patient", F.col("band").alias("dim"), F.col("share").alias("x")).unionByName(zero).groupBy("patient", "dim").agg(F.sum("x").alias("x"))
     every = flow.unionByName(bands)
     centre = every.groupBy("dim").agg(F.avg("x").alias("c"))
     d = every.join(F.broadcast(centre), "dim").groupBy("patient").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c")))).alias("distance"))
@@ -216,9 +222,11 @@ def net_flow_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE}, {CH}, {DEGREES} SELECT channel, " + ", ".join(f"round(coalesce(sum(CASE WHEN patient = 'p{i:02d}' THEN out_w - in_w END), 0), 9) AS p{i:02d}" for i in range(25)) + " FROM dg GROUP BY channel")
 def net_flow_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net flow as a table of channels by patients."""
-    names = [f"p{i:02d}" for i in range(25)]
-    wide = nw.degrees(edge_bands(spark, sf_dir), ["patient"]).groupBy("channel").pivot("patient", names).agg(F.sum("net")).na.fill(0.0)
+    """Net flow as a table of channels by patients: the 25 that are known, and any others that there are."""
+    d = stored(nw.degrees(edge_bands(spark, sf_dir), ["patient"]))
+    known = [f"p{i:02d}" for i in range(25)]
+    names = known + sorted(r["patient"] for r in d.select("patient").distinct().collect() if r["patient"] not in known)  # a column each
+    wide = d.groupBy("channel").pivot("patient", names).agg(F.sum("net")).na.fill(0.0)
     return wide.select("channel", *(rnd(F.col(n), 9).alias(n) for n in names))
 
 
