@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -24,18 +26,26 @@ def notch(freq: float, width: float, fs: float) -> list[np.ndarray]:
     return [np.array([g, -2 * g * c, g, -2 * g * c, 2 * g - 1])]
 
 
-def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray | None = None, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """One section along the last axis from its ``state`` (at rest if none), and its state at the end: a block of samples at a time, as a small linear system."""
-    b0, b1, b2, a1, a2 = s
+@lru_cache(maxsize=256)
+def _blocked(section: tuple, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A section over a block as matrices: from samples to samples, from the state to samples, from samples to the state, and from state to state by the number of samples."""
+    b0, b1, b2, a1, a2 = section
     a = np.array([[-a1, 1.0], [-a2, 0.0]])
     b = np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
     for _ in range(block):
         powers.append(powers[-1] @ a)
     impulse = np.array([b0, *(powers[k][0] @ b for k in range(block - 1))])
-    direct = np.array([[impulse[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    direct = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     observe = np.array([powers[k][0] for k in range(block)])
     drive = np.array([powers[block - 1 - k] @ b for k in range(block)]).T
+    return direct, observe, drive, powers
+
+
+def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray | None = None, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """One section along the last axis from its ``state`` (at rest if none), and its state at the end: a block of samples at a time, as a small linear system."""
+    direct, observe, drive, powers = _blocked(tuple(map(float, s)), block)
     n = x.shape[-1]
     state, out = np.zeros((*x.shape[:-1], 2)) if state is None else state, []
     for i in range(0, n, block):
