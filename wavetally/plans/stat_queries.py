@@ -59,17 +59,20 @@ PROFILE_SQL = f"""{SCORES_SQL}, pf AS (SELECT patient, record, avg(score) AS a,
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("score")
-    return scores(spark, sf_dir).groupBy("patient", "record").agg(
-        F.avg(s).alias("a"), F.stddev_samp(s).alias("b"), F.min(s).cast("double").alias("least"), F.max(s).cast("double").alias("most"), F.median(s).alias("middle"), F.avg((s >= 0).cast("int")).alias("hits"),
-        F.avg("y").alias("c"), F.count("*").cast("double").alias("d"), F.sum("y").cast("double").alias("positives"), F.sum((s >= 20).cast("int")).cast("double").alias("alarms"),
+    """A row per record; its values are counted first, so that records with equal windows have equal figures, as ranks ask for."""
+    s, n = F.col("score"), F.col("n")
+    values = scores(spark, sf_dir).groupBy("patient", "record", "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    hit = lambda least: F.sum(F.when(s >= least, n).otherwise(0))
+    told = values.groupBy("patient", "record").agg(
+        F.collect_list(F.when(s.isNotNull(), F.struct(s.alias("x"), "n"))).alias("v"), F.min(s).cast("double").alias("least"), F.max(s).cast("double").alias("most"), F.percentile(s, 0.5, n).alias("middle"), F.try_divide(hit(0), F.sum(F.when(s.isNotNull(), n))).alias("hits"),
+        (F.sum("p") / F.sum(n)).alias("c"), F.sum(n).cast("double").alias("d"), F.sum("p").cast("double").alias("positives"), hit(20).cast("double").alias("alarms"),
     )
+    return told.withColumn("v", st.ordered_moments(F.col("v"))).select("patient", "record", F.col("v.mean").alias("a"), F.col("v.sd").alias("b"), *DESCRIPTORS[2:], *PERFORMANCE)
 
 
 def rank_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profiles(spark, sf_dir)
-    left, right = p.unpivot(["record"], DESCRIPTORS, "descriptor", "x"), p.unpivot(["record"], PERFORMANCE, "metric", "z")
-    return st.spearman(left.join(right, "record"), ["descriptor", "metric"], "x", "z")
+    one = profiles(spark, sf_dir).unpivot(["record", *PERFORMANCE], DESCRIPTORS, "descriptor", "x")
+    return st.spearman(one.unpivot(["record", "descriptor", "x"], PERFORMANCE, "metric", "z"), ["descriptor", "metric"], "x", "z")
 
 
 @query(
